@@ -43,8 +43,7 @@ class ScmSettings:
     l1_ratios: tuple[float, ...]
     min_pre: int = 1
     folds: int = 5
-    max_sweeps: int = 10_000
-    tol: float = 1e-4
+    max_steps: int = 10_000
 
 
 # Grids and intercept rules of the two presets (fixed values).
@@ -117,10 +116,10 @@ class _Moments:
     def __sub__(self, other: "_Moments") -> "_Moments":
         return _Moments(self.n - other.n, self.s - other.s, self.c - other.c)
 
-    def centred(self, intercept: bool) -> tuple[np.ndarray, np.ndarray, float]:
-        """Gram matrix, cross vector and squared norm of y, about the means if asked."""
+    def centred(self, intercept: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Gram matrix of the donors and their products with y, about the means if asked."""
         c = self.c - np.outer(self.s, self.s) / self.n if intercept else self.c
-        return c[:-1, :-1], c[:-1, -1], float(c[-1, -1])
+        return c[:-1, :-1], c[:-1, -1]
 
     def offset(self, w: np.ndarray, intercept: bool) -> np.ndarray:
         return (self.s[-1] - w @ self.s[:-1]) / self.n if intercept else np.zeros(w.shape[:-1])
@@ -160,72 +159,53 @@ def _solve_ols(gram: np.ndarray, xy: np.ndarray) -> np.ndarray:
     return np.linalg.solve(gram, xy) if well_posed else np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ xy
 
 
-def _descend(grams: np.ndarray, xys: np.ndarray, yys: np.ndarray, l1: np.ndarray, l2: np.ndarray,
-             start: np.ndarray, sweeps: int, tol: float) -> np.ndarray:
-    """Cyclic coordinate descent on several L1/L2 problems at once.
+def _solve_sparse(a: np.ndarray, q: np.ndarray, l1: float, w: np.ndarray, steps: int) -> np.ndarray:
+    """Minimise w'Aw/2 - w'q + l1 |w|_1 exactly, starting from ``w``.
 
-    Problem p minimises w'G_p w/2 - w'q_p + l1_p |w|_1 + l2_p |w|^2/2. A problem
-    stops when its largest relative step is below ``tol`` and its duality gap is
-    below ``tol`` times y'y.
+    Active set with fixed signs: move towards the minimiser of the current signs,
+    stop where a weight reaches zero and release it; once a full step is taken,
+    admit the zero weight whose slope is steepest, until none exceeds ``l1``.
     """
-    w = start.copy()
-    fit = np.einsum("pij,pj->pi", grams, w)
-    alive = np.arange(len(w))
-    for sweep in range(sweeps):
-        g, q, wa, h = grams[alive], xys[alive], w[alive], fit[alive]
-        largest = np.zeros(len(alive))
-        for j in range(w.shape[1]):
-            diagonal = g[:, j, j]
-            old = wa[:, j].copy()
-            rest = q[:, j] - h[:, j] + diagonal * old
-            size = np.maximum(np.abs(rest) - l1[alive], 0.0)
-            new = np.where(diagonal > 0, np.sign(rest) * size / np.where(diagonal > 0, diagonal + l2[alive], 1.0), old)
-            step = new - old
-            h += step[:, None] * g[:, j]
-            wa[:, j] = new
-            largest = np.maximum(largest, np.abs(step))
-        w[alive], fit[alive] = wa, h
-        top = np.abs(wa).max(axis=1)
-        quiet = (top == 0) | (largest < tol * np.where(top > 0, top, 1.0))
-        if sweep == sweeps - 1:
+    w = w.copy()
+    signs = np.sign(w)
+    slack = 1e-11 * (np.abs(q).max() + np.abs(a).max() * np.abs(w).max(initial=0.0))
+    for _ in range(steps):
+        active = np.flatnonzero(signs)
+        if len(active):
+            block, goal = a[np.ix_(active, active)], q[active] - l1 * signs[active]
+            try:
+                target = np.linalg.solve(block, goal)
+            except np.linalg.LinAlgError:
+                target = np.linalg.lstsq(block, goal, rcond=None)[0]
+            now = w[active]
+            crossing = target * signs[active] < 0
+            if crossing.any():
+                share = now[crossing] / (now[crossing] - target[crossing])
+                first = share.min()
+                w[active] = now + first * (target - now)
+                released = active[crossing][share <= first]
+                w[released] = signs[released] = 0.0
+                continue
+            w[active] = target
+        slope = q - a @ w
+        slope[active] = 0.0
+        j = int(np.argmax(np.abs(slope)))
+        if abs(slope[j]) <= l1 + slack:
             break
-        if quiet.any():
-            gap = _gap(q, h, wa, yys[alive], l1[alive], l2[alive])
-            alive = alive[~(quiet & (gap < tol * yys[alive]))]
-            if not len(alive):
-                break
+        signs[j] = np.sign(slope[j])
     return w
 
 
-def _gap(q, h, w, yy, l1, l2) -> np.ndarray:
-    """Duality gap of each problem."""
-    slack = q - h - l2[:, None] * w
-    worst = np.abs(slack).max(axis=1)
-    fitted = (w * h).sum(1)
-    inner = (w * q).sum(1)
-    residual = yy + fitted - 2 * inner
-    over = worst > l1
-    shrink = np.where(over, l1 / np.where(over, worst, 1.0), 1.0)
-    gap = np.where(over, 0.5 * residual * (1 + shrink**2), residual)
-    return gap + l1 * np.abs(w).sum(1) - shrink * (yy - inner) + 0.5 * l2 * (1 + shrink**2) * (w * w).sum(1)
-
-
-def _sparse_path(trains: list[_Moments], alphas, ratios, cfg: ScmSettings) -> np.ndarray:
-    """Weights (train set, ratio, alpha, donor); each path runs from large to small alpha."""
-    parts = [t.centred(cfg.fit_intercept) for t in trains]
-    at = [(t, r) for t in range(len(trains)) for r in range(len(ratios))]
-    grams = np.stack([parts[t][0] for t, _ in at])
-    xys = np.stack([parts[t][1] for t, _ in at])
-    yys = np.array([parts[t][2] for t, _ in at])
-    n = np.array([trains[t].n for t, _ in at])
-    ratio = np.array([ratios[r] for _, r in at])
-    w = np.zeros_like(xys)
-    path = np.empty((len(at), len(alphas), xys.shape[1]))
-    for i in np.argsort(alphas)[::-1]:
-        w = _descend(grams, xys, yys, alphas[i] * ratio * n, alphas[i] * (1 - ratio) * n, w,
-                     cfg.max_sweeps, cfg.tol)
-        path[:, i] = w
-    return path.reshape(len(trains), len(ratios), len(alphas), -1)
+def _sparse_path(train: _Moments, alphas, ratios, cfg: ScmSettings) -> np.ndarray:
+    """Weights (ratio, alpha, donor); each path runs from the largest alpha down."""
+    gram, xy = train.centred(cfg.fit_intercept)
+    path = np.empty((len(ratios), len(alphas), len(xy)))
+    for r, ratio in enumerate(ratios):
+        w = np.zeros(len(xy))
+        for i in np.argsort(alphas)[::-1]:
+            ridge = alphas[i] * (1 - ratio) * train.n * np.eye(len(xy))
+            w = path[r, i] = _solve_sparse(gram + ridge, xy, alphas[i] * ratio * train.n, w, cfg.max_steps)
+    return path
 
 
 def _grid(method: str, cfg: ScmSettings) -> tuple[tuple[float, ...], tuple[float, ...]]:
@@ -235,15 +215,15 @@ def _grid(method: str, cfg: ScmSettings) -> tuple[tuple[float, ...], tuple[float
 
 
 def _fold_scores(cfg: ScmSettings):
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         unit, method = key
         _, folds, total = _unpack(part)
         alphas, ratios = _grid(method, cfg)
         trains = [total - f for f in folds]
         if method == "ridge":
-            path = np.stack([_solve_ridge(*t.centred(cfg.fit_intercept)[:2], alphas) for t in trains])[:, None]
+            path = [_solve_ridge(*t.centred(cfg.fit_intercept), alphas)[None] for t in trains]
         else:
-            path = _sparse_path(trains, alphas, ratios, cfg)
+            path = [_sparse_path(t, alphas, ratios, cfg) for t in trains]
         out = []
         for k, (held, train) in enumerate(zip(folds, trains)):
             sse = held.sse(path[k], train.offset(path[k], cfg.fit_intercept))
@@ -260,19 +240,18 @@ def _fold_scores(cfg: ScmSettings):
 
 
 def _refit(cfg: ScmSettings):
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         unit, method = key
         donors, _, total = _unpack(part)
         alpha, ratio = part["alpha"].iloc[0], part["l1_ratio"].iloc[0]
-        gram, xy, yy = total.centred(cfg.fit_intercept)
+        gram, xy = total.centred(cfg.fit_intercept)
         if method == "ols":
             w = _solve_ols(gram, xy)
         elif method == "ridge":
             w = _solve_ridge(gram, xy, [alpha])[0]
         else:
-            w = _descend(gram[None], xy[None], np.array([yy]), np.array([alpha * ratio * total.n]),
-                         np.array([alpha * (1 - ratio) * total.n]), np.zeros((1, len(xy))),
-                         cfg.max_sweeps, cfg.tol)[0]
+            ridge = alpha * (1 - ratio) * total.n * np.eye(len(xy))
+            w = _solve_sparse(gram + ridge, xy, alpha * ratio * total.n, np.zeros(len(xy)), cfg.max_steps)
         return pd.DataFrame({
             "treated_id": unit, "method": method, "alpha": alpha, "l1_ratio": ratio,
             "intercept": float(total.offset(w, cfg.fit_intercept)), "station_id": donors, "weight": w,
@@ -283,17 +262,26 @@ def _refit(cfg: ScmSettings):
 
 # --- Spark side --------------------------------------------------------------
 
-def _by_method(moments: DataFrame, methods) -> DataFrame:
-    return moments.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+def _by_unit_and_method(df: DataFrame) -> DataFrame:
+    """Spread the small solves over all cores.
+
+    Moments are few bytes but much work, so the partition count is fixed here:
+    sizing partitions by bytes would put all units into one task.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, "treated_id", "method").groupBy("treated_id", "method")
 
 
 def cv_scores(moments: DataFrame, methods, cfg: ScmSettings) -> DataFrame:
     """Held-out score of every grid point and fold: R² for ridge, MSE for lasso and elastic net."""
     tuned = [m for m in methods if m != "ols"]
-    enough = _by_method(moments, tuned).withColumn("n_pre", F.when(
-        F.col("n_pre") < cfg.folds, F.raise_error(F.lit("fewer dates before the start than folds")).cast("long")
-    ).otherwise(F.col("n_pre")))
-    return enough.groupBy("treated_id", "method").applyInPandas(_fold_scores(cfg), _SCORES)
+    short = F.raise_error(F.lit("fewer dates before the start than folds")).cast("long")
+    each = moments.withColumns({
+        "method": F.explode(F.array(*[F.lit(m) for m in tuned])),
+        "n_pre": F.when(F.col("n_pre") < cfg.folds, short).otherwise(F.col("n_pre")),
+    })
+    return _by_unit_and_method(each).applyInPandas(_fold_scores(cfg), _SCORES)
 
 
 def choose(scores: DataFrame) -> DataFrame:
@@ -335,7 +323,7 @@ def fit_scm(panel: DataFrame, methods=METHODS, cfg: ScmSettings = MONTHLY) -> Da
         best = choose(cv_scores(moments, methods, cfg)).drop("cv_score")
         parts.append(moments.join(best, "treated_id").select(*moments.columns, "method", "alpha", "l1_ratio"))
     chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return chosen.groupBy("treated_id", "method").applyInPandas(_refit(cfg), _WEIGHTS)
+    return _by_unit_and_method(chosen).applyInPandas(_refit(cfg), _WEIGHTS)
 
 
 def predict_scm(panel: DataFrame, weights: DataFrame) -> DataFrame:

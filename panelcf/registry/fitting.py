@@ -1,3 +1,462 @@
 """Counterfactual panels, fits and effects."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelcf.operators import effects, panel as panels, synth, trees
+from panelcf.operators.impute import interpolate_time
+from panelcf.plans.evaluate import evaluate
+from panelcf.registry.book import query, rounded
+from panelcf.registry.describing import monthly_sql
+from panelcf.registry.panels import (
+    EVENT_START, EVENT_WINDOW, START, WINDOW, described, first_id, p_onation, p_segment, p_snation, p_type, with_sql,
+)
+from panelcf.session import shared_dir
+
+# --- panels ------------------------------------------------------------------
+
+# Months (days) on which all stations have a value, for every treated station.
+_LONG = """
+    n AS (SELECT count(DISTINCT station_id) AS n FROM {src}),
+    full_dates AS (SELECT date FROM {src} GROUP BY date HAVING count(value) = (SELECT n FROM n)),
+    cells AS (SELECT t.station_id AS treated_id, t.date, d.station_id, d.value AS x, t.value AS y, t.date < DATE '{start}' AS is_pre
+              FROM {src} t JOIN {src} d ON t.date = d.date AND t.station_id <> d.station_id
+              WHERE t.date IN (SELECT date FROM full_dates))"""
+_LONG_OUT = """SELECT treated_id, date, station_id, round(x + 3e-6, 3) AS x, round(y + 3e-6, 3) AS y, is_pre FROM cells"""
+
+SNATION_CELLS = with_sql("p_snation", more=monthly_sql("p_snation") + "," + _LONG.format(src="monthly", start=START))
+SEGMENT_CELLS = with_sql("p_segment", more=_LONG.format(src="p_segment", start=START))
+TYPE_CELLS = with_sql("p_type", more=_LONG.format(src="p_type", start=EVENT_START))
+
+
+def snation_months(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every supplier nation treated once, on monthly means."""
+    m = p_snation(spark, sf_dir)
+    units = panels.assign_all(m, START, WINDOW)
+    return panels.monthly_panel(m, units), units
+
+
+def segment_days(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    m = p_segment(spark, sf_dir)
+    units = panels.assign_all(m, START, WINDOW)
+    return panels.daily_panel(m, units), units
+
+
+@query("m1_monthly_panel", SNATION_CELLS + _LONG_OUT)
+def m1(spark, sf_dir):
+    return rounded(panels.long_panel(snation_months(spark, sf_dir)[0]), 3)
+
+
+@query("m2_daily_panel", SEGMENT_CELLS + _LONG_OUT)
+def m2(spark, sf_dir):
+    return rounded(panels.long_panel(segment_days(spark, sf_dir)[0]), 3)
+
+
+@query("m2_daily_panel_donor_sets", with_sql("p_type", more="""
+    sets AS (SELECT DISTINCT CASE WHEN station_id < 'l' THEN 'early' ELSE 'late' END AS donor_set, station_id FROM p_type),
+    treated AS (SELECT DISTINCT station_id AS treated_id,
+                CASE WHEN station_id < 'l' THEN 'late' ELSE 'early' END AS donor_set FROM p_type)""") + """
+    SELECT treated_id, t.date, d.station_id, round(d.value + 3e-9, 6) AS x, round(t.value + 3e-9, 6) AS y,
+           t.date < DATE '2024-01-16' AS is_pre
+    FROM treated JOIN p_type t ON t.station_id = treated_id JOIN sets USING (donor_set)
+    JOIN p_type d ON d.station_id = sets.station_id AND d.date = t.date""")
+def m2_sets(spark, sf_dir):
+    m = p_type(spark, sf_dir)
+    early = F.col("station_id") < "l"
+    names = m.select("station_id").distinct()
+    sets = names.select(F.when(early, F.lit("early")).otherwise(F.lit("late")).alias("donor_set"), "station_id")
+    units = panels.assign_all(m, EVENT_START, EVENT_WINDOW).withColumn(
+        "donor_set", F.when(F.col("treated_id") < "l", F.lit("late")).otherwise(F.lit("early")))
+    return rounded(panels.long_panel(panels.daily_panel(m, units, sets)))
+
+
+@query("j5_treated_with_donors", TYPE_CELLS + """
+    SELECT treated_id, date, round(any_value(y) + 3e-9, 6) AS y, count(*) AS n_donors, round(sum(x) + 3e-9, 6) AS x_sum
+    FROM cells GROUP BY 1, 2""")
+def j5(spark, sf_dir):
+    m = p_type(spark, sf_dir)
+    joined = panels.daily_panel(m, panels.assign_all(m, EVENT_START, EVENT_WINDOW))
+    return rounded(joined.select(
+        "treated_id", "date", "y", F.size("donors").cast("bigint").alias("n_donors"),
+        F.aggregate("donors", F.lit(0.0), lambda a, d: a + d["x"]).alias("x_sum")))
+
+
+@query("m8_design_daily", SEGMENT_CELLS + """
+    SELECT treated_id, date, month(date) AS month, isodow(date) - 1 AS dow,
+           round(sin(2 * pi() * month(date) / 12) + 3e-9, 6) AS month_sin, round(cos(2 * pi() * month(date) / 12) + 3e-9, 6) AS month_cos,
+           round(sin(2 * pi() * (isodow(date) - 1) / 7) + 3e-9, 6) AS dow_sin, round(cos(2 * pi() * (isodow(date) - 1) / 7) + 3e-9, 6) AS dow_cos,
+           count(*) AS n_donors
+    FROM cells GROUP BY 1, 2""")
+def m8(spark, sf_dir):
+    design = panels.design_daily(segment_days(spark, sf_dir)[0])
+    return rounded(design.select(
+        "treated_id", "date", F.col("month").cast("bigint").alias("month"), F.col("dow").cast("bigint").alias("dow"),
+        *panels.CALENDAR_FEATURES[2:], F.size("donors").cast("bigint").alias("n_donors")))
+
+
+_TREND_SQL = with_sql("p_onation", more=monthly_sql("p_onation") + """,
+    sparse AS (SELECT station_id, date, value FROM monthly WHERE n_values >= 10),
+    t AS (SELECT station_id AS treated_id, date, value AS y FROM sparse WHERE CAST(station_id AS INTEGER) < 5),
+    grid AS (SELECT t.treated_id, d.station_id, t.date, m.value,
+                    row_number() OVER (PARTITION BY t.treated_id, d.station_id ORDER BY t.date) AS t
+             FROM t JOIN (SELECT DISTINCT station_id FROM sparse) d ON d.station_id <> t.treated_id
+             LEFT JOIN sparse m ON m.station_id = d.station_id AND m.date = t.date),
+    sided AS (SELECT *,
+        last_value(value IGNORE NULLS) OVER b AS y0, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0,
+        first_value(value IGNORE NULLS) OVER a AS y1, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1
+        FROM grid WINDOW b AS (PARTITION BY treated_id, station_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                         a AS (PARTITION BY treated_id, station_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    filled AS (SELECT treated_id, station_id, date, coalesce(value, y0 + (y1 - y0) * (t - t0) / (t1 - t0), y0, y1) AS x FROM sided)""")
+
+
+@query("m8b_design_monthly", _TREND_SQL + """
+    SELECT treated_id, date, round(y + 3e-6, 3) AS y, round(sum_x + 3e-6, 3) AS x_sum, n_donors,
+           round(sin(2 * pi() * month(date) / 12) + 3e-9, 6) AS month_sin, round(cos(2 * pi() * month(date) / 12) + 3e-9, 6) AS month_cos,
+           row_number() OVER (PARTITION BY treated_id ORDER BY date) - 1 AS trend
+    FROM t JOIN (SELECT treated_id, date, sum(x) AS sum_x, count(x) AS n_donors FROM filled WHERE x IS NOT NULL GROUP BY 1, 2)
+    USING (treated_id, date)""")
+def m8b(spark, sf_dir):
+    from panelcf.registry.describing import sparse_months
+
+    months = sparse_months(spark, sf_dir).filter("value IS NOT NULL")
+    units = panels.assign_all(months, START, WINDOW).filter(F.col("treated_id").cast("int") < 5)
+    design = panels.design_monthly(months, units)
+    flat = design.select(
+        "treated_id", "date", "y", F.aggregate("donors", F.lit(0.0), lambda a, d: a + d["x"]).alias("x_sum"),
+        F.size("donors").cast("bigint").alias("n_donors"), "month_sin", "month_cos", "trend")
+    return rounded(rounded(flat, 6).withColumns({
+        c: F.round(F.col(c) + 3e-6, 3) for c in ("y", "x_sum")}), 9).withColumns({
+            c: F.round(F.col(c), d) for c, d in (("y", 3), ("x_sum", 3), ("month_sin", 6), ("month_cos", 6))})
+
+
+# --- folds -------------------------------------------------------------------
+
+
+@query("m4_folds", SEGMENT_CELLS + """
+    , pre AS (SELECT treated_id, date, row_number() OVER (PARTITION BY treated_id ORDER BY date) - 1 AS pos,
+                     count(*) OVER (PARTITION BY treated_id) AS n
+              FROM (SELECT DISTINCT treated_id, date FROM cells WHERE is_pre))
+    SELECT treated_id, date, n AS n_pre, CAST(CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1)
+           ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM pre""")
+def folds(spark, sf_dir):
+    tagged = panels.with_folds(segment_days(spark, sf_dir)[0])
+    return tagged.filter("is_pre").select("treated_id", "date", "n_pre", "fold")
+
+
+@query("m12_expanding_splits", SEGMENT_CELLS + """
+    , pre AS (SELECT treated_id, date, row_number() OVER (PARTITION BY treated_id ORDER BY date) - 1 AS pos,
+                     count(*) OVER (PARTITION BY treated_id) AS n
+              FROM (SELECT DISTINCT treated_id, date FROM cells WHERE is_pre))
+    SELECT treated_id, date, CAST(CASE WHEN pos >= n - 5 * (n // 6) THEN (pos - (n - 5 * (n // 6))) // (n // 6) END AS INTEGER) AS split
+    FROM pre""")
+def splits(spark, sf_dir):
+    tagged = panels.expanding_splits(segment_days(spark, sf_dir)[0])
+    return tagged.filter("is_pre").select("treated_id", "date", "split")
+
+
+# --- fits against one donor, which SQL can repeat in full ----------------------
+
+
+def one_donor_events(spark, sf_dir) -> DataFrame:
+    """Daily event panel; every type but the donor is treated, the donor is the first type."""
+    m = p_type(spark, sf_dir)
+    donor = first_id(m)
+    units = panels.assign_all(m, EVENT_START, EVENT_WINDOW).filter(F.col("treated_id") != donor)
+    sets = spark.createDataFrame([("all", donor)], ["donor_set", "station_id"])
+    return panels.daily_panel(m, units, sets)
+
+
+_ONE = with_sql("p_type", more="""
+    donor AS (SELECT min(station_id) AS id FROM p_type),
+    rows AS (SELECT t.station_id AS treated_id, t.date, d.station_id, d.value AS x, t.value AS y,
+                    row_number() OVER (PARTITION BY t.station_id ORDER BY t.date) - 1 AS pos,
+                    count(*) OVER (PARTITION BY t.station_id) AS n
+             FROM p_type t JOIN p_type d ON t.date = d.date JOIN donor ON d.station_id = donor.id AND t.station_id <> donor.id
+             WHERE t.date < DATE '2024-01-16'),
+    folded AS (SELECT *, CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1)
+                    ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM rows),
+    ks AS (SELECT unnest(range(5)) AS k),
+    train AS (SELECT treated_id, k, count(*) AS n, avg(x) AS mx, avg(y) AS my,
+                     regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy
+              FROM folded JOIN ks ON fold <> k GROUP BY 1, 2),
+    whole AS (SELECT treated_id, any_value(station_id) AS station_id, count(*) AS n, avg(x) AS mx, avg(y) AS my,
+                     regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM rows GROUP BY 1)""")
+
+
+def _tuned_sql(method: str, grid: str, weight: str, score: str, order: str) -> str:
+    """Cross-validated fit with one donor; ``weight`` uses n, sxx, sxy, a (alpha), r (ratio)."""
+    return _ONE + f""",
+    grid AS ({grid}),
+    fits AS (SELECT treated_id, k, a, r, apos, rpos, {weight} AS w, my - ({weight}) * mx AS b FROM train CROSS JOIN grid),
+    held AS (SELECT treated_id, k, a, r, apos, rpos, {score} AS score FROM fits JOIN folded USING (treated_id)
+             WHERE fold = k GROUP BY ALL),
+    means AS (SELECT treated_id, a, r, apos, rpos, avg(score) AS score FROM held GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY treated_id ORDER BY {order}) AS rn FROM means)
+    SELECT treated_id, '{method}' AS method, station_id, round(a + 3e-9, 6) AS alpha, round(r + 3e-9, 6) AS l1_ratio,
+           round({weight} + 3e-9, 6) AS weight, round(my - ({weight}) * mx + 3e-9, 6) AS intercept
+    FROM best JOIN whole USING (treated_id) WHERE rn = 1"""
+
+
+_R2 = "1 - sum((y - w * x - b) ** 2) / (var_pop(y) * count(*))"
+_MSE = "avg((y - w * x - b) ** 2)"
+_SOFT = "sign(sxy) * greatest(abs(sxy) - a * r * n, 0) / (sxx + a * (1 - r) * n)"
+
+
+def _fit_columns(weights: DataFrame) -> DataFrame:
+    return rounded(weights.select("treated_id", "method", "station_id", "alpha", "l1_ratio", "weight", "intercept"))
+
+
+@query("m3_fit_ols", _ONE + """
+    SELECT treated_id, 'ols' AS method, station_id, 0.0::DOUBLE + 3e-9 - 3e-9 AS alpha, 0.0::DOUBLE AS l1_ratio,
+           round(sxy / sxx + 3e-9, 6) AS weight, round(my - sxy / sxx * mx + 3e-9, 6) AS intercept FROM whole""")
+def m3(spark, sf_dir):
+    return _fit_columns(synth.fit_scm(one_donor_events(spark, sf_dir), ["ols"], synth.DAILY))
+
+
+@query("m3_fit_ols_aggregate", with_sql("p_segment", more="""
+    d AS (SELECT min(station_id) AS id FROM p_segment),
+    rows AS (SELECT t.station_id AS treated_id, s.station_id, s.value AS x, t.value AS y FROM p_segment t
+             JOIN p_segment s ON t.date = s.date JOIN d ON s.station_id = d.id AND t.station_id <> d.id
+             WHERE t.date < DATE '1999-01-01')""") + """
+    SELECT treated_id, station_id, 'ols' AS method, round(regr_slope(y, x) + 3e-9, 6) AS weight,
+           round(regr_intercept(y, x) + 3e-6, 3) AS intercept FROM rows GROUP BY 1, 2""")
+def m3_sql(spark, sf_dir):
+    m = p_segment(spark, sf_dir)
+    donor = first_id(m)
+    units = panels.assign_all(m, START, WINDOW).filter(F.col("treated_id") != donor)
+    sets = spark.createDataFrame([("all", donor)], ["donor_set", "station_id"])
+    fit = synth.fit_ols_sql(panels.daily_panel(m, units, sets))
+    return fit.withColumns({"weight": F.round(F.col("weight") + 3e-9, 6), "intercept": F.round(F.col("intercept") + 3e-6, 3)})
+
+
+@query("m4_fit_ridge", _tuned_sql(
+    "ridge", "SELECT pow(10, -3 + i * 6 / 39) AS a, 0.0::DOUBLE AS r, i AS apos, 0 AS rpos FROM range(40) t(i)",
+    "sxy / (sxx + a)", _R2, "score DESC, apos"))
+def m4(spark, sf_dir):
+    return _fit_columns(synth.fit_scm(one_donor_events(spark, sf_dir), ["ridge"], synth.DAILY))
+
+
+@query("m5_fit_lasso", _tuned_sql(
+    "lasso", "SELECT pow(10, -3 + i * 4 / 39) AS a, 1.0::DOUBLE AS r, i AS apos, 0 AS rpos FROM range(40) t(i)",
+    _SOFT, _MSE, "score, rpos, a DESC"))
+def m5(spark, sf_dir):
+    return _fit_columns(synth.fit_scm(one_donor_events(spark, sf_dir), ["lasso"], synth.DAILY))
+
+
+@query("m6_fit_elasticnet", _tuned_sql(
+    "elasticnet", """SELECT pow(10, -3 + i * 4 / 39) AS a, r::DOUBLE AS r, i AS apos, rpos
+    FROM range(40) t(i), (VALUES (0.1, 0), (0.5, 1), (0.9, 2)) v(r, rpos)""",
+    _SOFT, _MSE, "score, rpos, a DESC"))
+def m6(spark, sf_dir):
+    return _fit_columns(synth.fit_scm(one_donor_events(spark, sf_dir), ["elasticnet"], synth.DAILY))
+
+
+# --- fits on the full panels (differential tests live in tests/) ---------------
+
+
+def _rows_only(method: str):
+    def run(spark, sf_dir):
+        panel, _ = snation_months(spark, sf_dir)
+        return rounded(synth.fit_scm(panel, [method], synth.MONTHLY), 5)
+    return run
+
+
+for _id, _method in (("m3", "ols"), ("m4", "ridge"), ("m5", "lasso"), ("m6", "elasticnet")):
+    query(f"{_id}_fit_{_method}_monthly")(_rows_only(_method))
+
+
+@query("m4_cv_choice")
+def cv_choice(spark, sf_dir):
+    panel, _ = segment_days(spark, sf_dir)
+    moments = synth.fold_moments(panel)
+    return rounded(synth.choose(synth.cv_scores(moments, ("ridge", "lasso", "elasticnet"), synth.DAILY)), 4)
+
+
+# --- prediction and effects on fixed weights ----------------------------------
+
+_FIT_SQL = SNATION_CELLS.rstrip() + """,
+    w AS (SELECT treated_id, station_id, method,
+                 CASE WHEN method = 'flat' THEN 1.0 / count(*) OVER (PARTITION BY treated_id, method)
+                      ELSE (CAST(station_id AS DOUBLE) + 1) / 300 END AS weight
+          FROM (SELECT DISTINCT treated_id, station_id FROM cells), (VALUES ('flat'), ('leaNing')) v(method)),
+    fit AS (SELECT treated_id, method, date, any_value(y) AS y, sum(weight * x) AS y_hat
+            FROM cells JOIN w USING (treated_id, station_id) GROUP BY 1, 2, 3)
+    """
+
+
+def fixed_weights(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(panel, assignments, weights)`` with an equal and an id-dependent weighting."""
+    panel, units = snation_months(spark, sf_dir)
+    pairs = panels.long_panel(panel).select("treated_id", "station_id").distinct()
+    n = pairs.groupBy("treated_id").agg((F.lit(1.0) / F.count(F.lit(1))).alias("flat"))
+    both = pairs.join(n, "treated_id").withColumn("leaNing", (F.col("station_id").cast("double") + 1) / 300)
+    return panel, units, both.unpivot(["treated_id", "station_id"], ["flat", "leaNing"], "method", "weight")
+
+
+def fixed_fit(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    panel, units, weights = fixed_weights(spark, sf_dir)
+    return synth.predict_scm(panel, weights), units
+
+
+@query("m7_predict_scm", _FIT_SQL + """
+    SELECT treated_id, method, date, round(y + 3e-6, 3) AS y, round(y_hat + 3e-6, 3) AS y_hat FROM fit""")
+def m7(spark, sf_dir):
+    return rounded(fixed_fit(spark, sf_dir)[0], 3)
+
+
+@query("m14_att_series", _FIT_SQL + """
+    SELECT treated_id, method, date, round(y - y_hat + 3e-6, 3) AS att FROM fit""")
+def m14(spark, sf_dir):
+    return rounded(effects.att_series(fixed_fit(spark, sf_dir)[0]).drop("y", "y_hat"), 3)
+
+
+@query("a15_att_summary", _FIT_SQL + """
+    SELECT treated_id, upper(method[1]) || lower(method[2:]) AS method,
+           round(avg(y - y_hat) FILTER (date < DATE '1999-01-01') + 3e-6, 3) AS att_pre,
+           round(avg(y - y_hat) FILTER (date >= DATE '1999-01-01') + 3e-6, 3) AS att_post,
+           round(avg(y - y_hat) FILTER (date >= DATE '1999-01-01' AND NOT date BETWEEN DATE '2000-03-01' AND DATE '2000-06-30') + 3e-6, 3) AS att_post_ex
+    FROM fit GROUP BY treated_id, fit.method""")
+def a15(spark, sf_dir):
+    fit, units = fixed_fit(spark, sf_dir)
+    return rounded(effects.att_summary(effects.with_periods(fit, units)), 3)
+
+
+@query("a19_rmse", _FIT_SQL + """
+    SELECT treated_id, method, round(sqrt(avg((y - y_hat) ** 2) FILTER (date < DATE '1999-01-01')) + 3e-6, 3) AS rmse_pre,
+           round(sqrt(avg((y - y_hat) ** 2) FILTER (date >= DATE '1999-01-01')) + 3e-6, 3) AS rmse_post
+    FROM fit GROUP BY 1, 2""")
+def a19(spark, sf_dir):
+    return rounded(effects.rmse(fixed_fit(spark, sf_dir)[0], START), 3)
+
+
+@query("a20_r2", _FIT_SQL + """
+    , m AS (SELECT treated_id, method, avg(y) AS my FROM fit WHERE date < DATE '1999-01-01' GROUP BY 1, 2)
+    SELECT treated_id, method, round(1 - sum((y - y_hat) ** 2) / sum((y - my) ** 2) + 3e-9, 6) AS r2_pre
+    FROM fit JOIN m USING (treated_id, method) WHERE date < DATE '1999-01-01' GROUP BY 1, 2""")
+def a20(spark, sf_dir):
+    return rounded(effects.r2(fixed_fit(spark, sf_dir)[0], START))
+
+
+@query("a21_weight_ranking", _FIT_SQL + """
+    SELECT treated_id, station_id, round(coalesce(sum(weight) FILTER (method = 'flat'), 0) + 3e-9, 6) AS flat,
+           round(coalesce(sum(weight) FILTER (method = 'leaNing' AND CAST(station_id AS INTEGER) % 2 = 0), 0) + 3e-9, 6) AS "leaNing",
+           round((coalesce(sum(abs(weight)) FILTER (method = 'flat'), 0)
+              + coalesce(sum(abs(weight)) FILTER (method = 'leaNing' AND CAST(station_id AS INTEGER) % 2 = 0), 0)) / 2 + 3e-9, 6) AS mean_abs
+    FROM w GROUP BY 1, 2""")
+def a21(spark, sf_dir):
+    weights = fixed_weights(spark, sf_dir)[2].filter("method = 'flat' OR CAST(station_id AS INT) % 2 = 0")
+    return rounded(effects.weight_ranking(weights, ["flat", "leaNing"]))
+
+
+_DESCRIBED_NAMES = """(SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS station_id, n_name AS station_name, o_orderpriority AS station_influence
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query("j6_weights_table", _FIT_SQL + f"""
+    SELECT treated_id, method, station_id, station_name, station_influence, round(weight + 3e-9, 6) AS weight
+    FROM w LEFT JOIN {_DESCRIBED_NAMES} USING (station_id)""")
+def j6(spark, sf_dir):
+    m = described(spark, sf_dir).select("station_id", "station_name", "station_influence")
+    return rounded(effects.weights_table(fixed_weights(spark, sf_dir)[2], m))
+
+
+@query("j6_weights_table_one_name", _FIT_SQL + f"""
+    SELECT treated_id, method, station_id, station_name, station_influence, round(weight + 3e-9, 6) AS weight
+    FROM w LEFT JOIN (SELECT station_id, station_name, min(station_influence) AS station_influence FROM {_DESCRIBED_NAMES} GROUP BY 1, 2)
+    USING (station_id)""")
+def j6_one(spark, sf_dir):
+    m = described(spark, sf_dir).select("station_id", "station_name", "station_influence")
+    return rounded(effects.weights_table(fixed_weights(spark, sf_dir)[2], m, one_name=True))
+
+
+# --- trees -------------------------------------------------------------------
+
+
+@query("m9_fit_forest")
+def m9(spark, sf_dir):
+    m = p_segment(spark, sf_dir)
+    unit = first_id(m)
+    design = panels.design_daily(panels.daily_panel(m, panels.assign(spark, unit, START, WINDOW)))
+    models = {"rf": trees.daily_models(n_trees=20, max_depth=10)["rf"]}
+    return rounded(trees.fit_trees(design, unit, models)[0], 3)
+
+
+@query("m10_fit_boosted")
+def m10(spark, sf_dir):
+    m = p_segment(spark, sf_dir)
+    unit = first_id(m)
+    design = panels.design_daily(panels.daily_panel(m, panels.assign(spark, unit, START, WINDOW)))
+    models = {"gbt": trees.daily_models(n_rounds=15)["gbt"]}
+    return rounded(trees.fit_trees(design, unit, models)[0], 3)
+
+
+def _monthly_design(spark, sf_dir):
+    m = p_snation(spark, sf_dir)
+    unit = first_id(m)
+    return panels.design_monthly(m, panels.assign(spark, unit, START, WINDOW)), unit
+
+
+@query("m11_fit_monthly_trees")
+def m11(spark, sf_dir):
+    design, unit = _monthly_design(spark, sf_dir)
+    return rounded(trees.fit_trees(design, unit, trees.monthly_models(n_trees=15, n_rounds=10), min_pre=10)[0], 3)
+
+
+@query("m12_time_series_cv")
+def m12(spark, sf_dir):
+    design, unit = _monthly_design(spark, sf_dir)
+    models = {"rf": trees.monthly_models(n_trees=10)["rf"]}
+    return rounded(trees.time_series_cv(panels.expanding_splits(design), unit, models), 3)
+
+
+@query("m13_own_estimator")
+def m13(spark, sf_dir):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    m = p_segment(spark, sf_dir)
+    unit = first_id(m)
+    design = panels.design_daily(panels.daily_panel(m, panels.assign(spark, unit, START, WINDOW)))
+    return rounded(trees.fit_trees(design, unit, {"tree": DecisionTreeRegressor(maxDepth=4)})[0], 3)
+
+
+# --- everything at once --------------------------------------------------------
+
+
+@query("m15_evaluate")
+def m15(spark, sf_dir):
+    """All supplier nations, four methods, monthly."""
+    m = p_snation(spark, sf_dir)
+    done = evaluate(m, panels.assign_all(m, START, WINDOW), store=shared_dir(spark, "evaluate"))
+    return rounded(done.effects, 2)
+
+
+@query("m15_evaluate_daily")
+def m15_daily(spark, sf_dir):
+    """All order nations on gap-filled days: imputation, panel, four fits, effects."""
+    filled, _ = interpolate_time(p_onation(spark, sf_dir), 1.0)
+    filled = filled.filter(F.col("date").between(F.lit("1995-02-01").cast("date"), F.lit("2000-06-30").cast("date")))
+    units = panels.assign_all(filled, START, WINDOW)
+    done = evaluate(filled, units, grain="day", store=shared_dir(spark, "evaluate"))
+    return rounded(done.effects, 2)
+
+
+_OLS_ONE = with_sql("p_type", more="""
+    d AS (SELECT min(station_id) AS id FROM p_type),
+    rows AS (SELECT t.station_id AS treated_id, t.date, s.value AS x, t.value AS y, t.date < DATE '2024-01-16' AS pre
+             FROM p_type t JOIN p_type s ON t.date = s.date JOIN d ON s.station_id = d.id AND t.station_id <> d.id),
+    line AS (SELECT treated_id, regr_slope(y, x) AS w, regr_intercept(y, x) AS b FROM rows WHERE pre GROUP BY 1)""")
+
+
+@query("m15_evaluate_one_donor", _OLS_ONE + """
+    SELECT treated_id, 'Ols' AS method, round(avg(y - w * x - b) FILTER (pre) + 3e-9, 6) AS att_pre,
+           round(avg(y - w * x - b) FILTER (NOT pre) + 3e-9, 6) AS att_post,
+           round(avg(y - w * x - b) FILTER (NOT pre AND NOT date BETWEEN DATE '2024-01-20' AND DATE '2024-01-22') + 3e-9, 6) AS att_post_ex
+    FROM rows JOIN line USING (treated_id) GROUP BY 1""")
+def m15_one(spark, sf_dir):
+    m = p_type(spark, sf_dir)
+    donor = first_id(m)
+    units = panels.assign_all(m, EVENT_START, EVENT_WINDOW).filter(F.col("treated_id") != donor)
+    sets = spark.createDataFrame([("all", donor)], ["donor_set", "station_id"])
+    return rounded(evaluate(m, units, sets, grain="day", methods=["ols"]).effects)
