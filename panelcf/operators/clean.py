@@ -24,12 +24,6 @@ EXPORT_HEADERS = {
 EXPORT_DATE = "Date de début"
 EXPORT_POLLUTANT = "Polluant"
 
-# Date spellings accepted in exports and zone files (fixed values).
-DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm:ssXXX",
-)
-
 # Columns kept of area and road-segment tables (fixed values).
 AREA_COLUMNS = (
     "publisher_zfe_id", "publisher_nom", "publisher_siren", "publisher_forme_juridique", "id",
@@ -59,11 +53,12 @@ def _ref(name: str) -> Column:
 
 
 def date_or_null(column: Column, bounds: tuple[str, str] | None = DATE_BOUNDS) -> Column:
-    """Text to date; what cannot be read, or lies outside ``bounds``, becomes null."""
-    text = F.trim(column.cast("string"))
-    parsed = F.coalesce(*[
-        F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_FORMATS
-    ])
+    """Text to date; what cannot be read, or lies outside ``bounds``, becomes null.
+
+    Year first, parts separated by ``-`` or ``/``, with or without a time of day.
+    """
+    text = F.translate(F.trim(column.cast("string")), "/", "-")
+    parsed = text.try_cast("timestamp_ntz").cast("date")
     if bounds is None:
         return parsed
     return F.when(parsed.between(as_date(bounds[0]), as_date(bounds[1])), parsed)

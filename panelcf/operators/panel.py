@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcf.functions.columns import HOUSE, PanelCols, as_date, id_list
-from panelcf.functions.calendar import cycle_cos, cycle_sin, month_index
+from panelcf.functions.calendar import cycle_cos, cycle_sin
 from panelcf.operators.describe import daily_mean, monthly_mean
 from panelcf.operators.impute import interpolate_position
 
@@ -40,48 +40,52 @@ def assign_all(m: DataFrame, start, window=None, donor_set: str = "all", cols: P
     })
 
 
-def one_donor_set(m: DataFrame, donor_set: str = "all", cols: PanelCols = HOUSE) -> DataFrame:
-    """All stations of a panel as a single donor set."""
-    return m.select(F.lit(donor_set).alias("donor_set"), F.col(cols.id).alias("station_id")).distinct()
-
-
 def counterfactual_panel(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame | None = None,
                          grain: str = "month", cols: PanelCols = HOUSE) -> DataFrame:
     """``treated_id, date, y, donors, start, ex_low, ex_high, is_pre``, complete dates only.
 
     ``donors`` is an array of ``(id, x)`` ordered by id, never holding the treated
     unit. A date stays only if the treated unit and every donor that occurs in the
-    data have a value on it.
+    data have a value on it. Without ``donor_sets`` every other station is a donor.
+    A unit has one assignment. Treated and donor roles are gathered per date from
+    a single pass over the series; only the station count reads it once more.
     """
     if grain not in ("month", "day"):
         raise ValueError("grain must be 'month' or 'day'")
     series = (monthly_mean(m, cols=cols) if grain == "month" else daily_mean(m, cols)).select(
         F.col(cols.id).alias("station_id"), F.col(cols.date).alias("date"), F.col(cols.value).alias("x")
     )
+    dates = ("start", "ex_low", "ex_high")
     if donor_sets is None:
-        sets = series.select("station_id", F.lit("all").alias("donor_set"), "date", "x")
+        # Every station is a donor; the treated unit is one of them and is taken out again.
+        keys, is_donor = ["date"], F.lit(True)
+        total = series.select(F.count_distinct("station_id")).scalar()
+        rows = series.join(assignments, F.col("station_id") == F.col("treated_id"), "left")
     else:
-        sets = series.join(donor_sets, "station_id").select("station_id", "donor_set", "date", "x")
-    known = F.when(F.col("x").isNotNull(), F.struct(F.col("station_id").alias("id"), "x"))
-    by_date = sets.groupBy("donor_set", "date").agg(F.sort_array(F.collect_list(known)).alias("donors"))
-    members = sets.groupBy("donor_set").agg(F.sort_array(F.collect_set("station_id")).alias("members"))
-    treated = (
-        series.filter(F.col("x").isNotNull())
-        .join(assignments, F.col("station_id") == F.col("treated_id"))
-        .select("treated_id", "donor_set", "date", F.col("x").alias("y"), "start", "ex_low", "ex_high")
+        keys, is_donor = ["donor_set", "date"], F.col("treated_id").isNull()
+        roles = donor_sets.select("donor_set", "station_id").unionByName(
+            assignments.withColumn("station_id", F.col("treated_id")), allowMissingColumns=True)
+        rows = series.join(roles, "station_id")
+        members = rows.filter(is_donor).groupBy("donor_set").agg(F.collect_set("station_id").alias("members"))
+    known = F.col("x").isNotNull()
+    cell = F.when(known & is_donor, F.struct(F.col("station_id").alias("id"), "x"))
+    role = F.when(known & F.col("treated_id").isNotNull(), F.struct("treated_id", F.col("x").alias("y"), *dates))
+    by_date = rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(cell)).alias("donors"), F.collect_list(role).alias("treated")
     )
-    needed = assignments.select("treated_id", "donor_set").join(members, "donor_set").select(
-        "treated_id", "donor_set",
-        F.size(F.array_remove("members", F.col("treated_id"))).alias("n_donors"),
+    if donor_sets is None:
+        joined, n_donors = by_date, total - 1
+    else:
+        own = F.array_contains("members", F.col("t.treated_id")).cast("int")
+        joined, n_donors = by_date.join(members, "donor_set"), F.size("members") - own
+    complete = (
+        joined.withColumn("t", F.explode("treated"))
+        .withColumn("donors", F.filter("donors", lambda d: d["id"] != F.col("t.treated_id")))
+        .filter((F.size("donors") == n_donors) & (n_donors > 0))
     )
-    others = F.filter("donors", lambda d: d["id"] != F.col("treated_id"))
-    return (
-        treated.join(needed, ["treated_id", "donor_set"])
-        .join(by_date, ["donor_set", "date"])
-        .withColumn("donors", others)
-        .filter((F.size("donors") == F.col("n_donors")) & (F.col("n_donors") > 0))
-        .select("treated_id", "date", "y", "donors", "start", "ex_low", "ex_high",
-                (F.col("date") < F.col("start")).alias("is_pre"))
+    return complete.select(
+        "t.treated_id", "date", "t.y", "donors", *[f"t.{d}" for d in dates],
+        (F.col("date") < F.col("t.start")).alias("is_pre"),
     )
 
 
@@ -203,15 +207,15 @@ def design_monthly(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame |
     )
     if low is not None:
         series = series.filter(F.col("date").between(as_date(low), as_date(high)))
-    if donor_sets is None:
-        donor_sets = one_donor_set(m, cols=cols)
     treated = (
         series.filter(F.col("value").isNotNull())
         .join(assignments, F.col("station_id") == F.col("treated_id"))
         .select("treated_id", "donor_set", "date", F.col("value").alias("y"), "start", "ex_low", "ex_high")
     )
-    donors = series.join(donor_sets, "station_id")
-    cells = treated.select("treated_id", "donor_set", "date").join(donors, ["donor_set", "date"]).filter(
+    keys, donors = ["date"], series
+    if donor_sets is not None:
+        keys, donors = ["donor_set", "date"], series.join(donor_sets, "station_id")
+    cells = treated.select("treated_id", *keys).join(donors, keys).filter(
         F.col("station_id") != F.col("treated_id")
     ).select("treated_id", "station_id", "date", "value")
     dates = treated.groupBy("treated_id").agg(F.collect_set("date").alias("_dates"))
@@ -238,7 +242,3 @@ def interpolate_position_on(cells: DataFrame, dates: DataFrame) -> DataFrame:
     full = grid.join(known, ["treated_id", "station_id", "date"], "left")
     return interpolate_position(full, PanelCols("station_id", "date", "value"), group="treated_id")
 
-
-def months_contiguous(first, last):
-    """Number of month starts from ``first`` to ``last``, both counted."""
-    return month_index(last) - month_index(first) + 1

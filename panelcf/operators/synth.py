@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcf.operators.panel import long_panel, with_folds
+from panelcf.sources.tables import stored
 
 # Ship the task-side functions with the job; executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -305,15 +306,16 @@ def choose(scores: DataFrame) -> DataFrame:
     )
 
 
-def fit_scm(panel: DataFrame, methods=METHODS, cfg: ScmSettings = MONTHLY) -> DataFrame:
+def fit_scm(panel: DataFrame, methods=METHODS, cfg: ScmSettings = MONTHLY, store: str | None = None) -> DataFrame:
     """Weights per unit, method and donor (with intercept and chosen penalties).
 
     Weights are unconstrained: they may be negative and need not sum to one.
+    ``store`` names a shared folder for the moments, which are needed twice.
     """
     unknown = set(methods) - set(METHODS)
     if unknown:
         raise ValueError(f"unknown methods {sorted(unknown)}; choose from {METHODS}")
-    moments = fold_moments(panel, cfg.folds)
+    moments = stored(fold_moments(panel, cfg.folds), store and f"{store}/moments")
     parts = []
     if "ols" in methods:
         parts.append(moments.withColumns({

@@ -13,7 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcf.functions.columns import id_list
@@ -69,9 +69,10 @@ def _prepared(est: Estimator, seed: int) -> Estimator:
     return est.copy(extra)
 
 
-def _run(tasks, parallelism: int) -> list:
+def _run(spark: SparkSession, tasks, parallelism: int) -> list:
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
 
 def fit_trees(design: DataFrame, treated_ids, models: dict[str, Estimator] | None = None,
@@ -99,7 +100,7 @@ def fit_trees(design: DataFrame, treated_ids, models: dict[str, Estimator] | Non
             return (unit, name), _prepared(est, seed).fit(train)
         return run
 
-    fitted = dict(_run([task(u, n, e) for u in ids for n, e in models.items()], parallelism))
+    fitted = dict(_run(design.sparkSession, [task(u, n, e) for u in ids for n, e in models.items()], parallelism))
     predictions = [
         model.transform(rows.filter(F.col("treated_id") == unit)).select(
             "treated_id", F.lit(name).alias("method"), "date", "y", "y_hat")
@@ -128,4 +129,4 @@ def time_series_cv(design: DataFrame, treated_id: str, models: dict[str, Estimat
         return run
 
     return reduce(DataFrame.unionByName, _run(
-        [task(n, e, s) for n, e in models.items() for s in splits], parallelism))
+        design.sparkSession, [task(n, e, s) for n, e in models.items() for s in splits], parallelism))

@@ -10,6 +10,7 @@ from panelcf.functions.columns import HOUSE, PanelCols
 from panelcf.operators.effects import att_summary, weights_table, with_periods
 from panelcf.operators.panel import counterfactual_panel, require_fittable
 from panelcf.operators.synth import DAILY, METHODS, MONTHLY, ScmSettings, fit_scm, predict_scm
+from panelcf.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -28,18 +29,15 @@ def evaluate(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame | None
 
     ``treated_id`` is part of every key, so adding units adds rows, not jobs.
     ``check`` looks for units that cannot be fitted first. ``store`` names a
-    shared folder where panel and weights are written and read back, so that
-    they are computed once and survive lost executors.
+    shared folder where panel, moments and weights are written and read back, so
+    that they are computed once and survive lost executors.
     """
     cfg = cfg or (MONTHLY if grain == "month" else DAILY)
-    panel = counterfactual_panel(m, assignments, donor_sets, grain, cols)
-    if store is not None:
-        panel = _stored(panel, f"{store}/panel")
+    below = (lambda name: f"{store}/{name}") if store else (lambda name: None)
+    panel = stored(counterfactual_panel(m, assignments, donor_sets, grain, cols), below("panel"))
     if check:
         require_fittable(panel, assignments, cfg.min_pre)
-    weights = fit_scm(panel, methods, cfg)
-    if store is not None:
-        weights = _stored(weights, f"{store}/weights")
+    weights = stored(fit_scm(panel, methods, cfg, store), below("weights"))
     fit = predict_scm(panel, weights)
     named = m.withColumnRenamed(cols.id, "station_id")
     return Evaluation(
@@ -47,8 +45,3 @@ def evaluate(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame | None
         att_summary(with_periods(fit, assignments)),
         weights_table(weights, named),
     )
-
-
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

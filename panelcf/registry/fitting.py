@@ -14,6 +14,7 @@ from panelcf.registry.panels import (
     EVENT_START, EVENT_WINDOW, START, WINDOW, described, first_id, p_onation, p_segment, p_snation, p_type, with_sql,
 )
 from panelcf.session import shared_dir
+from panelcf.sources.tables import stored
 
 # --- panels ------------------------------------------------------------------
 
@@ -259,7 +260,7 @@ def m6(spark, sf_dir):
 def _rows_only(method: str):
     def run(spark, sf_dir):
         panel, _ = snation_months(spark, sf_dir)
-        return rounded(synth.fit_scm(panel, [method], synth.MONTHLY), 5)
+        return rounded(synth.fit_scm(panel, [method], synth.MONTHLY, shared_dir(spark, "fit")), 5)
     return run
 
 
@@ -427,18 +428,19 @@ def m13(spark, sf_dir):
 @query("m15_evaluate")
 def m15(spark, sf_dir):
     """All supplier nations, four methods, monthly."""
-    m = p_snation(spark, sf_dir)
-    done = evaluate(m, panels.assign_all(m, START, WINDOW), store=shared_dir(spark, "evaluate"))
+    store = shared_dir(spark, "evaluate")
+    m = stored(p_snation(spark, sf_dir), f"{store}/daily")
+    done = evaluate(m, panels.assign_all(m, START, WINDOW), store=store)
     return rounded(done.effects, 2)
 
 
 @query("m15_evaluate_daily")
 def m15_daily(spark, sf_dir):
     """All order nations on gap-filled days: imputation, panel, four fits, effects."""
-    filled, _ = interpolate_time(p_onation(spark, sf_dir), 1.0)
-    filled = filled.filter(F.col("date").between(F.lit("1995-02-01").cast("date"), F.lit("2000-06-30").cast("date")))
+    store = shared_dir(spark, "evaluate")
+    filled = stored(interpolate_time(p_onation(spark, sf_dir), 1.0)[0], f"{store}/daily")
     units = panels.assign_all(filled, START, WINDOW)
-    done = evaluate(filled, units, grain="day", store=shared_dir(spark, "evaluate"))
+    done = evaluate(filled, units, grain="day", store=store)
     return rounded(done.effects, 2)
 
 

@@ -66,3 +66,15 @@ def write_panel(df: DataFrame, path: str, cols: PanelCols = HOUSE, files_per_yea
     spread = df.withColumn("year", F.year(cols.date)).repartition(F.col("year"), part)
     write_table(spread.sortWithinPartitions("year", cols.id, cols.date), path,
                 partition_by=["year"])
+
+
+def stored(df: DataFrame, path: str | None) -> DataFrame:
+    """Write an intermediate table to a shared folder and continue from the files.
+
+    It is then computed once, its lineage is short, and a lost executor costs a
+    re-read, not a re-computation. Without a path the frame is returned as it is.
+    """
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
