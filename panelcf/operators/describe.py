@@ -193,9 +193,12 @@ def pre_correlations(m: DataFrame, treated_ids, start, cols: PanelCols = HOUSE,
     pairs = pre.join(bounded_broadcast(treated, len(ids) * MAX_DAYS), cols.date).filter(
         F.col(cols.id) != F.col("treated_id")
     )
-    both = F.col("_y").isNotNull() & F.col(cols.value).isNotNull()
+    x, y = F.col(cols.value), F.col("_y")
+    both = x.isNotNull() & y.isNotNull()
+    # Not F.corr: a constant series would divide by zero and stop the job.
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
     return (
         pairs.groupBy("treated_id", cols.id)
-        .agg(F.corr("_y", cols.value).alias("corr"), F.count_if(both).alias("n_days"))
-        .filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
+        .agg(F.try_divide(F.covar_pop(x, y), spread).alias("corr"), F.count_if(both).alias("n_days"))
+        .filter(F.col("corr").isNotNull())
     )

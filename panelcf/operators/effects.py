@@ -50,10 +50,10 @@ def rmse(fit: DataFrame, start="start", keys: tuple[str, ...] = ("treated_id", "
 
 
 def r2(fit: DataFrame, start="start", keys: tuple[str, ...] = ("treated_id", "method")) -> DataFrame:
-    """Share of the pre-start variance explained: 1 - SSE / SST."""
+    """Share of the pre-start variance explained: 1 - SSE / SST; null for a constant series."""
     pre = fit.filter(is_pre(F.col("date"), as_date(start)) & F.col("y").isNotNull() & F.col("y_hat").isNotNull())
     sse = F.sum(F.pow(F.col("y") - F.col("y_hat"), 2))
-    return pre.groupBy(*keys).agg((1 - sse / (F.var_pop("y") * F.count("y"))).alias("r2_pre"))
+    return pre.groupBy(*keys).agg((1 - F.try_divide(sse, F.var_pop("y") * F.count("y"))).alias("r2_pre"))
 
 
 def weights_table(weights: DataFrame, m: DataFrame, one_name: bool = False, ordered: bool = False) -> DataFrame:

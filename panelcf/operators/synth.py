@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcf.operators.panel import long_panel, with_folds
@@ -130,8 +130,10 @@ class _Moments:
         v = np.concatenate([-w, np.ones(w.shape[:-1] + (1,))], axis=-1)
         return np.einsum("...i,ij,...j->...", v, self.c, v) - 2 * b * (v @ self.s) + self.n * b * b
 
-    def sst(self) -> float:
-        return float(self.c[-1, -1] - self.s[-1] ** 2 / self.n)
+    def r2(self, sse: np.ndarray) -> np.ndarray:
+        """1 - SSE / SST; a constant y scores 1 if met exactly, else 0."""
+        sst = float(self.c[-1, -1] - self.s[-1] ** 2 / self.n)
+        return 1 - sse / sst if sst > 0 else (sse == 0).astype(float)
 
 
 def _unpack(part: pd.DataFrame) -> tuple[list[str], list[_Moments], _Moments]:
@@ -228,7 +230,7 @@ def _fold_scores(cfg: ScmSettings):
         out = []
         for k, (held, train) in enumerate(zip(folds, trains)):
             sse = held.sse(path[k], train.offset(path[k], cfg.fit_intercept))
-            score = 1 - sse / held.sst() if method == "ridge" else sse / held.n
+            score = held.r2(sse) if method == "ridge" else sse / held.n
             r, a = np.meshgrid(np.arange(len(ratios)), np.arange(len(alphas)), indexing="ij")
             out.append(pd.DataFrame({
                 "treated_id": unit, "method": method, "alpha": np.asarray(alphas)[a.ravel()],
@@ -344,11 +346,12 @@ def predict_scm(panel: DataFrame, weights: DataFrame) -> DataFrame:
 def fit_ols_sql(panel: DataFrame, fit_intercept: bool = True) -> DataFrame:
     """Least squares against a single donor, entirely as an aggregate."""
     rows = long_panel(panel).filter("is_pre")
-    one = F.max("station_id")
     if fit_intercept:
-        slope, base = F.regr_slope("y", "x"), F.regr_intercept("y", "x")
+        slope = F.coalesce(F.try_divide(F.covar_pop("y", "x"), F.var_pop("x")), F.lit(0.0))
+        base = F.avg("y") - slope * F.avg("x")
     else:
-        slope, base = F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x")), F.lit(0.0)
+        slope = F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))), F.lit(0.0))
+        base = F.lit(0.0)
     return rows.groupBy("treated_id").agg(
-        one.alias("station_id"), slope.alias("weight"), base.alias("intercept")
+        F.max("station_id").alias("station_id"), slope.alias("weight"), base.alias("intercept")
     ).withColumn("method", F.lit("ols"))
