@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from panelcf.functions.columns import HOUSE, PanelCols, as_date, id_list
 from panelcf.functions.calendar import cycle_cos, cycle_sin
 from panelcf.operators.describe import daily_mean, monthly_mean
-from panelcf.operators.impute import interpolate_position
 
 
 def assign(spark: SparkSession, treated_ids, start, window=None, donor_set: str = "all") -> DataFrame:
@@ -40,52 +39,65 @@ def assign_all(m: DataFrame, start, window=None, donor_set: str = "all", cols: P
     })
 
 
-def counterfactual_panel(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame | None = None,
-                         grain: str = "month", cols: PanelCols = HOUSE) -> DataFrame:
-    """``treated_id, date, y, donors, start, ex_low, ex_high, is_pre``, complete dates only.
+_DATES = ("start", "ex_low", "ex_high")
 
-    ``donors`` is an array of ``(id, x)`` ordered by id, never holding the treated
-    unit. A date stays only if the treated unit and every donor that occurs in the
-    data have a value on it. Without ``donor_sets`` every other station is a donor.
-    A unit has one assignment. Treated and donor roles are gathered per date from
-    a single pass over the series; only the station count reads it once more.
-    """
+
+def _series(m: DataFrame, grain: str, cols: PanelCols) -> DataFrame:
     if grain not in ("month", "day"):
         raise ValueError("grain must be 'month' or 'day'")
-    series = (monthly_mean(m, cols=cols) if grain == "month" else daily_mean(m, cols)).select(
+    means = monthly_mean(m, cols=cols) if grain == "month" else daily_mean(m, cols)
+    return means.select(
         F.col(cols.id).alias("station_id"), F.col(cols.date).alias("date"), F.col(cols.value).alias("x")
     )
-    dates = ("start", "ex_low", "ex_high")
+
+
+def _with_roles(series: DataFrame, assignments: DataFrame, donor_sets: DataFrame | None):
+    """Series rows with their roles, the gathering keys, and whether a row is a donor's.
+
+    Without donor sets every station is a donor, the treated ones included.
+    """
     if donor_sets is None:
-        # Every station is a donor; the treated unit is one of them and is taken out again.
-        keys, is_donor = ["date"], F.lit(True)
-        total = series.select(F.count_distinct("station_id")).scalar()
-        rows = series.join(assignments, F.col("station_id") == F.col("treated_id"), "left")
-    else:
-        keys, is_donor = ["donor_set", "date"], F.col("treated_id").isNull()
-        roles = donor_sets.select("donor_set", "station_id").unionByName(
-            assignments.withColumn("station_id", F.col("treated_id")), allowMissingColumns=True)
-        rows = series.join(roles, "station_id")
-        members = rows.filter(is_donor).groupBy("donor_set").agg(F.collect_set("station_id").alias("members"))
+        rows = series.join(assignments.drop("donor_set"), F.col("station_id") == F.col("treated_id"), "left")
+        return rows, ["date"], F.lit(True)
+    roles = donor_sets.select("donor_set", "station_id").unionByName(
+        assignments.withColumn("station_id", F.col("treated_id")), allowMissingColumns=True)
+    return series.join(roles, "station_id"), ["donor_set", "date"], F.col("treated_id").isNull()
+
+
+def _gather(rows: DataFrame, keys: list[str], is_donor) -> DataFrame:
+    """Per treated unit and date: its own value and the known donor values by id."""
     known = F.col("x").isNotNull()
     cell = F.when(known & is_donor, F.struct(F.col("station_id").alias("id"), "x"))
-    role = F.when(known & F.col("treated_id").isNotNull(), F.struct("treated_id", F.col("x").alias("y"), *dates))
+    role = F.when(known & F.col("treated_id").isNotNull(), F.struct("treated_id", F.col("x").alias("y"), *_DATES))
     by_date = rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(cell)).alias("donors"), F.collect_list(role).alias("treated")
     )
+    return by_date.select(*keys, "donors", F.explode("treated").alias("t")).select(
+        *keys, "t.*", F.filter("donors", lambda d: d["id"] != F.col("t.treated_id")).alias("donors")
+    )
+
+
+def counterfactual_panel(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame | None = None,
+                         grain: str = "month", cols: PanelCols = HOUSE) -> DataFrame:
+    """``treated_id, date, y, donors, start, ex_low, ex_high, is_pre``, complete dates only.
+
+    ``donors`` is an array of ``(id, x)`` ordered by id, never holding the treated
+    unit. A date stays only if the treated unit and every donor that occurs in the
+    data have a value on it. Without ``donor_sets`` every other station is a donor.
+    A unit has one assignment. Treated and donor roles are gathered per date from
+    a single pass over the series; only the station count reads it once more.
+    """
+    series = _series(m, grain, cols)
+    rows, keys, is_donor = _with_roles(series, assignments, donor_sets)
+    gathered = _gather(rows, keys, is_donor)
     if donor_sets is None:
-        joined, n_donors = by_date, total - 1
+        n_donors = series.select(F.count_distinct("station_id")).scalar() - 1
     else:
-        own = F.array_contains("members", F.col("t.treated_id")).cast("int")
-        joined, n_donors = by_date.join(members, "donor_set"), F.size("members") - own
-    complete = (
-        joined.withColumn("t", F.explode("treated"))
-        .withColumn("donors", F.filter("donors", lambda d: d["id"] != F.col("t.treated_id")))
-        .filter((F.size("donors") == n_donors) & (n_donors > 0))
-    )
-    return complete.select(
-        "t.treated_id", "date", "t.y", "donors", *[f"t.{d}" for d in dates],
-        (F.col("date") < F.col("t.start")).alias("is_pre"),
+        members = rows.filter(is_donor).groupBy("donor_set").agg(F.collect_set("station_id").alias("members"))
+        gathered = gathered.join(members, "donor_set")
+        n_donors = F.size("members") - F.array_contains("members", F.col("treated_id")).cast("int")
+    return gathered.filter((F.size("donors") == n_donors) & (n_donors > 0)).select(
+        "treated_id", "date", "y", "donors", *_DATES, (F.col("date") < F.col("start")).alias("is_pre"),
     )
 
 
@@ -200,45 +212,37 @@ def design_monthly(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame |
     """Monthly panel on the treated unit's months, donor gaps filled by position, with season and trend.
 
     Unlike the complete-case panel, a donor gap does not remove a month; donors
-    without any value on these months are left out.
+    without any value on these months are left out. A known value fills the
+    positions up to the next one, the first also those before it; the treated
+    unit's own months travel along as a donor without id.
     """
-    series = monthly_mean(m, cols=cols).select(
-        F.col(cols.id).alias("station_id"), F.col(cols.date).alias("date"), F.col(cols.value).alias("value")
-    )
+    series = _series(m, "month", cols)
     if low is not None:
         series = series.filter(F.col("date").between(as_date(low), as_date(high)))
-    treated = (
-        series.filter(F.col("value").isNotNull())
-        .join(assignments, F.col("station_id") == F.col("treated_id"))
-        .select("treated_id", "donor_set", "date", F.col("value").alias("y"), "start", "ex_low", "ex_high")
-    )
-    keys, donors = ["date"], series
-    if donor_sets is not None:
-        keys, donors = ["donor_set", "date"], series.join(donor_sets, "station_id")
-    cells = treated.select("treated_id", *keys).join(donors, keys).filter(
-        F.col("station_id") != F.col("treated_id")
-    ).select("treated_id", "station_id", "date", "value")
-    dates = treated.groupBy("treated_id").agg(F.collect_set("date").alias("_dates"))
-    filled = interpolate_position_on(cells, dates)
-    arrays = filled.groupBy("treated_id", "date").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("station_id").alias("id"), F.col("value").alias("x"))))
-        .alias("donors")
-    )
+    months = Window.partitionBy("treated_id")
+    placed = _gather(*_with_roles(series, assignments, donor_sets)).withColumns({
+        "p": F.row_number().over(months.orderBy("date")), "n": F.count(F.lit(1)).over(months),
+    })
+    own = F.struct("date", "y", *_DATES)
+    carrier = F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("x")))
+    cells = placed.select("treated_id", "p", "n", own.alias("own"), F.explode(F.concat(carrier, "donors")).alias("d"))
+    one = Window.partitionBy("treated_id", "id").orderBy("p")
+    is_own = F.col("id").isNull()
+    known = cells.select(
+        "treated_id", "p", "n", "d.id", "d.x", F.when(F.col("d.id").isNull(), F.col("own")).alias("own")
+    ).withColumns({
+        "next_p": F.lead("p").over(one), "next_x": F.lead("x").over(one), "is_first": F.lag("p").over(one).isNull(),
+    })
+    since = F.when(~is_own & F.col("is_first"), F.lit(1)).otherwise(F.col("p"))
+    until = F.when(is_own, F.col("p")).otherwise(F.coalesce(F.col("next_p") - 1, F.col("n").cast("int")))
+    filled = known.withColumn("at", F.explode(F.sequence(since, until))).withColumn("x", F.when(
+        (F.col("at") <= F.col("p")) | F.col("next_p").isNull(), F.col("x")
+    ).otherwise(F.col("x") + (F.col("next_x") - F.col("x")) * (F.col("at") - F.col("p")) / (F.col("next_p") - F.col("p"))))
     month = F.month("date")
-    unit = Window.partitionBy("treated_id").orderBy("date")
-    return treated.drop("donor_set").join(arrays, ["treated_id", "date"]).withColumns({
+    return filled.groupBy("treated_id", "at").agg(
+        F.max("own").alias("own"),
+        F.sort_array(F.collect_list(F.when(~is_own, F.struct("id", "x")))).alias("donors"),
+    ).select("treated_id", "own.*", "donors", (F.col("at") - 1).cast("long").alias("trend")).withColumns({
         "is_pre": F.col("date") < F.col("start"),
         "month_sin": cycle_sin(month, 12), "month_cos": cycle_cos(month, 12),
-        "trend": (F.row_number().over(unit) - 1).cast("long"),
     })
-
-
-def interpolate_position_on(cells: DataFrame, dates: DataFrame) -> DataFrame:
-    """Fill the donors of each treated unit on that unit's own dates, by row position."""
-    known = cells.filter(F.col("value").isNotNull())
-    grid = known.select("treated_id", "station_id").distinct().join(dates, "treated_id").select(
-        "treated_id", "station_id", F.explode("_dates").alias("date")
-    )
-    full = grid.join(known, ["treated_id", "station_id", "date"], "left")
-    return interpolate_position(full, PanelCols("station_id", "date", "value"), group="treated_id")
-

@@ -21,6 +21,7 @@ _MULTI = T.StructType([T.StructField("type", T.StringType()),
                        T.StructField("coordinates", T.ArrayType(T.ArrayType(_RING)))])
 
 BAND_DEGREES = 0.05
+SALTS = 8  # a band with very many points is spread over this many join keys
 
 
 def zone_edges(features: DataFrame, zone_key: str = "zfe_id") -> DataFrame:
@@ -61,14 +62,20 @@ def _band(lat: Column, size: float) -> Column:
     return F.floor(lat / F.lit(size)).cast("long")
 
 
-def points_in_zones(points: DataFrame, edges: DataFrame, band: float = BAND_DEGREES) -> DataFrame:
+def points_in_zones(points: DataFrame, edges: DataFrame, band: float = BAND_DEGREES,
+                    salts: int = SALTS) -> DataFrame:
     """Distinct ``(lon, lat, zone)`` where the point is strictly inside one of the zone's polygons.
 
-    Points on an edge or a corner of a polygon are not inside that polygon.
+    Points on an edge or a corner of a polygon are not inside that polygon. Many
+    points may share a band (one large city): they are spread by position over
+    ``salts`` keys, and the far fewer edges are listed under each.
     """
-    spots = points.select("lon", "lat").dropna().distinct().withColumn("_band", _band(F.col("lat"), band))
+    spots = points.select("lon", "lat").dropna().distinct().withColumns({
+        "_band": _band(F.col("lat"), band), "_salt": F.pmod(F.xxhash64("lon", "lat"), F.lit(salts)).cast("int"),
+    })
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.withColumn("_band", F.explode(F.sequence(_band(low, band), _band(high, band))))
+    banded = edges.withColumn("_band", F.explode(F.sequence(_band(low, band), _band(high, band)))).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     x, y = F.col("lon"), F.col("lat")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     straddles = (y1 > y) != (y2 > y)
@@ -78,7 +85,7 @@ def points_in_zones(points: DataFrame, edges: DataFrame, band: float = BAND_DEGR
         & x.between(F.least(x1, x2), F.greatest(x1, x2))
         & y.between(low, high)
     )
-    met = spots.join(banded, "_band").filter(
+    met = spots.join(banded, ["_band", "_salt"]).filter(
         (y >= low) & (y <= high) & (x <= F.greatest(x1, x2))
     )
     per_polygon = met.groupBy("lon", "lat", "zone", "polygon").agg(

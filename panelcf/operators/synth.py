@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -64,6 +64,9 @@ DAILY = ScmSettings(
     min_pre=10,
 )
 
+# The monthly preset with the wider spread of ratios used while exploring.
+MONTHLY_WIDE = replace(MONTHLY, l1_ratios=(0.1, 0.5, 0.9))
+
 _MOMENTS = "treated_id string, fold int, n long, n_pre long, donors array<string>, sums array<double>, cross array<double>"
 _SCORES = "treated_id string, method string, alpha double, l1_ratio double, alpha_pos int, l1_pos int, fold int, score double"
 _WEIGHTS = "treated_id string, method string, alpha double, l1_ratio double, intercept double, station_id string, weight double"

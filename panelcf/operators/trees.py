@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from panelcf.functions.columns import id_list
 from panelcf.operators.panel import CALENDAR_FEATURES, SEASON_FEATURES
+from panelcf.sources.tables import stored
 
 
 def daily_models(seed: int = 0, n_trees: int = 500, n_rounds: int = 500, max_depth: int = 30) -> dict[str, Estimator]:
@@ -77,20 +78,21 @@ def _run(spark: SparkSession, tasks, parallelism: int) -> list:
 
 def fit_trees(design: DataFrame, treated_ids, models: dict[str, Estimator] | None = None,
               min_pre: int = 50, seed: int = 0, parallelism: int = 4, partitions: int = 2,
-              ) -> tuple[DataFrame, dict[tuple[str, str], object]]:
+              store: str | None = None) -> tuple[DataFrame, dict[tuple[str, str], object]]:
     """``(treated_id, method, date, y, y_hat)`` on all dates, and the fitted models.
 
     Trained on the dates before the start only. ``models`` maps a name to any
-    regression estimator; each is copied and seeded before it is fitted.
+    regression estimator; each is copied and seeded before it is fitted. Every
+    fit reads the feature rows: from files below ``store`` if given, else from a cache.
     """
     models = models or daily_models(seed)
     ids = id_list(treated_ids)
-    rows = feature_rows(design).filter(F.col("treated_id").isin(ids)).persist()
+    rows = feature_rows(design).filter(F.col("treated_id").isin(ids))
+    rows = stored(rows, f"{store}/features") if store else rows.persist()
     counts = {r.treated_id: r.n for r in rows.filter("is_pre").groupBy("treated_id").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     for unit in ids:
         if counts.get(unit, 0) < min_pre:
-            rows.unpersist()
             raise ValueError(f"treated unit {unit!r}: {counts.get(unit, 0)} complete dates before the start, "
                              f"at least {min_pre} are needed")
 

@@ -290,6 +290,7 @@ _FIT_SQL = SNATION_CELLS.rstrip() + """,
 def fixed_weights(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(panel, assignments, weights)`` with an equal and an id-dependent weighting."""
     panel, units = snation_months(spark, sf_dir)
+    panel = stored(panel, shared_dir(spark, "panel"))
     pairs = panels.long_panel(panel).select("treated_id", "station_id").distinct()
     n = pairs.groupBy("treated_id").agg((F.lit(1.0) / F.count(F.lit(1))).alias("flat"))
     both = pairs.join(n, "treated_id").withColumn("leaNing", (F.col("station_id").cast("double") + 1) / 300)
@@ -381,7 +382,7 @@ def m9(spark, sf_dir):
     unit = first_id(m)
     design = panels.design_daily(panels.daily_panel(m, panels.assign(spark, unit, START, WINDOW)))
     models = {"rf": trees.daily_models(n_trees=20, max_depth=10)["rf"]}
-    return rounded(trees.fit_trees(design, unit, models)[0], 3)
+    return rounded(trees.fit_trees(design, unit, models, store=shared_dir(spark, "trees"))[0], 3)
 
 
 @query("m10_fit_boosted")
@@ -390,7 +391,7 @@ def m10(spark, sf_dir):
     unit = first_id(m)
     design = panels.design_daily(panels.daily_panel(m, panels.assign(spark, unit, START, WINDOW)))
     models = {"gbt": trees.daily_models(n_rounds=15)["gbt"]}
-    return rounded(trees.fit_trees(design, unit, models)[0], 3)
+    return rounded(trees.fit_trees(design, unit, models, store=shared_dir(spark, "trees"))[0], 3)
 
 
 def _monthly_design(spark, sf_dir):
