@@ -123,9 +123,11 @@ def panel_problems(panel: DataFrame, assignments: DataFrame, min_pre: int = 1) -
     sizes = panel.groupBy("treated_id").agg(
         F.count(F.lit(1)).alias("n_dates"), F.count_if("is_pre").alias("n_pre")
     )
-    return assignments.select("treated_id").join(sizes, "treated_id", "left").select(
+    units = assignments.groupBy("treated_id").agg(F.count(F.lit(1)).alias("n_roles"))
+    return units.join(sizes, "treated_id", "left").select(
         "treated_id",
-        F.when(F.col("n_dates").isNull(), F.lit("no complete date: unit absent, or no common dates"))
+        F.when(F.col("n_roles") > 1, F.lit("assigned more than once"))
+        .when(F.col("n_dates").isNull(), F.lit("no complete date: unit absent, or no common dates"))
         .when(F.col("n_pre") < min_pre, F.concat(
             F.lit(f"fewer than {min_pre} complete dates before the start: "), F.col("n_pre").cast("string")))
         .alias("problem"),
@@ -143,17 +145,23 @@ def limiting_donors(m: DataFrame, grain: str = "month", cols: PanelCols = HOUSE)
     """Per station, the number of panel dates that only this station lacks.
 
     A date must be complete, so one short donor shrinks the whole panel; these
-    are the dates won back by leaving the station out.
+    are the dates won back by leaving the station out. A date carries only the
+    count and the combined fingerprint of its stations; where one is absent, the
+    difference to the fingerprint of all stations is that station's own.
     """
-    series = monthly_mean(m, cols=cols) if grain == "month" else daily_mean(m, cols)
-    known = series.filter(F.col(cols.value).isNotNull()).select(cols.id, cols.date)
-    stations = m.select(F.collect_set(cols.id)).scalar()
-    lacking = known.groupBy(cols.date).agg(F.collect_set(cols.id).alias("_has")).select(
-        F.array_except(stations, F.col("_has")).alias("_lacks")
+    mark = {"_f": F.xxhash64("station_id"), "_g": F.xxhash64(F.lit("second"), "station_id")}
+    series = _series(m, grain, cols)
+    stations = series.select("station_id").distinct().withColumns(mark)
+    total = [stations.select(e).scalar() for e in (F.count(F.lit(1)), F.bit_xor("_f"), F.bit_xor("_g"))]
+    lacking = (
+        series.filter(F.col("x").isNotNull()).withColumns(mark).groupBy("date")
+        .agg(F.count(F.lit(1)).alias("_k"), F.bit_xor("_f").alias("_f"), F.bit_xor("_g").alias("_g"))
+        .filter(F.col("_k") == total[0] - 1)
+        .select(F.col("_f").bitwiseXOR(total[1]).alias("_f"), F.col("_g").bitwiseXOR(total[2]).alias("_g"))
     )
     return (
-        lacking.filter(F.size("_lacks") == 1).groupBy(F.col("_lacks")[0].alias(cols.id))
-        .agg(F.count(F.lit(1)).alias("n_dates"))
+        lacking.groupBy("_f", "_g").agg(F.count(F.lit(1)).alias("n_dates"))
+        .join(stations, ["_f", "_g"]).select(F.col("station_id").alias(cols.id), "n_dates")
     )
 
 

@@ -30,12 +30,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     """Round all DOUBLE columns, so that summation order does not show.
 
     Means of few exact values often end in a 5 right behind the last digit kept.
     A nudge far below that digit moves them off the tie; the SQL adds the same.
+    ``other`` gives single columns their own number of digits.
     """
-    nudge = 3 * 10.0 ** -(digits + 3)
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({c: F.round(F.col(f"`{c}`") + nudge, digits) for c in doubles}) if doubles else df
+    keep = {c: other.get(c, digits) for c in doubles}
+    return df.withColumns({c: F.round(F.col(f"`{c}`") + 3 * 10.0 ** -(d + 3), d) for c, d in keep.items()}) if keep else df

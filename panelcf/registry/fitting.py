@@ -127,9 +127,7 @@ def m8b(spark, sf_dir):
     flat = design.select(
         "treated_id", "date", "y", F.aggregate("donors", F.lit(0.0), lambda a, d: a + d["x"]).alias("x_sum"),
         F.size("donors").cast("bigint").alias("n_donors"), "month_sin", "month_cos", "trend")
-    return rounded(rounded(flat, 6).withColumns({
-        c: F.round(F.col(c) + 3e-6, 3) for c in ("y", "x_sum")}), 9).withColumns({
-            c: F.round(F.col(c), d) for c, d in (("y", 3), ("x_sum", 3), ("month_sin", 6), ("month_cos", 6))})
+    return rounded(flat, 6, y=3, x_sum=3)
 
 
 # --- folds -------------------------------------------------------------------
@@ -228,8 +226,7 @@ def m3_sql(spark, sf_dir):
     donor = first_id(m)
     units = panels.assign_all(m, START, WINDOW).filter(F.col("treated_id") != donor)
     sets = spark.createDataFrame([("all", donor)], ["donor_set", "station_id"])
-    fit = synth.fit_ols_sql(panels.daily_panel(m, units, sets))
-    return fit.withColumns({"weight": F.round(F.col("weight") + 3e-9, 6), "intercept": F.round(F.col("intercept") + 3e-6, 3)})
+    return rounded(synth.fit_ols_sql(panels.daily_panel(m, units, sets)), 6, intercept=3)
 
 
 @query("m4_fit_ridge", _tuned_sql(

@@ -209,6 +209,9 @@ def test_guards(spark):
     early = panels.assign(spark, "T", "2020-01-05")
     with pytest.raises(ValueError, match="fewer than 10"):
         panels.require_fittable(panels.daily_panel(m, early), early, 10)
+    twice = absent.withColumn("treated_id", F.lit("T")).unionByName(early)
+    with pytest.raises(ValueError, match="more than once"):
+        panels.require_fittable(panels.daily_panel(m, twice), twice)
     with pytest.raises(ValueError, match="unknown methods"):
         synth.fit_scm(panels.daily_panel(m, early), ["svm"])
 
