@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelcf.functions import calendar
+from panelcf.functions.columns import as_date
 from panelcf.operators import describe, quality, zones
+from panelcf.operators.effects import capitalised
+from panelcf.operators.impute import interpolate_position, interpolate_time
+from panelcf.operators.panel import limiting_donors
+from panelcf.plans.prepare import prepare
 from panelcf.registry.book import query, rounded
 from panelcf.registry.panels import (
     EVENT_START, EVENT_WINDOW, START, described, first_id, p_onation, p_segment, p_snation, p_supp,
-    p_type, p_user, with_sql,
+    p_type, p_user, table, with_sql,
 )
-from panelcf.registry.reading import AREAS_SQL, META_SQL, area_meta
+from panelcf.registry.reading import AREAS_SQL, IN_ZONE_SQL, META_SQL, area_meta, raw_export, zone_features
 
 _PRE, _POST = "date < DATE '1999-01-01'", "date >= DATE '1999-01-01'"
 
@@ -280,11 +286,10 @@ def _corr_sql(panel: str, pre: str, treated: str) -> str:
 
 
 @query("a14_pre_correlations", _corr_sql(
-    "p_snation", _PRE, "AND a.station_id IN (SELECT station_id FROM p_snation GROUP BY 1 ORDER BY 1 LIMIT 2)"))
+    "p_snation", _PRE, "AND a.station_id = (SELECT min(station_id) FROM p_snation)"))
 def a14(spark, sf_dir):
     m = p_snation(spark, sf_dir)
-    ids = [r.station_id for r in m.select("station_id").distinct().orderBy("station_id").limit(2).collect()]
-    return rounded(describe.pre_correlations(m, ids, START))
+    return rounded(describe.pre_correlations(m, first_id(m), START))
 
 
 @query("a14_pre_correlations_events", _corr_sql("p_type", "date < DATE '2024-01-16'", ""))
@@ -294,7 +299,7 @@ def a14_events(spark, sf_dir):
     return rounded(describe.pre_correlations(m, ids, EVENT_START))
 
 
-_IDS = ("1", "2", "3")
+_IDS = tuple(str(k) for k in range(25))  # the nation keys
 
 
 @query("a16_to_wide", with_sql("p_onation") + "SELECT date, " + ", ".join(
@@ -305,7 +310,7 @@ def a16(spark, sf_dir):
 
 
 @query("a17_to_long", with_sql("p_onation") + """
-    SELECT station_id, date, round(value + 3e-7, 4) AS value FROM p_onation WHERE station_id IN ('1', '2', '3')""")
+    SELECT station_id, date, round(value + 3e-7, 4) AS value FROM p_onation""")
 def a17(spark, sf_dir):
     return rounded(describe.to_long(describe.to_wide(p_onation(spark, sf_dir), list(_IDS))), 4)
 
@@ -360,8 +365,6 @@ def _fill_sql(grid: str, at: str, digits: int, keys: str = "station_id") -> str:
         SELECT station_id FROM days GROUP BY 1 HAVING (count(*) - count(value)) / count(*) <= 0.2)),
     {_fill_sql("good", "t", 6)}""") + "SELECT * FROM filled")
 def w3(spark, sf_dir):
-    from panelcf.operators.impute import interpolate_time
-
     return rounded(interpolate_time(holed(spark, sf_dir), 0.2)[0])
 
 
@@ -369,8 +372,6 @@ def w3(spark, sf_dir):
     good AS (SELECT *, CAST(date - DATE '1990-01-01' AS BIGINT) AS t FROM days), {_fill_sql("good", "t", 3)}""") + """
     SELECT * FROM filled""")
 def w3_all(spark, sf_dir):
-    from panelcf.operators.impute import interpolate_time
-
     return rounded(interpolate_time(p_snation(spark, sf_dir), 1.0)[0], 3)
 
 
@@ -379,8 +380,6 @@ def w3_all(spark, sf_dir):
              FROM (SELECT DISTINCT station_id FROM sparse) CROSS JOIN (SELECT DISTINCT date FROM sparse)
              LEFT JOIN sparse USING (station_id, date)), """ + _fill_sql("grid", "t", 6)) + "SELECT * FROM filled")
 def w4(spark, sf_dir):
-    from panelcf.operators.impute import interpolate_position
-
     return rounded(interpolate_position(sparse_months(spark, sf_dir)))
 
 
@@ -397,6 +396,47 @@ def w5(spark, sf_dir):
     SELECT station_id, count(*) AS n_dates FROM cells WHERE lacks
         AND date IN (SELECT date FROM cells GROUP BY 1 HAVING count(*) FILTER (lacks) = 1) GROUP BY 1""")
 def limiting(spark, sf_dir):
-    from panelcf.operators.panel import limiting_donors
-
     return limiting_donors(p_segment(spark, sf_dir), "day")
+
+
+@query("f_scalar_functions", """
+    SELECT o_orderkey, CAST(month(d) AS INTEGER) AS month, CAST(isodow(d) - 1 AS INTEGER) AS dow, isodow(d) >= 6 AS weekend,
+           CAST(date_trunc('month', d) AS DATE) AS month_start, CAST(d - DATE '1995-01-01' + 1 AS INTEGER) AS days,
+           round(sin(2 * pi() * month(d) / 12) + 3e-9, 6) AS month_sin, round(cos(2 * pi() * (isodow(d) - 1) / 7) + 3e-9, 6) AS dow_cos,
+           round(pow(10, -3 + (o_orderkey % 50) * 6 / 49) + 3e-9, 6) AS alpha,
+           upper(o_orderpriority[3]) || lower(o_orderpriority[4:]) AS priority, contains(lower(o_orderpriority), 'high') AS is_high
+    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def scalars(spark, sf_dir):
+    day, month, dow = F.to_date("o_orderdate"), F.month("o_orderdate"), F.weekday("o_orderdate")
+    orders = table(spark, sf_dir, "orders").withColumn("word", F.substring("o_orderpriority", 3, 100))
+    return rounded(orders.select(
+        "o_orderkey", month.alias("month"), dow.alias("dow"), calendar.is_weekend(day).alias("weekend"),
+        calendar.month_start(day).alias("month_start"), calendar.days_spanned(as_date("1995-01-01"), day).alias("days"),
+        calendar.cycle_sin(month, 12).alias("month_sin"), calendar.cycle_cos(dow, 7).alias("dow_cos"),
+        calendar.log_grid(-3, 3, 50)[(F.col("o_orderkey") % 50).cast("int")].alias("alpha"),
+        capitalised("word").alias("priority"), F.contains(F.lower("o_orderpriority"), F.lit("high")).alias("is_high")))
+
+
+_EXPORTED = """holed AS (SELECT CAST(user_id AS VARCHAR) AS station_id, CAST(ts AS DATE) AS date,
+    avg(CASE WHEN event_id % 11 <> 0 THEN value END) AS value FROM events GROUP BY 1, 2)"""
+
+
+@query("e2_prepared_panel", f"""WITH {_EXPORTED}, {_DAY_GRID},
+    good AS (SELECT *, CAST(date - DATE '2000-01-01' AS BIGINT) AS t FROM days WHERE station_id IN (
+        SELECT station_id FROM days GROUP BY 1 HAVING (count(*) - count(value)) / count(*) <= 0.2)),
+    {_fill_sql("good", "t", 6)}
+    SELECT station_id, date, value, 'Station ' || station_id AS station_name, 'NATION_12' AS zone FROM filled""")
+def e2(spark, sf_dir):
+    done = prepare(raw_export(spark, sf_dir), zone_features(spark, sf_dir), "NATION_12", 0.2)
+    return rounded(done.filled.select("station_id", "date", "value", "station_name", "zone"))
+
+
+@query("e2_flagged_stations", """
+    WITH first AS (SELECT CAST(user_id AS VARCHAR) AS station_id,
+            min({'d': CAST(ts AS DATE), 'v': CAST(event_id % 90 AS DOUBLE)}).v AS lat,
+            min({'d': CAST(ts AS DATE), 'v': CAST(event_id % 180 AS DOUBLE)}).v AS lon FROM events GROUP BY 1),
+         moved AS (SELECT *, lon - (14 * 12 - 180) AS dx, lat - (5 * 12 - 65) AS dy FROM first)
+    SELECT station_id, lat, lon, """ + IN_ZONE_SQL + " AS in_zone FROM moved")
+def e2_stations(spark, sf_dir):
+    done = prepare(raw_export(spark, sf_dir), zone_features(spark, sf_dir), "NATION_12")
+    return done.stations.select("station_id", "lat", "lon", "in_zone")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from panelcf.operators import effects, panel as panels, synth, trees
 from panelcf.operators.impute import interpolate_time
 from panelcf.plans.evaluate import evaluate
 from panelcf.registry.book import query, rounded
-from panelcf.registry.describing import monthly_sql
+from panelcf.registry.describing import monthly_sql, sparse_months
 from panelcf.registry.panels import (
     EVENT_START, EVENT_WINDOW, START, WINDOW, described, first_id, p_onation, p_segment, p_snation, p_type, with_sql,
 )
@@ -99,7 +100,7 @@ def m8(spark, sf_dir):
 
 _TREND_SQL = with_sql("p_onation", more=monthly_sql("p_onation") + """,
     sparse AS (SELECT station_id, date, value FROM monthly WHERE n_values >= 10),
-    t AS (SELECT station_id AS treated_id, date, value AS y FROM sparse WHERE CAST(station_id AS INTEGER) < 5),
+    t AS (SELECT station_id AS treated_id, date, value AS y FROM sparse),
     grid AS (SELECT t.treated_id, d.station_id, t.date, m.value,
                     row_number() OVER (PARTITION BY t.treated_id, d.station_id ORDER BY t.date) AS t
              FROM t JOIN (SELECT DISTINCT station_id FROM sparse) d ON d.station_id <> t.treated_id
@@ -119,10 +120,8 @@ _TREND_SQL = with_sql("p_onation", more=monthly_sql("p_onation") + """,
     FROM t JOIN (SELECT treated_id, date, sum(x) AS sum_x, count(x) AS n_donors FROM filled WHERE x IS NOT NULL GROUP BY 1, 2)
     USING (treated_id, date)""")
 def m8b(spark, sf_dir):
-    from panelcf.registry.describing import sparse_months
-
     months = sparse_months(spark, sf_dir).filter("value IS NOT NULL")
-    units = panels.assign_all(months, START, WINDOW).filter(F.col("treated_id").cast("int") < 5)
+    units = panels.assign_all(months, START, WINDOW)
     design = panels.design_monthly(months, units)
     flat = design.select(
         "treated_id", "date", "y", F.aggregate("donors", F.lit(0.0), lambda a, d: a + d["x"]).alias("x_sum"),
@@ -340,12 +339,12 @@ def a20(spark, sf_dir):
 
 @query("a21_weight_ranking", _FIT_SQL + """
     SELECT treated_id, station_id, round(coalesce(sum(weight) FILTER (method = 'flat'), 0) + 3e-9, 6) AS flat,
-           round(coalesce(sum(weight) FILTER (method = 'leaNing' AND CAST(station_id AS INTEGER) % 2 = 0), 0) + 3e-9, 6) AS "leaNing",
+           round(coalesce(sum(weight) FILTER (method = 'leaNing' AND weight > 0.021), 0) + 3e-9, 6) AS "leaNing",
            round((coalesce(sum(abs(weight)) FILTER (method = 'flat'), 0)
-              + coalesce(sum(abs(weight)) FILTER (method = 'leaNing' AND CAST(station_id AS INTEGER) % 2 = 0), 0)) / 2 + 3e-9, 6) AS mean_abs
+              + coalesce(sum(abs(weight)) FILTER (method = 'leaNing' AND weight > 0.021), 0)) / 2 + 3e-9, 6) AS mean_abs
     FROM w GROUP BY 1, 2""")
 def a21(spark, sf_dir):
-    weights = fixed_weights(spark, sf_dir)[2].filter("method = 'flat' OR CAST(station_id AS INT) % 2 = 0")
+    weights = fixed_weights(spark, sf_dir)[2].filter("method = 'flat' OR weight > 0.021")
     return rounded(effects.weight_ranking(weights, ["flat", "leaNing"]))
 
 
@@ -412,8 +411,6 @@ def m12(spark, sf_dir):
 
 @query("m13_own_estimator")
 def m13(spark, sf_dir):
-    from pyspark.ml.regression import DecisionTreeRegressor
-
     m = p_segment(spark, sf_dir)
     unit = first_id(m)
     design = panels.design_daily(panels.daily_panel(m, panels.assign(spark, unit, START, WINDOW)))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcf.functions.columns import MAX_DAYS
 from panelcf.operators import clean, spatial, zones
+from panelcf.operators.describe import monthly_mean
 from panelcf.plans.zone_tables import DATE_COLUMNS, build_zone_tables, clean_zone_table
 from panelcf.registry.book import query, rounded
 from panelcf.registry.panels import (
-    START, WINDOW, described, p_onation, p_segment, p_snation, p_user, spots, table, user_rows, with_sql,
+    START, WINDOW, described, first_id, p_onation, p_segment, p_snation, p_user, spots, table, user_rows, with_sql,
 )
 from panelcf.session import shared_dir
 from panelcf.sources import features, tables, upsert
@@ -143,11 +145,11 @@ def s3(spark, sf_dir):
 
 
 @query("s4_read_panel", with_sql("p_user") + """
-    SELECT station_id, date, round(value + 3e-9, 6) AS value FROM p_user WHERE date >= DATE '2024-01-16'""")
+    SELECT station_id, date, round(value + 3e-9, 6) AS value FROM p_user""")
 def s4(spark, sf_dir):
     path = shared_dir(spark, "panel")
     tables.write_panel(p_user(spark, sf_dir), path)
-    return rounded(tables.read_panel(spark, path).filter(F.col("date") >= "2024-01-16"))
+    return rounded(tables.read_panel(spark, path))
 
 
 @query("s5_write_table", with_sql("p_onation") + """
@@ -366,13 +368,13 @@ def zone_features(spark, sf_dir) -> DataFrame:
         F.create_map(F.lit("zfe_id"), F.col("n_name")).alias("publisher"), F.to_json(geometry).alias("geometry"))
 
 
-_IN_ZONE = """(
+IN_ZONE_SQL = """(
     (dx > 0 AND dx < 20 AND dy > 0 AND dy < 20 AND NOT (dx BETWEEN 5 AND 15 AND dy BETWEEN 5 AND 15))
     OR (dx > 10 AND dy > 10 AND dx + dy < 40))"""
 
 
 @query("j7_flag_in_zone", with_sql("spots") + f"""
-    SELECT station_id, {_IN_ZONE} AS in_zone
+    SELECT station_id, {IN_ZONE_SQL} AS in_zone
     FROM (SELECT station_id, lon - (14 * 12 - 180) AS dx, lat - (5 * 12 - 65) AS dy FROM spots)""")
 def j7(spark, sf_dir):
     flagged = spatial.flag_in_zone(spots(spark, sf_dir), zone_features(spark, sf_dir), "NATION_12")
@@ -382,7 +384,7 @@ def j7(spark, sf_dir):
 @query("j7_points_in_zones", with_sql("spots") + f"""
     SELECT DISTINCT lon, lat, n_name AS zone
     FROM (SELECT lon, lat, n_name, lon - (14 * n_nationkey - 180) AS dx, lat - (5 * n_nationkey - 65) AS dy
-          FROM spots, nation) WHERE {_IN_ZONE}""")
+          FROM spots, nation) WHERE {IN_ZONE_SQL}""")
 def j7_all(spark, sf_dir):
     return spatial.points_in_zones(spots(spark, sf_dir), spatial.zone_edges(zone_features(spark, sf_dir)))
 
@@ -390,30 +392,32 @@ def j7_all(spark, sf_dir):
 @query("j8_donors_outside", with_sql("spots") + f"""
     SELECT CAST(o_custkey AS VARCHAR) AS station_id, o_orderkey FROM orders WHERE CAST(o_custkey AS VARCHAR) IN (
         SELECT station_id FROM (SELECT station_id, lon - (14 * 12 - 180) AS dx, lat - (5 * 12 - 65) AS dy FROM spots)
-        WHERE NOT {_IN_ZONE})""")
+        WHERE NOT {IN_ZONE_SQL})""")
 def j8(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("station_id"), "o_orderkey")
     flagged = spatial.flag_in_zone(spots(spark, sf_dir), zone_features(spark, sf_dir), "NATION_12")
     return zones.donors_outside(orders, flagged)
 
 
-@query("j9_align_dates", with_sql("p_snation") + """
-    SELECT a.date, round(a.value + 3e-7, 4) AS a, round(b.value + 3e-7, 4) AS b FROM p_snation a JOIN p_snation b ON a.date = b.date
-    WHERE a.station_id = '1' AND b.station_id = '2'""")
+@query("j9_align_dates", with_sql("p_snation", more="""
+    t AS (SELECT min(station_id) AS id FROM p_snation)""") + """
+    SELECT date, round(any_value(value) FILTER (station_id = id) + 3e-7, 4) AS treated,
+           round(avg(value) FILTER (station_id <> id) + 3e-7, 4) AS donors
+    FROM p_snation, t GROUP BY date HAVING count(*) FILTER (station_id = id) > 0 AND count(*) FILTER (station_id <> id) > 0""")
 def j9(spark, sf_dir):
     m = p_snation(spark, sf_dir)
-    a, b = (m.filter(F.col("station_id") == i).select("date", F.col("value").alias(n)) for i, n in (("1", "a"), ("2", "b")))
-    return rounded(clean.align_dates(a, b), 4)
+    own = F.col("station_id") == first_id(m)
+    treated = m.filter(own).select("date", F.col("value").alias("treated"))
+    donors = m.filter(~own).groupBy("date").agg(F.avg("value").alias("donors"))
+    return rounded(clean.align_dates(donors, treated, rows=MAX_DAYS), 4)
 
 
 @query("j10_attach_meta", with_sql("p_onation", "described") + """
     SELECT station_id, date, station_name FROM
         (SELECT DISTINCT station_id, CAST(date_trunc('month', date) AS DATE) AS date FROM p_onation)
-        LEFT JOIN (SELECT DISTINCT station_id, station_name FROM described WHERE station_env = 'BUILDING') USING (station_id)""")
+        LEFT JOIN (SELECT DISTINCT station_id, station_name FROM described) USING (station_id)""")
 def j10(spark, sf_dir):
-    from panelcf.operators.describe import monthly_mean
-
-    meta = clean.stations(described(spark, sf_dir).filter("station_env = 'BUILDING'"), ["station_name"])
+    meta = clean.stations(described(spark, sf_dir), ["station_name"])
     return zones.attach_meta(monthly_mean(p_onation(spark, sf_dir)).drop("value"), meta)
 
 
@@ -450,8 +454,9 @@ def o4(spark, sf_dir):
     return first.groupBy("station_id", "station_env").agg(F.count(F.lit(1)).alias("n_days"), F.min("date").alias("first_day"))
 
 
-@query("o5_common_dates", with_sql("p_snation") + """
-    SELECT date FROM p_snation WHERE station_id = '1' INTERSECT SELECT date FROM p_snation WHERE station_id = '2'""")
+@query("o5_common_dates", with_sql("p_snation", more="t AS (SELECT min(station_id) AS id FROM p_snation)") + """
+    SELECT date FROM p_snation, t WHERE station_id = id INTERSECT SELECT date FROM p_snation, t WHERE station_id <> id""")
 def o5(spark, sf_dir):
     m = p_snation(spark, sf_dir)
-    return clean.common_dates(m.filter("station_id = '1'"), m.filter("station_id = '2'"))
+    own = F.col("station_id") == first_id(m)
+    return clean.common_dates(m.filter(own), m.filter(~own))
