@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelcf.functions.columns import MAX_DAYS
 from panelcf.operators import clean, spatial, zones
 from panelcf.operators.describe import monthly_mean
-from panelcf.plans.zone_tables import DATE_COLUMNS, build_zone_tables, clean_zone_table
+from panelcf.plans.zone_tables import build_zone_tables, clean_zone_table
 from panelcf.registry.book import query, rounded
 from panelcf.registry.panels import (
     START, WINDOW, described, first_id, p_onation, p_segment, p_snation, p_user, spots, table, user_rows, with_sql,
