@@ -213,6 +213,28 @@ def m3(spark, sf_dir):
     return _fit_columns(synth.fit_scm(one_donor_events(spark, sf_dir), ["ols"], synth.DAILY))
 
 
+@query("m3_fit_ols_two_donors", with_sql("p_type", more="""
+    a AS (SELECT min(station_id) AS id FROM p_type),
+    b AS (SELECT min(station_id) AS id FROM p_type WHERE station_id > (SELECT id FROM a)),
+    rows AS (SELECT t.station_id AS treated_id, t.value AS y, u.value AS u, v.value AS v
+             FROM p_type t JOIN p_type u ON u.date = t.date JOIN p_type v ON v.date = t.date
+             WHERE u.station_id = (SELECT id FROM a) AND v.station_id = (SELECT id FROM b)
+               AND t.station_id NOT IN (SELECT id FROM a UNION ALL SELECT id FROM b) AND t.date < DATE '2024-01-16'),
+    c AS (SELECT treated_id, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, var_pop(u) AS uu, var_pop(v) AS vv,
+                 covar_pop(u, v) AS uv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM rows GROUP BY 1),
+    w AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS wu, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS wv FROM c)""") + """
+    SELECT treated_id, id AS station_id, round(CASE WHEN id = (SELECT id FROM a) THEN wu ELSE wv END + 3e-9, 6) AS weight,
+           round(my - wu * mu - wv * mv + 3e-9, 6) AS intercept
+    FROM w, (SELECT id FROM a UNION ALL SELECT id FROM b) d""")
+def m3_two(spark, sf_dir):
+    m = p_type(spark, sf_dir)
+    pool = [r.station_id for r in m.select("station_id").distinct().orderBy("station_id").limit(2).collect()]
+    units = panels.assign_all(m, EVENT_START, EVENT_WINDOW).filter(~F.col("treated_id").isin(pool))
+    sets = spark.createDataFrame([("all", d) for d in pool], ["donor_set", "station_id"])
+    fit = synth.fit_scm(panels.daily_panel(m, units, sets), ["ols"], synth.DAILY)
+    return rounded(fit.select("treated_id", "station_id", "weight", "intercept"))
+
+
 @query("m3_fit_ols_aggregate", with_sql("p_segment", more="""
     d AS (SELECT min(station_id) AS id FROM p_segment),
     rows AS (SELECT t.station_id AS treated_id, s.station_id, s.value AS x, t.value AS y FROM p_segment t
