@@ -131,7 +131,7 @@ class _Moments:
     def sse(self, w: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Squared error of each row of ``w`` with intercept ``b`` on these rows."""
         v = np.concatenate([-w, np.ones(w.shape[:-1] + (1,))], axis=-1)
-        return np.einsum("...i,ij,...j->...", v, self.c, v) - 2 * b * (v @ self.s) + self.n * b * b
+        return np.einsum("...i,ij,...j->...", v, self.c, v) - 2 * b * np.einsum("...i,i->...", v, self.s) + self.n * b * b
 
     def r2(self, sse: np.ndarray) -> np.ndarray:
         """1 - SSE / SST; a constant y scores 1 if met exactly, else 0."""
@@ -295,10 +295,13 @@ def choose(scores: DataFrame) -> DataFrame:
 
     Ridge: highest mean R², then the first alpha of the grid. Lasso and elastic
     net: lowest mean MSE, then the first ratio of the grid, then the largest alpha.
+    Folds are added in their order, so that equal scores (all weights zero, say)
+    stay exactly equal and the tie rules decide.
     """
+    in_order = F.sort_array(F.collect_list(F.struct("fold", "score")))
     mean = scores.groupBy("treated_id", "method", "alpha", "l1_ratio", "alpha_pos", "l1_pos").agg(
-        F.avg("score").alias("score")
-    )
+        in_order.alias("folds")
+    ).withColumn("score", F.aggregate("folds", F.lit(0.0), lambda a, f: a + f["score"]) / F.size("folds"))
     ridge = F.col("method") == "ridge"
     rank = F.struct(
         F.when(ridge, -F.col("score")).otherwise(F.col("score")).alias("loss"),

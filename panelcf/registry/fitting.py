@@ -184,7 +184,11 @@ _ONE = with_sql("p_type", more="""
 
 
 def _tuned_sql(method: str, grid: str, weight: str, score: str, order: str) -> str:
-    """Cross-validated fit with one donor; ``weight`` uses n, sxx, sxy, a (alpha), r (ratio)."""
+    """Cross-validated fit with one donor; ``weight`` uses n, sxx, sxy, a (alpha), r (ratio).
+
+    Penalties that all give a zero weight have the same score; ``order`` compares scores above
+    the noise of summation, so that such ties are decided by the tie rule.
+    """
     return _ONE + f""",
     grid AS ({grid}),
     fits AS (SELECT treated_id, k, a, r, apos, rpos, {weight} AS w, my - ({weight}) * mx AS b FROM train CROSS JOIN grid),
@@ -259,7 +263,7 @@ def m4(spark, sf_dir):
 
 @query("m5_fit_lasso", _tuned_sql(
     "lasso", "SELECT pow(10, -3 + i * 4 / 39) AS a, 1.0::DOUBLE AS r, i AS apos, 0 AS rpos FROM range(40) t(i)",
-    _SOFT, _MSE, "score, rpos, a DESC"))
+    _SOFT, _MSE, "round(score, 9), rpos, a DESC"))
 def m5(spark, sf_dir):
     return _fit_columns(synth.fit_scm(one_donor_events(spark, sf_dir), ["lasso"], synth.DAILY))
 
@@ -267,7 +271,7 @@ def m5(spark, sf_dir):
 @query("m6_fit_elasticnet", _tuned_sql(
     "elasticnet", """SELECT pow(10, -3 + i * 4 / 39) AS a, r::DOUBLE AS r, i AS apos, rpos
     FROM range(40) t(i), (VALUES (0.1, 0), (0.5, 1), (0.9, 2)) v(r, rpos)""",
-    _SOFT, _MSE, "score, rpos, a DESC"))
+    _SOFT, _MSE, "round(score, 9), rpos, a DESC"))
 def m6(spark, sf_dir):
     return _fit_columns(synth.fit_scm(one_donor_events(spark, sf_dir), ["elasticnet"], synth.DAILY))
 
