@@ -13,14 +13,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
 from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Ship the task-side functions with the job; executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MEMO_TOKENS = 600_000
 _GOLD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -149,21 +154,22 @@ class Codec:
         return " ".join(map(self.digits_of.__getitem__, ids))
 
 
-#: The codec of a vocabulary, kept by a worker from task to task.
-_codecs: dict[int, Codec] = {}
+def _broadcast(df: DataFrame, v: Vocabulary):
+    """The vocabulary as plain values; a worker keeps its memo beside them from task to task."""
+    return df.sparkSession.sparkContext.broadcast(
+        {"pattern": v.pattern, "shifts": v.whole.shifts, "slots": v.whole.slots, "ids": v.ids, "ranks": v.ranks, "memo": {}})
 
 
 def _codec(shared) -> Codec:
-    mark = id(shared.value)
-    if mark not in _codecs or _codecs[mark].v is not shared.value:
-        _codecs.clear()
-        _codecs[mark] = Codec(shared.value)
-    return _codecs[mark]
+    v = shared.value
+    codec = Codec(Vocabulary(v["pattern"], PerfectHash(v["shifts"], v["slots"]), v["ids"], v["ranks"]))
+    codec.memo = v["memo"]
+    return codec
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = _broadcast(docs, vocabulary)
 
     def run(batches):
         codec = _codec(shared)
@@ -176,7 +182,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); bytes that are no UTF-8 become replacement characters, a null list the empty text."""
-    shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = _broadcast(coded, vocabulary)
 
     def run(batches):
         codec = _codec(shared)
@@ -192,7 +198,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per row the number of ids, and digests of the ids and of what they decode to; encodes and decodes in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = _broadcast(docs, vocabulary)
 
     def run(batches):
         codec = _codec(shared)

@@ -16,15 +16,20 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcf.llm.dom import Node, attributes, parse
 
+# Ship the task-side functions with the job; executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Pages whose text the training layouts use: those with the least hash of page_id.
 SAMPLE_PAGES = 200
 LAYOUTS = 600
@@ -329,12 +334,13 @@ def fit_from(pages: DataFrame) -> Boosted:
 
 def extract(pages: DataFrame, model: Boosted) -> DataFrame:
     """(page_id, url, text, n_chars) per row."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast((model.base, model.feature, model.cut, model.leaf))
 
     def run(batches):
+        model = Boosted(*shared.value)
         for batch in batches:
             trees = [parse(source.as_py()) for source in batch.column(2)]
-            odds = shared.value.log_odds(np.concatenate([features(t) for t in trees])) if trees else []
+            odds = model.log_odds(np.concatenate([features(t) for t in trees])) if trees else []
             texts, done = [], 0
             for t in trees:
                 texts.append(main_text(t, odds[done:done + len(t)]))

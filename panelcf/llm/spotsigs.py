@@ -27,20 +27,26 @@ ANCHORS = (
     "von vor war wie wird zu zum zur al como con cuando del el ella ellos entre eran esta este fue hay las lo los más me mi muy no nos para "
     "pero por porque si sin sobre su sus también tiene todo una uno y ya"
 ).split()
-CHAIN = 2
+PUNCTUATION = r"[.,;:!?\"'()|]"
 _MARK = "\u0001"
 
 
-def signatures(text: Column) -> Column:
-    """The sorted distinct signature hashes of a text (array<long>)."""
-    words = F.split(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), rf"[.,;:!?\"'()]|^{SPACE_PATTERN}|{SPACE_PATTERN}$", ""), SPACE_PATTERN)
-    # anchors become a mark that sticks to the next word; the text's beginning is an anchor too
-    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*ANCHORS), _MARK).otherwise(w)), " ")
-    content = F.filter(F.split(F.concat(F.lit(_MARK), F.replace(marked, F.lit(_MARK + " "), F.lit(_MARK))), " "), lambda w: w != "")
-    chains = F.transform(content, lambda w, i: F.when(
-        w.startswith(_MARK), F.xxhash64(F.ltrim(w, F.lit(_MARK)), *[F.ltrim(F.get(content, i + k), F.lit(_MARK)) for k in range(1, CHAIN)])))
-    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, F.array().cast("array<long>")).otherwise(
-        F.sort_array(F.array_distinct(F.filter(chains, lambda c: c.isNotNull()))))
+def _content(text: Column) -> Column:
+    """The content words; one that follows an anchor or the text's beginning has a mark in front."""
+    bare = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
+    marked = F.array_join(F.transform(F.split(bare, SPACE_PATTERN), lambda w: F.when(w.isin(*ANCHORS), _MARK).otherwise(w)), " ")
+    stuck = F.concat(F.lit(_MARK), F.replace(F.ltrim(marked), F.lit(_MARK + " "), F.lit(_MARK)))
+    return F.filter(F.split(stuck, " "), lambda w: ~w.isin("", _MARK))
+
+
+def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the sorted distinct signature hashes (array<long>) of a text column."""
+    words = f"{name}_words"
+    following = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+    bare = lambda w: F.ltrim(w, F.lit(_MARK))
+    chains = F.zip_with(words, following, lambda w, x: F.when(w.startswith(_MARK), F.xxhash64(bare(w), F.coalesce(bare(x), F.lit("")))))
+    sigs = F.sort_array(F.array_distinct(F.filter(chains, lambda c: c.isNotNull())))
+    return df.withColumn(words, _content(F.col(text))).withColumn(name, sigs).drop(words)
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -61,7 +67,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     Returns (members, pairs): members (doc_id, class_id) puts rows with equal signature sets into a class, named by the smallest doc_id;
     pairs (a, b, likeness) has all pairs of different classes at ``threshold`` or more, so copies are never expanded into pairs.
     """
-    own = docs.select("doc_id", signatures(F.col("text")).alias("sigs"))
+    own = with_signatures(docs.select("doc_id", "text"), "text", "sigs").select("doc_id", "sigs")
     named = stored(own.withColumn("set", F.sha2(F.array_join(F.transform("sigs", lambda s: F.hex(s)), ""), 256)), "signatures")
     classes = stored(named.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")), "signature-sets")
     members = named.join(classes.select("set", "class_id"), "set").select("doc_id", "class_id")
@@ -123,7 +129,7 @@ def edit_experiment(docs: DataFrame) -> DataFrame:
             F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))))
     sent = met.select("doc_id", "text", F.explode(homes).alias("home")).select("doc_id", "text", "home.bucket", "home.guest").repartition("bucket")
     line = Window.partitionBy("bucket").orderBy("guest", "doc_id", F.xxhash64("text"))
-    with_sigs = sent.withColumn("sigs", signatures(F.col("text")))
+    with_sigs = with_signatures(sent, "text", "sigs")
     ahead = with_sigs.withColumns({"next": F.lead("text").over(line), "next_sigs": F.lead("sigs").over(line)}).where("guest = 0")
     return _compared(ahead)
 
@@ -132,7 +138,7 @@ def _compared(ahead: DataFrame) -> DataFrame:
     n_chars = F.length("text")
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n_chars - half), F.substring("next", F.lit(1), half))
-    done = ahead.withColumns({"n_chars": n_chars.cast("long"), "edited": edited}).withColumn("edited_sigs", signatures(F.col("edited")))
+    done = with_signatures(ahead.withColumns({"n_chars": n_chars.cast("long"), "edited": edited}), "edited", "edited_sigs")
     return done.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),

@@ -13,17 +13,22 @@ all scores are the other class's (0.0 without any label). Repeated rows are scor
 
 from __future__ import annotations
 
+import sys
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcf.llm.common import WORD_BYTES, remainder
 
+# Ship the task-side functions with the job; executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows of the classes that training takes, the least by a hash of doc_id. Bounds what the driver holds.
 TOXIC_SAMPLE, OTHER_SAMPLE = 1500, 3000
 BUCKET_BITS = 17
@@ -129,16 +134,13 @@ def fit_from(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 0)
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-#: Word sums of the model in use, kept by a worker from task to task.
-_memo: dict[int, dict[bytes, tuple[float, int]]] = {}
+def _broadcast(df: DataFrame, model: Model):
+    """The model as plain values; a worker keeps its memo beside them from task to task."""
+    return df.sparkSession.sparkContext.broadcast({"weight": model.weight, "bias": model.bias, "memo": {}})
 
 
 def _scorer(shared):
-    weight, bias = shared.value.weight.astype(np.float64).tolist(), shared.value.bias
-    mark = zlib.crc32(shared.value.weight.tobytes())
-    if mark not in _memo:
-        _memo.clear()
-    memo = _memo.setdefault(mark, {})
+    weight, bias, memo = shared.value["weight"].astype(np.float64).tolist(), shared.value["bias"], shared.value["memo"]
 
     def score(text: str | None) -> float:
         total, n = 0.0, 0
@@ -159,7 +161,7 @@ def _scorer(shared):
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _broadcast(docs, model)
 
     def run(batches):
         score = _scorer(shared)
@@ -172,7 +174,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_harmless(docs: DataFrame, model: Model) -> DataFrame:
     """Documents that score below one half, columns unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _broadcast(docs, model)
     at = docs.columns.index("text")
 
     def run(batches):
