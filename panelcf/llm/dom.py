@@ -153,5 +153,7 @@ def parse(source: str | None) -> list[Node]:
                         close_to(k, m.start())
                         break
     parts.append(source[done:])
+    if links:
+        linked += len(source) - done
     flush(done)
     return nodes

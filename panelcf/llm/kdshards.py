@@ -86,8 +86,8 @@ def _medians(rows: DataFrame, shares: dict[int, float], weights: dict[int, int],
             for b, w in sorted(per.get(node, [])):
                 if sum_ + w >= goal or b == max(per[node])[0]:
                     low[node], below[node] = b << left, sum_
-                    if w <= precision:
-                        # the whole bin goes to the nearer side
+                    if w <= precision or not left:
+                        # the whole bin, or at last the whole key, goes to the nearer side
                         low[node] = (b << left) + ((1 << left) - 1 if sum_ + w - goal <= goal - sum_ else -1)
                         open_.discard(node)
                     break

@@ -28,8 +28,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = (
-    "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
-    r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+    "[x FOR x IN regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']"
 )
 
 DECONTAMINATE_SQL = f"""

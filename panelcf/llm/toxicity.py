@@ -34,7 +34,8 @@ TOXIC_SAMPLE, OTHER_SAMPLE = 1500, 3000
 BUCKET_BITS = 17
 DIMENSIONS = 8
 NGRAMS = (3, 4, 5, 6)
-EPOCHS = 8
+#: Mini-batches seen in training; small samples are gone through more often.
+STEPS = 720
 BATCH = 50
 RATE = 0.01
 MEMO_WORDS = 400_000
@@ -94,7 +95,7 @@ def fit(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     soft, bias, gain = rng.normal(0, 0.3, (2, DIMENSIONS)).astype(np.float32), np.zeros(2, np.float32), np.float32(30.0)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // len(y))):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), BATCH):
             pick = order[lo:lo + BATCH]
