@@ -38,7 +38,7 @@ def _chunks(text: Column) -> Column:
 
 
 def _with_hashes(pieces: Column) -> Column:
-    return F.transform(pieces, lambda p: F.struct(p["b"].alias("b"), F.xxhash64(F.rtrim(p["s"])).alias("h")))
+    return F.transform(pieces, lambda p: F.struct(p["b"].alias("b"), F.xxhash64(F.rtrim(p["s"])).alias("h"), F.length(p["s"]).alias("n")))
 
 
 def _rolling(marked: Column) -> Column:
@@ -71,6 +71,8 @@ def chunk_places(docs: DataFrame) -> DataFrame:
     begun = rolled.select(*names, "m", _starts(F.col("m"), F.col("r")).alias("at"))
     ends = F.transform("at", lambda a, i: F.coalesce(F.get("at", i + 1), F.size("m")) - a)
     spans = begun.select(*names, "m", F.explode(F.arrays_zip(F.col("at").alias("start"), ends.alias("size"))).alias("c"))
+    # a single line with fewer characters than LONG_WORDS words and blanks take can never go
+    spans = spans.where((F.col("c.size") > 1) | (F.get("m", F.col("c.start"))["n"] >= 2 * LONG_WORDS - 1))
     return spans.select(
         *names, F.col("c.start").alias("start"), F.col("c.size").alias("size"),
         F.xxhash64(F.transform(F.slice("m", F.col("c.start") + 1, F.col("c.size")), lambda p: p["h"])).alias("hash"))
@@ -104,8 +106,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """Documents without repeated passages; ``text`` changes and, where there is one, ``n_chars``; all rows stay."""
     met, names = repeated_chunks(docs)
     cut = met.where("found IS NOT NULL").select(*names, _chunks(F.col("text")).alias("p"), "found")
-    bytes_of = cut.distinct().select(F.explode("found").alias("f"), "p").select(
-        F.col("f.hash").alias("hash"), F.col("f.size").alias("size"), _text_of(F.col("p"), F.col("f.start"), F.col("f.size")).alias("t"))
+    texts = F.transform("found", lambda f: F.struct(  # made within the row, so that no row is copied with all its pieces
+        f["hash"].alias("hash"), f["size"].alias("size"), _text_of(F.col("p"), f["start"], f["size"]).alias("t"), F.get("p", f["start"])["b"].alias("b")))
+    bytes_of = cut.select(F.explode(texts).alias("f")).select("f.hash", "f.size", "f.t")
     # chunks whose hash stands for different bytes are left alone; there is hardly ever one
     unequal = bytes_of.groupBy("hash", "size").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("hash", "size")
     bad = stored(unequal, "unequal")

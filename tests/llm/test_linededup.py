@@ -102,7 +102,7 @@ def test_distinct_texts_are_left_alone(spark):
 def test_unequal_bytes_under_one_hash_stay(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    same = lambda pieces: F.transform(pieces, lambda p: F.struct(p["b"].alias("b"), F.length(p["s"]).cast("long").alias("h")))
+    same = lambda pieces: F.transform(pieces, lambda p: F.struct(p["b"].alias("b"), F.length(p["s"]).cast("long").alias("h"), F.length(p["s"]).alias("n")))
     monkeypatch.setattr(linededup, "_with_hashes", same)
     data = [(1, "aaaa\nbbbb\n"), (2, "cccc\ndddd\n"), (3, "cccc\ndddd\n")]
     got = {r["doc_id"]: r["text"] for r in linededup.drop_repeats(documents(spark, fill(data))).collect()}
