@@ -12,7 +12,7 @@ from panelcf.sources.upsert import first_per_key
 
 def capitalised(name: str) -> Column:
     """First letter upper case, all others lower case."""
-    return F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1000)))
+    return F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, F.lit(2), F.length(name))))
 
 
 def att_series(fit: DataFrame) -> DataFrame:

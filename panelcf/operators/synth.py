@@ -171,12 +171,16 @@ def _solve_sparse(a: np.ndarray, q: np.ndarray, l1: float, w: np.ndarray, steps:
     Active set with fixed signs: move towards the minimiser of the current signs,
     stop where a weight reaches zero and release it; once a full step is taken,
     admit the zero weight whose slope is steepest, until none exceeds ``l1``.
+    A weight whose column depends on the admitted ones is exchanged for one of
+    them: along that direction the loss is flat and the penalty falls, so no
+    state returns. An unfinished solution is an error.
     """
     w = w.copy()
     signs = np.sign(w)
     slack = 1e-11 * (np.abs(q).max() + np.abs(a).max() * np.abs(w).max(initial=0.0))
     for _ in range(steps):
         active = np.flatnonzero(signs)
+        w[signs == 0] = 0.0
         if len(active):
             block, goal = a[np.ix_(active, active)], q[active] - l1 * signs[active]
             try:
@@ -197,9 +201,28 @@ def _solve_sparse(a: np.ndarray, q: np.ndarray, l1: float, w: np.ndarray, steps:
         slope[active] = 0.0
         j = int(np.argmax(np.abs(slope)))
         if abs(slope[j]) <= l1 + slack:
-            break
+            return w
         signs[j] = np.sign(slope[j])
-    return w
+        if len(active):
+            with_j = np.linalg.lstsq(a[np.ix_(active, active)], a[active, j], rcond=None)[0]
+            if a[j, j] - a[active, j] @ with_j <= 1e-10 * a[j, j]:
+                _exchange(w, signs, active, j, -with_j * signs[j])
+    raise RuntimeError(f"no optimum within {steps} steps")
+
+
+def _exchange(w: np.ndarray, signs: np.ndarray, active: np.ndarray, j: int, direction: np.ndarray) -> None:
+    """Raise weight ``j`` along a direction without curvature until an active weight is used up."""
+    shrinking = direction * signs[active] < 0
+    if not shrinking.any():
+        signs[j] = 0.0
+        raise RuntimeError("the penalised loss has no minimum")
+    room = np.full(len(active), np.inf)
+    room[shrinking] = np.abs(w[active][shrinking] / direction[shrinking])
+    first = room.min()
+    w[active] += first * direction
+    w[j] = first * signs[j]
+    gone = active[int(np.argmin(room))]
+    w[gone] = signs[gone] = 0.0
 
 
 def _sparse_path(train: _Moments, alphas, ratios, cfg: ScmSettings) -> np.ndarray:
@@ -339,14 +362,21 @@ def fit_scm(panel: DataFrame, methods=METHODS, cfg: ScmSettings = MONTHLY, store
 def predict_scm(panel: DataFrame, weights: DataFrame) -> DataFrame:
     """``treated_id, method, date, y, y_hat`` on all dates, before and after the start.
 
-    A donor without a weight contributes nothing; ``intercept`` is optional.
+    A donor without a weight contributes nothing; ``intercept`` is optional. The
+    weights of a unit and method become one array in the order of the donor ids,
+    which meets every date of the unit; values are added in that order.
     """
     if "intercept" not in weights.columns:
         weights = weights.withColumn("intercept", F.lit(0.0))
-    cells = long_panel(panel).join(weights, ["treated_id", "station_id"])
-    return cells.groupBy("treated_id", "method", "date").agg(
-        F.first("y").alias("y"), (F.sum(F.col("weight") * F.col("x")) + F.first("intercept")).alias("y_hat"),
-    )
+    vectors = weights.groupBy("treated_id", "method").agg(
+        F.sort_array(F.collect_list(F.struct("station_id", "weight"))).alias("_w"), F.first("intercept").alias("_b"))
+    products = F.zip_with("donors", "_w", lambda d, w: d["x"] * w["weight"])
+    by_id = F.map_from_entries("_w")
+    looked_up = F.transform("donors", lambda d: d["x"] * F.coalesce(F.try_element_at(by_id, d["id"]), F.lit(0.0)))
+    aligned = F.transform("donors", lambda d: d["id"]) == F.transform("_w", lambda w: w["station_id"])
+    total = F.aggregate(F.when(aligned, products).otherwise(looked_up), F.lit(0.0), lambda a, p: a + p)
+    return panel.select("treated_id", "date", "y", "donors").join(vectors, "treated_id").select(
+        "treated_id", "method", "date", "y", (total + F.col("_b")).alias("y_hat"))
 
 
 def fit_ols_sql(panel: DataFrame, fit_intercept: bool = True) -> DataFrame:

@@ -33,16 +33,17 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
     A standard collection is one JSON document and so one task per file. Large
     inputs should hold one feature per line (``lines=True``), which Spark splits.
+    Broken JSON is an error, never a missing feature.
     """
     if lines:
-        return spark.read.schema(FEATURE).json(path).select("properties", "publisher", "geometry")
-    return _feature_rows(spark.read.schema(COLLECTION).json(path, multiLine=True))
+        return spark.read.schema(FEATURE).json(path, mode="FAILFAST").select("properties", "publisher", "geometry")
+    return _feature_rows(spark.read.schema(COLLECTION).json(path, multiLine=True, mode="FAILFAST"))
 
 
 def parse_features(df: DataFrame, json_col: str) -> DataFrame:
     """Same rows from a column that already holds collection documents."""
     return _feature_rows(
-        df.select(F.from_json(F.col(json_col), COLLECTION).alias("c")).select("c.features")
+        df.select(F.from_json(F.col(json_col), COLLECTION, {"mode": "FAILFAST"}).alias("c")).select("c.features")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcf.functions.columns import HOUSE, PanelCols, no_nan
@@ -14,19 +14,30 @@ NULL_TEXTS = (
 )
 
 
+def _quotes_closed(spark: SparkSession, path: str) -> Column:
+    """True, or an error if a file has an odd number of quotes: the last text would swallow what follows it."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    per_file = spark.read.text(path).groupBy(F.input_file_name()).agg((F.sum(quotes) % 2).alias("odd"))
+    unclosed = F.raise_error(F.lit(f"an open quote in {path}")).cast("boolean")
+    return per_file.agg(F.max("odd").alias("odd")).select(F.when(F.coalesce("odd", F.lit(0)) == 0, F.lit(True)).otherwise(unclosed)).scalar()
+
+
 def read_table(spark: SparkSession, path: str, sep: str = ",", schema=None,
-               multiline: bool = False) -> DataFrame:
+               multiline: bool = True) -> DataFrame:
     """Read a delimited file with a header; quotes inside quoted text are doubled.
 
     Without a schema every column is text (nothing is scanned to guess types).
-    ``multiline`` is needed only for line breaks inside quoted text and makes
-    files unsplittable, so it is off by default.
+    Quoted text may hold line breaks, which keeps a file in one task; without
+    ``multiline`` large files are split, and a line break in a value is an error.
+    A row with too few or too many values, as after an open quote, is an error.
     """
     reader = spark.read.option("header", True).option("sep", sep).option("quote", '"')
     reader = reader.option("escape", '"').option("multiLine", multiline)
+    reader = reader.option("mode", "FAILFAST").option("columnPruning", False)
+    closed = _quotes_closed(spark, path)
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    table = reader.csv(path)
+        return reader.schema(schema).csv(path).filter(closed)
+    table = reader.csv(path).filter(closed)
     return table.select(*[
         F.when(~F.col(f"`{c}`").isin(*NULL_TEXTS), F.col(f"`{c}`")).alias(c) for c in table.columns
     ])
@@ -57,15 +68,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     writer.save(path)
 
 
-def write_panel(df: DataFrame, path: str, cols: PanelCols = HOUSE, files_per_year: int = 32) -> None:
+def write_panel(df: DataFrame, path: str, cols: PanelCols = HOUSE, rows_per_file: int = 5_000_000) -> None:
     """Store a panel split by year, so that date filters prune folders.
 
-    Each year is spread by station over ``files_per_year`` files, never one task.
+    Rows are dealt to tasks by ranges of year, station and date, so the number of
+    tasks follows the size, and a large year or station takes as many as it needs.
     """
-    part = F.pmod(F.hash(cols.id), F.lit(files_per_year))
-    spread = df.withColumn("year", F.year(cols.date)).repartition(F.col("year"), part)
-    write_table(spread.sortWithinPartitions("year", cols.id, cols.date), path,
-                partition_by=["year"])
+    spread = df.withColumn("year", F.year(cols.date)).repartitionByRange("year", cols.id, cols.date)
+    ordered = spread.sortWithinPartitions("year", cols.id, cols.date)
+    ordered.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("year").parquet(path)
 
 
 def stored(df: DataFrame, path: str | None) -> DataFrame:
