@@ -50,6 +50,29 @@ def test_overlap_multi_polygon_other_zone_and_repeated_feature(spark):
     assert flags(spark, feats, points) == [True, True, True, True, False, False]
 
 
+def test_shared_borders_belong_to_the_union(spark):
+    left, right = polygon(((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))), polygon(((2, 0), (2, 2), (4, 2), (4, 0), (2, 0)))  # one runs clockwise
+    points = [(2.0, 1.0), (2.0, 0.0), (2.0, 2.0), (0.0, 1.0), (1.0, 1.0), (3.0, 1.0), (4.0, 2.0)]
+    assert flags(spark, [feature("Z", left), feature("Z", right)], points) == [True, False, False, False, True, True, False]
+    four = [feature("Z", polygon(((i, j), (i + 1, j), (i + 1, j + 1), (i, j + 1), (i, j)))) for i in (0, 1) for j in (0, 1)]
+    assert flags(spark, four, [(1.0, 1.0), (1.0, 0.0), (0.5, 1.0)]) == [True, False, True]
+    assert flags(spark, four[:3], [(1.0, 1.0), (1.0, 0.5)]) == [False, True]
+    # the same border seen twice from one side is still a border
+    inner = polygon(((0, 0), (1, 0), (1, 2), (0, 2), (0, 0)))
+    assert flags(spark, [feature("Z", left), feature("Z", inner)], [(0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]) == [False, True, False]
+    # a hole that another polygon fills
+    ring, plug = polygon(SQUARE, HOLE), polygon(HOLE)
+    assert flags(spark, [feature("Z", ring), feature("Z", plug)], [(1.0, 2.0), (1.0, 1.0), (2.0, 2.0)]) == [True, True, True]
+
+
+def test_large_and_small_boxes_and_coordinates_in_metres(spark):
+    world, small = polygon(((-180, -90), (180, -90), (180, 90), (-180, 90), (-180, -90))), polygon(((10, 10), (10.001, 10), (10.001, 10.001), (10, 10)))
+    assert flags(spark, [feature("Z", world)], [(0.0, 0.0), (179.9, -89.9), (180.0, 0.0)]) == [True, True, False]
+    assert flags(spark, [feature("Z", small)], [(10.0007, 10.0005), (10.0002, 10.0005)]) == [True, False]
+    with pytest.raises(Exception, match="a coordinate beyond"):
+        flags(spark, [feature("Z", polygon(((0, 0), (500000, 0), (500000, 5000000), (0, 0))))], [(1.0, 1.0)])
+
+
 def test_unknown_zone_is_an_error(spark):
     with pytest.raises(ValueError, match="no feature belongs"):
         flags(spark, [feature("Z", polygon(SQUARE))], [(0.0, 0.0)], "W")
