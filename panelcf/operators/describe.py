@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcf.functions.calendar import is_weekend, month_start
 from panelcf.functions.columns import HOUSE, MAX_DAYS, PanelCols, bounded_broadcast, id_list
-from panelcf.functions.periods import is_post, is_pre, period_names
+from panelcf.functions.periods import is_post, is_post_ex, is_pre
 from panelcf.operators.quality import complete_calendar, unique_days
 from panelcf.operators.quantiles import exact_quantiles
 
@@ -60,19 +60,22 @@ def rolling_mean(m: DataFrame, window: int = 30, cols: PanelCols = HOUSE) -> Dat
 def pre_post_summary(m: DataFrame, start, window=None, cols: PanelCols = HOUSE) -> DataFrame:
     """Mean, median, std (n-1), 10 % and 90 % points and count per station and period.
 
-    A day counts in each of its periods (pre; post; post_ex), all in one scan.
-    The groups hold one value per day, so exact percentiles stay small.
+    Every station has the three periods (pre; post; post_ex), one without values with
+    a count of 0. All in one scan; the groups hold one value per day, so exact
+    percentiles stay small.
     """
-    rows = (
-        unique_days(m.select(*cols.names), cols).filter(F.col(cols.value).isNotNull())
-        .select(cols.id, cols.value, F.explode(period_names(F.col(cols.date), start, window)).alias("period"))
-    )
-    v = F.col(cols.value)
-    return rows.groupBy(cols.id, "period").agg(
-        F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"),
-        F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90"),
-        F.count(v).alias("n_days"),
-    )
+    date = F.col(cols.date)
+    periods = {"pre": is_pre(date, start), "post": is_post(date, start), "post_ex": is_post_ex(date, start, window)}
+    each = []
+    for name, inside in periods.items():
+        v = F.when(inside, F.col(cols.value))
+        each.append(F.struct(
+            F.lit(name).alias("period"), F.avg(v).alias("mean"), F.median(v).alias("median"),
+            F.stddev_samp(v).alias("std"), F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90"),
+            F.count(v).alias("n_days"),
+        ).alias(name))
+    wide = unique_days(m.select(*cols.names), cols).groupBy(cols.id).agg(*each)
+    return wide.select(cols.id, F.explode(F.array(*periods)).alias("_p")).select(cols.id, "_p.*")
 
 
 def month_profile(m: DataFrame, start, cols: PanelCols = HOUSE) -> DataFrame:
@@ -122,11 +125,21 @@ def donor_contrast(m: DataFrame, start, min_pre: int = 30, min_post: int = 30,
     ).withColumn("delta_post_pre", F.col("mean_post") - F.col("mean_pre")).drop("_both")
 
 
+def _all_there(df: DataFrame, ids: list, cols: PanelCols) -> Column:
+    """True, or an error if an id has no row; decided by an aggregate, which has a row even for an empty table."""
+    found = F.count_distinct(F.when(F.col(cols.id).isin(ids), F.col(cols.id)))
+    absent = F.raise_error(F.lit(f"not all of the stations {ids} are there")).cast("boolean")
+    return df.agg(found.alias("n")).select(F.when(F.col("n") == len(set(ids)), F.lit(True)).otherwise(absent)).scalar()
+
+
 def daily_levels(m: DataFrame, treated_id, start, cols: PanelCols = HOUSE) -> DataFrame:
-    """Per day before the start: the treated value and the mean of all other stations."""
+    """Per day before the start: the treated value and the mean of all other stations.
+
+    A station that the panel does not have is an error.
+    """
     date, v = F.col(cols.date), F.col(cols.value)
     own = F.col(cols.id) == F.lit(treated_id)
-    return m.filter(is_pre(date, start)).groupBy(cols.date).agg(
+    return m.filter(is_pre(date, start) & _all_there(m, [treated_id], cols)).groupBy(cols.date).agg(
         F.avg(F.when(own, v)).alias("treated"), F.avg(F.when(~own, v)).alias("donors_mean"),
     )
 
@@ -164,15 +177,12 @@ def delta_ranking(contrast: DataFrame, treated_id, cols: PanelCols = HOUSE) -> D
 
     ``treated_id`` must be in the contrast table.
     """
-    own = contrast.filter(F.col(cols.id) == F.lit(treated_id)).select(F.max("delta_post_pre"))
     absent = F.raise_error(F.lit(f"station {treated_id!r} is not in the contrast table")).cast("double")
-    delta = own.scalar()
+    own = F.max(F.when(F.col(cols.id) == F.lit(treated_id), F.col("delta_post_pre")))
+    delta = contrast.agg(own.alias("d")).select(F.when(F.col("d").isNull(), absent).otherwise(F.col("d"))).scalar()
     return (
-        contrast.filter((F.col(cols.id) != F.lit(treated_id)) & F.col("delta_post_pre").isNotNull())
-        .select(
-            cols.id, "delta_post_pre",
-            F.when(delta.isNull(), absent).otherwise(delta).alias("treated_delta"),
-        )
+        contrast.filter((F.col(cols.id) != F.lit(treated_id)) & F.col("delta_post_pre").isNotNull() & delta.isNotNull())
+        .select(cols.id, "delta_post_pre", delta.alias("treated_delta"))
         .orderBy("delta_post_pre", cols.id)
     )
 
@@ -181,12 +191,14 @@ def pre_correlations(m: DataFrame, treated_ids, start, cols: PanelCols = HOUSE,
                      on_duplicates: str = "error") -> DataFrame:
     """Correlation of every other station with each treated one before the start.
 
-    Pairwise complete days; pairs without a defined correlation are left out. The
+    Pairwise complete days; pairs without a defined correlation are left out. A treated
+    station that the panel does not have is an error. The
     treated series are at most (ids x calendar days) rows and are broadcast while
     that bound is small, so the wide side is not shuffled by date.
     """
     ids = id_list(treated_ids)
-    pre = unique_days(m.select(*cols.names).filter(is_pre(F.col(cols.date), start)), cols, on_duplicates)
+    there = _all_there(m, ids, cols)
+    pre = unique_days(m.select(*cols.names).filter(is_pre(F.col(cols.date), start) & there), cols, on_duplicates)
     treated = pre.filter(F.col(cols.id).isin(ids)).select(
         F.col(cols.id).alias("treated_id"), cols.date, F.col(cols.value).alias("_y")
     )

@@ -165,7 +165,7 @@ def _period_sql(name: str, condition: str) -> str:
     return f"""SELECT station_id, '{name}' AS period, round(avg(value) + 3e-9, 6) AS mean, round(median(value) + 3e-9, 6) AS median,
         round(stddev_samp(value) + 3e-9, 6) AS std, round(quantile_cont(value, 0.1) + 3e-9, 6) AS p10,
         round(quantile_cont(value, 0.9) + 3e-9, 6) AS p90, count(value) AS n_days
-        FROM p_user WHERE {condition} AND value IS NOT NULL GROUP BY 1"""
+        FROM (SELECT station_id, CASE WHEN {condition} THEN value END AS value FROM p_user) GROUP BY 1"""
 
 
 _EX = "date BETWEEN DATE '2024-01-20' AND DATE '2024-01-22'"
@@ -299,20 +299,26 @@ def a14_events(spark, sf_dir):
     return rounded(describe.pre_correlations(m, ids, EVENT_START))
 
 
-_IDS = tuple(str(k) for k in range(25))  # the nation keys
+_SQL_IDS = range(25)  # columns of the check SQL, which has to name them
+
+
+def nation_ids(spark, sf_dir) -> list[str]:
+    """The station ids of the panel by nation, one for each row of ``nation``."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).orderBy("k").collect()
+    return [str(r.k) for r in rows]
 
 
 @query("a16_to_wide", with_sql("p_onation") + "SELECT date, " + ", ".join(
-    f"round(avg(CASE WHEN station_id = '{i}' THEN value END) + 3e-7, 4) AS s{i}" for i in _IDS) + " FROM p_onation GROUP BY 1")
+    f"round(avg(CASE WHEN station_id = '{i}' THEN value END) + 3e-7, 4) AS s{i}" for i in _SQL_IDS) + " FROM p_onation GROUP BY 1")
 def a16(spark, sf_dir):
-    wide = describe.to_wide(p_onation(spark, sf_dir), list(_IDS))
-    return rounded(wide.withColumnsRenamed({i: f"s{i}" for i in _IDS}), 4)
+    ids = nation_ids(spark, sf_dir)
+    return rounded(describe.to_wide(p_onation(spark, sf_dir), ids).withColumnsRenamed({i: f"s{i}" for i in ids}), 4)
 
 
 @query("a17_to_long", with_sql("p_onation") + """
     SELECT station_id, date, round(value + 3e-7, 4) AS value FROM p_onation""")
 def a17(spark, sf_dir):
-    return rounded(describe.to_long(describe.to_wide(p_onation(spark, sf_dir), list(_IDS))), 4)
+    return rounded(describe.to_long(describe.to_wide(p_onation(spark, sf_dir), nation_ids(spark, sf_dir))), 4)
 
 
 _SPARSE = monthly_sql("p_onation") + """,
@@ -408,7 +414,7 @@ def limiting(spark, sf_dir):
     FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)""")
 def scalars(spark, sf_dir):
     day, month, dow = F.to_date("o_orderdate"), F.month("o_orderdate"), F.weekday("o_orderdate")
-    orders = table(spark, sf_dir, "orders").withColumn("word", F.substring("o_orderpriority", 3, 100))
+    orders = table(spark, sf_dir, "orders").withColumn("word", F.substring("o_orderpriority", F.lit(3), F.length("o_orderpriority")))
     return rounded(orders.select(
         "o_orderkey", month.alias("month"), dow.alias("dow"), calendar.is_weekend(day).alias("weekend"),
         calendar.month_start(day).alias("month_start"), calendar.days_spanned(as_date("1995-01-01"), day).alias("days"),
