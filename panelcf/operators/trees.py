@@ -13,7 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcf.functions.columns import id_list
@@ -113,9 +113,10 @@ def fit_trees(design: DataFrame, treated_ids, models: dict[str, Estimator] | Non
 
 def time_series_cv(design: DataFrame, treated_id: str, models: dict[str, Estimator], seed: int = 0,
                    parallelism: int = 4, partitions: int = 2) -> DataFrame:
-    """``treated_id, method, split, rmse`` of an expanding-window validation.
+    """``treated_id, method, split, rmse, mean_rmse`` of an expanding-window validation.
 
-    ``design`` must carry the ``split`` column of ``expanding_splits``.
+    ``design`` must carry the ``split`` column of ``expanding_splits``; ``mean_rmse`` is
+    the mean over the splits of a unit and method.
     """
     rows = feature_rows(design).filter((F.col("treated_id") == treated_id) & F.col("is_pre")).persist()
     splits = [r.split for r in rows.filter(F.col("split").isNotNull()).select("split").distinct()
@@ -130,5 +131,6 @@ def time_series_cv(design: DataFrame, treated_id: str, models: dict[str, Estimat
             ).select("treated_id", F.lit(name).alias("method"), "split", "rmse")
         return run
 
-    return reduce(DataFrame.unionByName, _run(
+    each = reduce(DataFrame.unionByName, _run(
         design.sparkSession, [task(n, e, s) for n, e in models.items() for s in splits], parallelism))
+    return each.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("treated_id", "method")))

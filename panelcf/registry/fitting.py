@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcf.operators import effects, panel as panels, synth, trees
 from panelcf.operators.impute import interpolate_time
-from panelcf.plans.evaluate import evaluate
+from panelcf.plans.evaluate import evaluate, evaluate_trees
 from panelcf.registry.book import query, rounded
 from panelcf.registry.describing import monthly_sql, sparse_months
 from panelcf.registry.panels import (
@@ -290,6 +290,31 @@ for _id, _method in (("m3", "ols"), ("m4", "ridge"), ("m5", "lasso"), ("m6", "el
     query(f"{_id}_fit_{_method}_monthly")(_rows_only(_method))
 
 
+@query("m3_m6_optimality", SNATION_CELLS + """
+    SELECT DISTINCT treated_id, method, station_id, 0.0::DOUBLE AS violation
+    FROM cells, (VALUES ('ols'), ('ridge'), ('lasso'), ('elasticnet')) v(method)""")
+def optimality(spark, sf_dir):
+    """How far the fits with all donors are from their optimality conditions, from the panel's rows.
+
+    With e the residual, x a donor and w its weight: x'e - ridge part of the penalty is 0, or within the
+    absolute-value part where w is 0; relative to |x| |y|.
+    """
+    panel, _ = snation_months(spark, sf_dir)
+    weights = synth.fit_scm(panel, synth.METHODS, synth.MONTHLY)
+    fit = synth.predict_scm(panel, weights).select("treated_id", "method", "date", "y_hat")
+    cells = panels.long_panel(panel).filter("is_pre").join(fit, ["treated_id", "date"])
+    x, y = F.col("x"), F.col("y")
+    slopes = cells.groupBy("treated_id", "method", "station_id").agg(
+        F.sum(x * (y - F.col("y_hat"))).alias("g"), F.sqrt(F.sum(x * x) * F.sum(y * y)).alias("scale"), F.count(x).alias("n"))
+    met = slopes.join(weights, ["treated_id", "method", "station_id"])
+    per_row = F.when(F.col("method") == "ridge", 1).otherwise(F.col("n"))
+    part = F.when(F.col("method").isin("ols", "ridge"), 0.0).otherwise(F.col("l1_ratio")) * F.col("alpha") * per_row
+    slope = F.col("g") - (F.col("alpha") * per_row - part) * F.col("weight")
+    violation = F.when(F.col("weight") != 0, F.abs(slope - part * F.signum("weight"))).otherwise(F.greatest(F.lit(0.0), F.abs(slope) - part))
+    return rounded(met.select("treated_id", "method", "station_id", F.round(violation / F.col("scale"), 7).alias("violation")).select(
+        "treated_id", "method", "station_id", F.abs("violation").alias("violation")), 6)
+
+
 @query("m4_cv_choice")
 def cv_choice(spark, sf_dir):
     panel, _ = segment_days(spark, sf_dir)
@@ -443,6 +468,102 @@ def m13(spark, sf_dir):
     return rounded(trees.fit_trees(design, unit, {"tree": DecisionTreeRegressor(maxDepth=4)})[0], 3)
 
 
+# Estimators whose fits SQL can repeat: the mean (a tree without a split), one split, a line.
+
+
+def _plain_forest(depth: int) -> RandomForestRegressor:
+    return RandomForestRegressor(numTrees=1, maxDepth=depth, bootstrap=False, maxBins=255, featureSubsetStrategy="all")
+
+
+def type_days(spark, sf_dir, one_donor: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Daily event panel with its assignments and treated ids; with one donor, the first type, or all of them."""
+    m = p_type(spark, sf_dir)
+    units = panels.assign_all(m, EVENT_START, EVENT_WINDOW)
+    sets = None
+    if one_donor:
+        donor = first_id(m)
+        units = units.filter(F.col("treated_id") != donor)
+        sets = spark.createDataFrame([("all", donor)], ["donor_set", "station_id"])
+    ids = [r.treated_id for r in units.select("treated_id").orderBy("treated_id").collect()]  # the event types
+    return panels.daily_panel(m, units, sets), units, ids
+
+
+_TYPE_ROWS = with_sql("p_type", more="""
+    donor AS (SELECT min(station_id) AS id FROM p_type),
+    rows AS (SELECT t.station_id AS treated_id, t.date, d.value AS x, t.value AS y, t.date < DATE '2024-01-16' AS pre
+             FROM p_type t JOIN p_type d ON t.date = d.date JOIN donor ON d.station_id = donor.id AND t.station_id <> donor.id)""")
+
+
+@query("m9_m10_one_split", _TYPE_ROWS + """,
+    cuts AS (SELECT DISTINCT treated_id, (x + lead(x) OVER (PARTITION BY treated_id ORDER BY x)) / 2 AS c FROM rows WHERE pre),
+    sides AS (SELECT r.treated_id, c, avg(y) FILTER (x <= c) AS lo, avg(y) FILTER (x > c) AS hi,
+                     coalesce(var_pop(y) FILTER (x <= c), 0) * count(*) FILTER (x <= c)
+                       + coalesce(var_pop(y) FILTER (x > c), 0) * count(*) FILTER (x > c) AS loss
+              FROM rows r JOIN cuts USING (treated_id) WHERE pre AND c IS NOT NULL GROUP BY 1, 2),
+    best AS (SELECT *, row_number() OVER (PARTITION BY treated_id ORDER BY loss) AS rn FROM sides)
+    SELECT treated_id, method, date, round(y + 3e-7, 4) AS y, round(CASE WHEN x <= c THEN lo ELSE hi END + 3e-7, 4) AS y_hat
+    FROM rows JOIN best USING (treated_id), (VALUES ('rf'), ('gbt')) v(method) WHERE rn = 1""")
+def one_split(spark, sf_dir):
+    """A forest of one unsampled tree and one boosting round, both with one split on one donor, for every unit."""
+    panel, _, ids = type_days(spark, sf_dir, True)
+    models = {"rf": _plain_forest(1), "gbt": GBTRegressor(maxIter=1, maxDepth=1, maxBins=255, featureSubsetStrategy="all")}
+    return rounded(trees.fit_trees(panel, ids, models, min_pre=10)[0], 4)
+
+
+@query("m11_monthly_mean_tree", with_sql("p_snation", more=monthly_sql("p_snation")) + """
+    SELECT station_id AS treated_id, 'rf' AS method, date, round(value + 3e-6, 3) AS y,
+           round(avg(value) FILTER (date < DATE '1999-01-01') OVER (PARTITION BY station_id) + 3e-6, 3) AS y_hat
+    FROM monthly WHERE value IS NOT NULL AND station_id = (SELECT min(station_id) FROM monthly)""")
+def m11_mean(spark, sf_dir):
+    design, unit = _monthly_design(spark, sf_dir)
+    return rounded(trees.fit_trees(design, unit, {"rf": _plain_forest(0)}, min_pre=10)[0], 3)
+
+
+@query("m12_mean_tree_errors", SEGMENT_CELLS + """
+    , pre AS (SELECT treated_id, date, y, row_number() OVER (PARTITION BY treated_id ORDER BY date) - 1 AS pos,
+                     count(*) OVER (PARTITION BY treated_id) AS n
+              FROM (SELECT DISTINCT treated_id, date, y FROM cells WHERE is_pre)),
+    tested AS (SELECT *, CAST(CASE WHEN pos >= n - 5 * (n // 6) THEN (pos - (n - 5 * (n // 6))) // (n // 6) END AS INTEGER) AS split FROM pre
+               WHERE treated_id = (SELECT min(treated_id) FROM pre)),
+    means AS (SELECT s.treated_id, s.split, avg(p.y) AS y_hat FROM (SELECT DISTINCT treated_id, split FROM tested WHERE split IS NOT NULL) s
+              JOIN tested p ON p.treated_id = s.treated_id AND coalesce(p.split, -1) < s.split GROUP BY 1, 2),
+    errors AS (SELECT treated_id, split, sqrt(avg((y - y_hat) ** 2)) AS rmse FROM tested JOIN means USING (treated_id, split) GROUP BY 1, 2)
+    SELECT treated_id, method, split, round(rmse + 3e-6, 3) AS rmse, round(avg(rmse) OVER (PARTITION BY treated_id) + 3e-6, 3) AS mean_rmse
+    FROM errors, (VALUES ('rf'), ('tree')) v(method)""")
+def m12_mean(spark, sf_dir):
+    panel, _ = segment_days(spark, sf_dir)
+    models = {"rf": _plain_forest(0), "tree": DecisionTreeRegressor(maxDepth=0)}
+    return rounded(trees.time_series_cv(panels.expanding_splits(panel), first_id(p_segment(spark, sf_dir)), models), 3)
+
+
+@query("m13_own_estimator_line", _TYPE_ROWS + """,
+    line AS (SELECT treated_id, regr_slope(y, x) AS w, regr_intercept(y, x) AS b FROM rows WHERE pre GROUP BY 1)
+    SELECT treated_id, 'line' AS method, date, round(y + 3e-6, 3) AS y, round(b + w * x + 3e-6, 3) AS y_hat
+    FROM rows JOIN line USING (treated_id)""")
+def m13_line(spark, sf_dir):
+    panel, _, ids = type_days(spark, sf_dir, True)
+    return rounded(trees.fit_trees(panel, ids, {"line": LinearRegression(solver="normal")}, min_pre=10)[0], 3)
+
+
+@query("m15_tree_effects", TYPE_CELLS + """,
+    u AS (SELECT DISTINCT treated_id, date, y, is_pre FROM cells),
+    f AS (SELECT *, avg(y) FILTER (is_pre) OVER (PARTITION BY treated_id) AS y_hat FROM u)
+    SELECT treated_id, method, round(abs(round(avg(y - y_hat) FILTER (is_pre), 4)), 4) AS att_pre,
+           round(avg(y - y_hat) FILTER (NOT is_pre) + 3e-7, 4) AS att_post,
+           round(avg(y - y_hat) FILTER (NOT is_pre AND NOT date BETWEEN DATE '2024-01-20' AND DATE '2024-01-22') + 3e-7, 4) AS att_post_ex,
+           round(abs(round(1 - sum((y - y_hat) ** 2) FILTER (is_pre) / (var_pop(y) FILTER (is_pre) * count(*) FILTER (is_pre)), 4)), 4) AS r2_pre,
+           round(sqrt(avg((y - y_hat) ** 2) FILTER (is_pre)) + 3e-7, 4) AS rmse_pre,
+           round(sqrt(avg((y - y_hat) ** 2) FILTER (NOT is_pre)) + 3e-7, 4) AS rmse_post
+    FROM f, (VALUES ('Forest'), ('Tree')) v(method) GROUP BY 1, 2""")
+def tree_effects(spark, sf_dir):
+    """Fit, predict, effects and errors of tree models, for all event types and donors."""
+    panel, units, ids = type_days(spark, sf_dir, False)
+    models = {"forest": _plain_forest(0), "tree": DecisionTreeRegressor(maxDepth=0)}
+    done = evaluate_trees(panel, units, ids, models, min_pre=10)
+    zero = {c: F.abs(F.round(c, 4)) for c in ("att_pre", "r2_pre")}
+    return done.withColumns(zero | {c: F.round(F.col(c) + 3e-7, 4) for c in ("att_post", "att_post_ex", "rmse_pre", "rmse_post")})
+
+
 # --- everything at once --------------------------------------------------------
 
 
