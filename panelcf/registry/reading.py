@@ -105,6 +105,22 @@ def s1(spark, sf_dir):
     )
 
 
+@query("s1_read_collection", with_sql(more=AREAS_SQL) + """
+    SELECT zone, 'A' || k AS id, k AS x FROM areas""")
+def s1_collection(spark, sf_dir):
+    """The standard form: a file is one document, here one for each zone."""
+    path = shared_dir(spark, "collections")
+    zoned = feature_lines(spark, sf_dir).select(F.get_json_object("value", "$.publisher.zfe_id").alias("z"), "value")
+    docs = zoned.groupBy("z").agg(F.concat(
+        F.lit('{"type": "FeatureCollection",\n"features": ['), F.array_join(F.collect_list("value"), ",\n"), F.lit("]}")).alias("value"))
+    docs.write.partitionBy("z").text(path)
+    rows = features.read_features(spark, path)
+    return rows.select(
+        F.element_at("publisher", F.lit("zfe_id")).alias("zone"), F.element_at("properties", F.lit("id")).alias("id"),
+        F.get_json_object("geometry", "$.coordinates[0]").cast("double").cast("bigint").alias("x"),
+    )
+
+
 @query("s2_flatten_features", with_sql(more=AREAS_SQL) + """
     SELECT 'A' || k AS id, zone AS publisher_nom, CAST(siren AS VARCHAR) AS publisher_siren,
            zone AS publisher_zfe_id, name AS upper_name, segment AS lower_name, CAST(NULL AS VARCHAR) AS ref
