@@ -243,27 +243,32 @@ def _grid(method: str, cfg: ScmSettings) -> tuple[tuple[float, ...], tuple[float
     return (cfg.lasso_alphas, (1.0,)) if method == "lasso" else (cfg.enet_alphas, cfg.l1_ratios)
 
 
+def _total(part: pd.DataFrame) -> pd.DataFrame:
+    """Moments of a unit over all folds, added in their order."""
+    return _merge_moments(part.sort_values("fold"))
+
+
 def _fold_scores(cfg: ScmSettings):
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        unit, method = key
-        _, folds, total = _unpack(part)
-        alphas, ratios = _grid(method, cfg)
-        trains = [total - f for f in folds]
-        if method == "ridge":
-            path = [_solve_ridge(*t.centred(cfg.fit_intercept), alphas)[None] for t in trains]
-        else:
-            path = [_sparse_path(t, alphas, ratios, cfg) for t in trains]
-        out = []
-        for k, (held, train) in enumerate(zip(folds, trains)):
-            sse = held.sse(path[k], train.offset(path[k], cfg.fit_intercept))
-            score = held.r2(sse) if method == "ridge" else sse / held.n
-            r, a = np.meshgrid(np.arange(len(ratios)), np.arange(len(alphas)), indexing="ij")
-            out.append(pd.DataFrame({
-                "treated_id": unit, "method": method, "alpha": np.asarray(alphas)[a.ravel()],
-                "l1_ratio": np.asarray(ratios)[r.ravel()], "alpha_pos": a.ravel().astype("int32"),
-                "l1_pos": r.ravel().astype("int32"), "fold": np.int32(k), "score": score.ravel(),
-            }))
-        return pd.concat(out, ignore_index=True)
+    """Scores of all grid points; a row is one fold of one unit and method, with the unit's total beside it."""
+    def score(row) -> pd.DataFrame:
+        size = len(row.sums)
+        held = _Moments(row.n, np.asarray(row.sums), np.asarray(row.cross).reshape(size, size))
+        train = _Moments(row.total_n, np.asarray(row.total_sums), np.asarray(row.total_cross).reshape(size, size)) - held
+        alphas, ratios = _grid(row.method, cfg)
+        ridge = row.method == "ridge"
+        path = _solve_ridge(*train.centred(cfg.fit_intercept), alphas)[None] if ridge else _sparse_path(train, alphas, ratios, cfg)
+        sse = held.sse(path, train.offset(path, cfg.fit_intercept))
+        r, a = np.meshgrid(np.arange(len(ratios)), np.arange(len(alphas)), indexing="ij")
+        return pd.DataFrame({
+            "treated_id": row.treated_id, "method": row.method, "alpha": np.asarray(alphas)[a.ravel()],
+            "l1_ratio": np.asarray(ratios)[r.ravel()], "alpha_pos": a.ravel().astype("int32"),
+            "l1_pos": r.ravel().astype("int32"), "fold": np.int32(row.fold), "score": (held.r2(sse) if ridge else sse / held.n).ravel(),
+        })
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                yield score(row)
 
     return run
 
@@ -291,26 +296,32 @@ def _refit(cfg: ScmSettings):
 
 # --- Spark side --------------------------------------------------------------
 
-def _by_unit_and_method(df: DataFrame) -> DataFrame:
-    """Spread the small solves over all cores.
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the small solves to all cores.
 
     Moments are few bytes but much work, so the partition count is fixed here:
     sizing partitions by bytes would put all units into one task.
     """
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, "treated_id", "method").groupBy("treated_id", "method")
+    return df.repartition(tasks, *keys)
 
 
 def cv_scores(moments: DataFrame, methods, cfg: ScmSettings) -> DataFrame:
-    """Held-out score of every grid point and fold: R² for ridge, MSE for lasso and elastic net."""
+    """Held-out score of every grid point and fold: R² for ridge, MSE for lasso and elastic net.
+
+    Every fold of every unit and method is a row of its own, so one unit keeps
+    folds x methods tasks busy.
+    """
     tuned = [m for m in methods if m != "ols"]
     short = F.raise_error(F.lit("fewer dates before the start than folds")).cast("long")
-    each = moments.withColumns({
+    total = moments.groupBy("treated_id").applyInPandas(_total, _MOMENTS).select(
+        "treated_id", F.col("n").alias("total_n"), F.col("sums").alias("total_sums"), F.col("cross").alias("total_cross"))
+    each = moments.join(total, "treated_id").withColumns({
         "method": F.explode(F.array(*[F.lit(m) for m in tuned])),
         "n_pre": F.when(F.col("n_pre") < cfg.folds, short).otherwise(F.col("n_pre")),
     })
-    return _by_unit_and_method(each).applyInPandas(_fold_scores(cfg), _SCORES)
+    return _spread(each.drop("donors"), "treated_id", "method", "fold").mapInPandas(_fold_scores(cfg), _SCORES)
 
 
 def choose(scores: DataFrame) -> DataFrame:
@@ -356,7 +367,7 @@ def fit_scm(panel: DataFrame, methods=METHODS, cfg: ScmSettings = MONTHLY, store
         best = choose(cv_scores(moments, methods, cfg)).drop("cv_score")
         parts.append(moments.join(best, "treated_id").select(*moments.columns, "method", "alpha", "l1_ratio"))
     chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return _by_unit_and_method(chosen).applyInPandas(_refit(cfg), _WEIGHTS)
+    return _spread(chosen, "treated_id", "method").groupBy("treated_id", "method").applyInPandas(_refit(cfg), _WEIGHTS)
 
 
 def predict_scm(panel: DataFrame, weights: DataFrame) -> DataFrame:
