@@ -8,12 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # First and last day of a 64-bit nanosecond clock (fixed values). Dates beyond
-# them are treated as "no date"; they also bound how long a series can be.
+# them are treated as "no date".
 DATE_BOUNDS = ("1677-09-22", "2262-04-11")
-MAX_DAYS = 213_500
-
-# Small sides are broadcast only while their row count is provably below this.
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -55,11 +51,6 @@ def present(df: DataFrame, names) -> list[str]:
     return [name for name in names if name in df.columns]
 
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` if its row bound allows it, else let the planner decide."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def id_list(ids) -> list[str]:
     """One id or several ids, as a list without repeats."""
     if isinstance(ids, (str, bytes)) or not hasattr(ids, "__iter__"):

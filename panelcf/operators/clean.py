@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcf.functions.columns import (
-    DATE_BOUNDS, HOUSE, STATION_TEXT, PanelCols, as_date, bounded_broadcast, id_list, no_nan,
+    DATE_BOUNDS, HOUSE, STATION_TEXT, PanelCols, as_date, id_list, no_nan,
 )
 from panelcf.functions.periods import is_post, is_post_ex, is_pre
 from panelcf.sources.upsert import first_per_key
@@ -196,10 +196,9 @@ def complete_dates(m: DataFrame, cols: PanelCols = HOUSE, group: str | None = No
     return kept if group else kept.drop("_g")
 
 
-def align_dates(left: DataFrame, right: DataFrame, how: str = "inner", date: str = "date",
-                rows: int | None = None) -> DataFrame:
+def align_dates(left: DataFrame, right: DataFrame, how: str = "inner", date: str = "date") -> DataFrame:
     """Two date-keyed series side by side on their common dates (or all left dates)."""
-    return left.join(bounded_broadcast(right, rows) if rows else right, date, how)
+    return left.join(right, date, how)
 
 
 def common_dates(left: DataFrame, right: DataFrame, date: str = "date") -> DataFrame:

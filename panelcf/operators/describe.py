@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcf.functions.calendar import is_weekend, month_start
-from panelcf.functions.columns import HOUSE, MAX_DAYS, PanelCols, bounded_broadcast, id_list
+from panelcf.functions.columns import HOUSE, PanelCols, id_list
 from panelcf.functions.periods import is_post, is_post_ex, is_pre
 from panelcf.operators.quality import complete_calendar, unique_days
 from panelcf.operators.quantiles import exact_quantiles
@@ -192,9 +192,8 @@ def pre_correlations(m: DataFrame, treated_ids, start, cols: PanelCols = HOUSE,
     """Correlation of every other station with each treated one before the start.
 
     Pairwise complete days; pairs without a defined correlation are left out. A treated
-    station that the panel does not have is an error. The
-    treated series are at most (ids x calendar days) rows and are broadcast while
-    that bound is small, so the wide side is not shuffled by date.
+    station that the panel does not have is an error. Whether the treated series are
+    broadcast follows from their measured size.
     """
     ids = id_list(treated_ids)
     there = _all_there(m, ids, cols)
@@ -202,7 +201,7 @@ def pre_correlations(m: DataFrame, treated_ids, start, cols: PanelCols = HOUSE,
     treated = pre.filter(F.col(cols.id).isin(ids)).select(
         F.col(cols.id).alias("treated_id"), cols.date, F.col(cols.value).alias("_y")
     )
-    pairs = pre.join(bounded_broadcast(treated, len(ids) * MAX_DAYS), cols.date).filter(
+    pairs = pre.join(treated, cols.date).filter(
         F.col(cols.id) != F.col("treated_id")
     )
     x, y = F.col(cols.value), F.col("_y")

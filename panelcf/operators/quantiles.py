@@ -4,23 +4,32 @@
 cut into value ranges by approximate splitters (a mergeable sketch), the ranges
 are counted, and only the ranges that hold a wanted rank are kept. The splitters
 decide how evenly work is spread, never which value is returned. Each round
-divides the longest stretch that is finally ordered by about ``ranges``.
+divides the longest stretch that is finally ordered by about ``ranges``; there are
+as many rounds as the largest group needs for a stretch of ``longest`` values.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    ranges: int = 64, rounds: int = 1) -> DataFrame:
-    """``keys…, quantiles`` with one linear-interpolated value per probability; nulls ignored."""
+                    ranges: int = 64, rounds: int | None = None, longest: int = 100_000) -> DataFrame:
+    """``keys…, quantiles`` with one linear-interpolated value per probability; nulls ignored.
+
+    ``rounds`` is found from the number of distinct values of the largest group if not given.
+    """
     rows = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_k"))
     )
     targets = rows.groupBy(*keys).agg(F.sum("_k").alias("_n")).select(*keys, _ranks(probs).alias("_targets"))
+    if rounds is None:
+        most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+        rounds = max(1, math.ceil(math.log(max(1.0, most / longest)) / math.log(ranges)))
     path = list(keys)
     for level in range(rounds):
         rows, targets = _narrow(rows, targets, path, value, ranges, f"_range{level}")

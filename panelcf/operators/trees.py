@@ -82,8 +82,10 @@ def fit_trees(design: DataFrame, treated_ids, models: dict[str, Estimator] | Non
     """``(treated_id, method, date, y, y_hat)`` on all dates, and the fitted models.
 
     Trained on the dates before the start only. ``models`` maps a name to any
-    regression estimator; each is copied and seeded before it is fitted. Every
-    fit reads the feature rows: from files below ``store`` if given, else from a cache.
+    regression estimator; each is copied and seeded before it is fitted. With
+    ``store`` the feature rows and each fit's predictions are files below it, read
+    back as one table, so the plan does not grow with the units; without it the
+    feature rows are cached and the predictions are a union for a few units.
     """
     models = models or daily_models(seed)
     ids = id_list(treated_ids)
@@ -96,19 +98,24 @@ def fit_trees(design: DataFrame, treated_ids, models: dict[str, Estimator] | Non
             raise ValueError(f"treated unit {unit!r}: {counts.get(unit, 0)} complete dates before the start, "
                              f"at least {min_pre} are needed")
 
-    def task(unit: str, name: str, est: Estimator):
+    def predicted(unit: str, name: str, model) -> DataFrame:
+        return model.transform(rows.filter(F.col("treated_id") == unit)).select(
+            "treated_id", F.lit(name).alias("method"), "date", "y", "y_hat")
+
+    def task(number: int, unit: str, name: str, est: Estimator):
         def run():
             train = rows.filter((F.col("treated_id") == unit) & F.col("is_pre")).coalesce(partitions)
-            return (unit, name), _prepared(est, seed).fit(train)
+            model = _prepared(est, seed).fit(train)
+            if store:
+                predicted(unit, name, model).write.mode("overwrite").parquet(f"{store}/fit/{number}")
+            return (unit, name), model
         return run
 
-    fitted = dict(_run(design.sparkSession, [task(u, n, e) for u in ids for n, e in models.items()], parallelism))
-    predictions = [
-        model.transform(rows.filter(F.col("treated_id") == unit)).select(
-            "treated_id", F.lit(name).alias("method"), "date", "y", "y_hat")
-        for (unit, name), model in fitted.items()
-    ]
-    return reduce(DataFrame.unionByName, predictions), fitted
+    pairs = [(u, n, e) for u in ids for n, e in models.items()]
+    fitted = dict(_run(design.sparkSession, [task(k, *p) for k, p in enumerate(pairs)], parallelism))
+    if store:
+        return design.sparkSession.read.option("recursiveFileLookup", True).parquet(f"{store}/fit"), fitted
+    return reduce(DataFrame.unionByName, [predicted(u, n, m) for (u, n), m in fitted.items()]), fitted
 
 
 def time_series_cv(design: DataFrame, treated_id: str, models: dict[str, Estimator], seed: int = 0,
@@ -132,5 +139,5 @@ def time_series_cv(design: DataFrame, treated_id: str, models: dict[str, Estimat
         return run
 
     each = reduce(DataFrame.unionByName, _run(
-        design.sparkSession, [task(n, e, s) for n, e in models.items() for s in splits], parallelism))
+        design.sparkSession, [task(n, e, s) for n, e in models.items() for s in splits], parallelism))  # a row per model and split
     return each.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("treated_id", "method")))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcf.functions.columns import MAX_DAYS
 from panelcf.operators import clean, spatial, zones
 from panelcf.operators.describe import monthly_mean
 from panelcf.plans.zone_tables import build_zone_tables, clean_zone_table
@@ -425,7 +424,7 @@ def j9(spark, sf_dir):
     own = F.col("station_id") == first_id(m)
     treated = m.filter(own).select("date", F.col("value").alias("treated"))
     donors = m.filter(~own).groupBy("date").agg(F.avg("value").alias("donors"))
-    return rounded(clean.align_dates(donors, treated, rows=MAX_DAYS), 4)
+    return rounded(clean.align_dates(donors, treated), 4)
 
 
 @query("j10_attach_meta", with_sql("p_onation", "described") + """

@@ -120,6 +120,14 @@ def test_exact_quantiles(spark, ranges, rounds):
         assert np.allclose(got[g], np.quantile(vs, probs), rtol=1e-12, atol=1e-12)
 
 
+def test_rounds_follow_the_largest_group(spark):
+    rng = np.random.default_rng(8)
+    values = rng.normal(0, 1, 20_000)
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0)], "g string, v double").repartition(5)
+    got = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5], ranges=8, longest=50).collect()}
+    assert np.allclose(got["a"], np.quantile(values, [0.1, 0.5]), rtol=1e-12) and got["b"] == [1.0, 1.0]
+
+
 def test_quantiles_never_gather_a_group(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.rand(1).alias("v"))
     plan = exact_quantiles(df, ["g"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
