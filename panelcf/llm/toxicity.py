@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of itself and its character n-grams (word ends marked), each hashed to a row of an embedding
-table; a document is the average over all its words' bags; a softmax over two classes follows. Table and softmax are trained together on a
+table; a document is the average over the bags of its distinct words; a softmax over two classes follows. Table and softmax are trained together on a
 bounded sample of labelled rows. A word that never occurred in training still shares n-grams with those that did, so misspellings are seen.
 
 For scoring, table and softmax fold into one number per hashed n-gram (the model is linear in the average), so a word
@@ -33,11 +33,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TOXIC_SAMPLE, OTHER_SAMPLE = 1500, 3000
 BUCKET_BITS = 17
 DIMENSIONS = 8
+#: Features without meaning in every average, so that very short texts stay near the prior.
+PAD = 60
 NGRAMS = (3, 4, 5, 6)
 #: Mini-batches seen in training; small samples are gone through more often.
-STEPS = 720
+STEPS = 900
 BATCH = 50
-RATE = 0.01
+RATE = 0.005
 MEMO_WORDS = 400_000
 
 
@@ -56,7 +58,7 @@ def _words(text: str | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """weight: one number per bucket; the logit of a document is bias + the mean over its features."""
+    """weight: one number per bucket; the logit of a document is bias + the padded mean over its features."""
 
     weight: np.ndarray
     bias: float
@@ -68,13 +70,13 @@ def _rows(texts: list[str | None]):
     buckets, shares, ends = [], [], [0]
     for text in texts:
         bags = []
-        for w in _words(text):
+        for w in sorted(set(_words(text))):
             if w not in memo:
                 memo[w] = np.array(_features(w), np.int32)
             bags.append(memo[w])
         found, n = np.unique(np.concatenate(bags), return_counts=True) if bags else (np.zeros(0, np.int32), np.zeros(0))
         buckets.append(found.astype(np.int32))
-        shares.append((n / max(1, n.sum())).astype(np.float32))
+        shares.append((n / (PAD + n.sum())).astype(np.float32))
         ends.append(ends[-1] + len(found))
     return np.concatenate(buckets), np.concatenate(shares), np.array(ends)
 
@@ -145,7 +147,7 @@ def _scorer(shared):
 
     def score(text: str | None) -> float:
         total, n = 0.0, 0
-        for w in _words(text):
+        for w in set(_words(text)):
             known = memo.get(w)
             if known is None:
                 f = _features(w)
@@ -155,7 +157,7 @@ def _scorer(shared):
                 memo[w] = known
             total += known[0]
             n += known[1]
-        return 1 / (1 + float(np.exp(-np.clip(bias + total / max(1, n), -500, 500))))
+        return 1 / (1 + float(np.exp(-np.clip(bias + total / (PAD + n), -500, 500))))
 
     return score
 
