@@ -4,8 +4,9 @@ Lines. A line is what stands between line breaks; one of 120 characters or more
 found wherever it is wrapped. Pieces keep their separators and together are the text.
 Chunks. A rolling hash covers a line and the one before it. A chunk ends where this hash is a local minimum, which depends on four lines at
 most, so an insertion elsewhere shifts no boundary beyond its surroundings; folded lines begin and end a chunk of their own.
-Removal. A chunk of two or more lines, or of 50 words or more, that occurs more than once loses all occurrences but the first (least
-doc_id, then place). Hashes find the occurrences; what is removed is compared with the first occurrence by its bytes.
+Removal. A chunk of two or more lines (60 characters at least), or of one long line, that occurs more than once loses all occurrences but the first (least
+doc_id, then place). Hashes find the occurrences; what is removed is compared with the first occurrence by its bytes. Repeated chunks
+that follow each other go together, and only if they have 25 words: shorter agreement of texts is chance or style.
 
 Per chunk only a hash and its place are shuffled; texts move once, to meet their document's repeated chunks.
 
@@ -22,6 +23,10 @@ from panelcf.llm.common import keyed, match_keys, stored
 
 FOLD_CHARS = 120
 LONG_WORDS = 50
+#: Characters of a chunk that counts: two or three words in a row repeat by chance.
+MIN_CHARS = 60
+#: Words of a stretch of repeated chunks that may go.
+MIN_WORDS = 25
 
 _LINES = r"(?<=\n)"
 _SENTENCES = r"(?<=[.!?] )"
@@ -71,8 +76,9 @@ def chunk_places(docs: DataFrame) -> DataFrame:
     begun = rolled.select(*names, "m", _starts(F.col("m"), F.col("r")).alias("at"))
     ends = F.transform("at", lambda a, i: F.coalesce(F.get("at", i + 1), F.size("m")) - a)
     spans = begun.select(*names, "m", F.explode(F.arrays_zip(F.col("at").alias("start"), ends.alias("size"))).alias("c"))
-    # a single line with fewer characters than LONG_WORDS words and blanks take can never go
-    spans = spans.where((F.col("c.size") > 1) | (F.get("m", F.col("c.start"))["n"] >= 2 * LONG_WORDS - 1))
+    # a single line with fewer characters than LONG_WORDS words and blanks take can never go, nor can a few short lines
+    chars = F.aggregate(F.slice("m", F.col("c.start") + 1, F.col("c.size")), F.lit(0), lambda t, p: t + p["n"])
+    spans = spans.where(F.when(F.col("c.size") > 1, chars >= MIN_CHARS).otherwise(chars >= 2 * LONG_WORDS - 1))
     return spans.select(
         *names, F.col("c.start").alias("start"), F.col("c.size").alias("size"),
         F.xxhash64(F.transform(F.slice("m", F.col("c.start") + 1, F.col("c.size")), lambda p: p["h"])).alias("hash"))
@@ -83,11 +89,10 @@ def _text_of(pieces: Column, start: Column, size: Column) -> Column:
     return F.array_join(F.transform(F.slice(pieces, start + 1, size), lambda p: F.rtrim(p["s"])), "\n")
 
 
-def _counts(pieces: Column, start: Column, size: Column) -> Column:
-    """Is the chunk one that may go: two lines with content, or many words?"""
-    text = _text_of(pieces, start, size)
-    filled = F.size(F.filter(F.slice(pieces, start + 1, size), lambda p: F.rtrim(p["s"]) != ""))
-    return (filled >= 2) | ((filled == 1) & (F.size(F.split(text, " ")) >= LONG_WORDS))
+def _words(pieces: Column, start: Column, end: Column) -> Column:
+    """Number of words from one piece to before another."""
+    joined = F.array_join(F.transform(F.slice(pieces, start + 1, end - start), lambda p: F.rtrim(p["s"])), " ")
+    return F.size(F.filter(F.split(joined, r"\s+"), lambda w: w != ""))
 
 
 def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -121,15 +126,19 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     pieces = _chunks(F.col("text"))
     gone = F.filter("found", lambda c: ~c["first"] & ~F.coalesce(F.array_contains("__llm_unequal", c["hash"]), F.lit(False)))
-    marked = met.withColumn("__llm_gone", gone).withColumn("__llm_pieces", F.when(F.size("__llm_gone") > 0, pieces))
-    gone = F.filter("__llm_gone", lambda c: _counts(F.col("__llm_pieces"), c["start"], c["size"]))
-    cut_off = marked.withColumn("__llm_gone", gone)
-    # what lies between the removed spans, each span and its successor bounding a kept stretch
+    marked = met.withColumn("__llm_chunks", gone).withColumn("__llm_pieces", F.when(F.size("__llm_chunks") > 0, pieces))
+    # stretches of chunks without a gap: their first and their last chunks, one to one
+    end = lambda c: c["start"] + c["size"]
+    opens = F.filter("__llm_chunks", lambda c, i: (i == 0) | (end(F.get("__llm_chunks", i - 1)) != c["start"]))
+    closes = F.filter("__llm_chunks", lambda c, i: (i == F.size("__llm_chunks") - 1) | (F.get("__llm_chunks", i + 1)["start"] != end(c)))
+    stretches = F.zip_with(opens, closes, lambda o, c: F.struct(o["start"].alias("start"), end(c).alias("end")))
+    long_ones = F.filter("__llm_stretches", lambda r: _words(F.col("__llm_pieces"), r["start"], r["end"]) >= MIN_WORDS)
+    cut_off = marked.withColumn("__llm_stretches", stretches).withColumn("__llm_gone", long_ones)
+    # what lies between the removed stretches
     kept = F.concat(
         F.array(F.slice("__llm_pieces", F.lit(1), F.get("__llm_gone", F.lit(0))["start"])),
-        F.transform("__llm_gone", lambda c, i: F.slice(
-            "__llm_pieces", c["start"] + c["size"] + 1,
-            F.coalesce(F.get("__llm_gone", i + 1)["start"], F.size("__llm_pieces")) - c["start"] - c["size"])))
+        F.transform("__llm_gone", lambda r, i: F.slice(
+            "__llm_pieces", r["end"] + 1, F.coalesce(F.get("__llm_gone", i + 1)["start"], F.size("__llm_pieces")) - r["end"])))
     text = F.array_join(F.transform(F.flatten(kept), lambda p: p["s"]), "")
     new = F.when(F.size("__llm_gone") > 0, text).otherwise(F.col("text"))
     out = cut_off.withColumn("__llm_new", new)

@@ -44,16 +44,20 @@ def brute(data):
             seen[place] = same
     out = []
     for d, text in data:
-        kept = [c for k, c in enumerate(chunks(text or "")) if not ((d, text, k) in seen and removable(c))]
-        out.append((d, None if text is None else "".join(p for c in kept for p in c)))
+        parts = chunks(text or "")
+        gone = [(d, text, k) in seen and sum(map(len, c)) >= (60 if len(c) > 1 else 99) for k, c in enumerate(parts)]
+        k = 0
+        while k < len(parts):
+            e = k
+            while e < len(parts) and gone[e]:
+                e += 1
+            if e > k and sum(len(p.split()) for c in parts[k:e] for p in c) < 25:
+                gone[k:e] = [False] * (e - k)
+            k = max(e, k + 1)
+        out.append((d, None if text is None else "".join(p for c, g in zip(parts, gone) if not g for p in c)))
     return sorted(out, key=key)
 
 
-def removable(c):
-    filled = [p for p in c if p.rstrip(" ") != ""]
-    return len(filled) >= 2 or len(filled) == 1 and len("\n".join(p.rstrip(" ") for p in c).split(" ")) >= 50
-
-
 def case():
     rng = random.Random(6)
     passage = [prose(rng, 100) for _ in range(3)] + ["\n".join(prose(rng, 6) for _ in range(20))]
@@ -104,7 +108,8 @@ def test_unequal_bytes_under_one_hash_stay(spark, monkeypatch):
 
     same = lambda pieces: F.transform(pieces, lambda p: F.struct(p["b"].alias("b"), F.length(p["s"]).cast("long").alias("h"), F.length(p["s"]).alias("n")))
     monkeypatch.setattr(linededup, "_with_hashes", same)
-    data = [(1, "aaaa\nbbbb\n"), (2, "cccc\ndddd\n"), (3, "cccc\ndddd\n")]
+    a, b = "a " * 20, "b " * 20
+    data = [(1, f"{a}\n{b}\n"), (2, f"{a[::-1]}\n{b[::-1]}\n"), (3, f"{a[::-1]}\n{b[::-1]}\n")]
     got = {r["doc_id"]: r["text"] for r in linededup.drop_repeats(documents(spark, fill(data))).collect()}
     assert got == dict(data)
 
