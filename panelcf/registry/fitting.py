@@ -519,7 +519,7 @@ def m11_mean(spark, sf_dir):
     return rounded(trees.fit_trees(design, unit, {"rf": _plain_forest(0)}, min_pre=10)[0], 3)
 
 
-@query("m12_mean_tree_errors", SEGMENT_CELLS + """
+@query("m12_mean_tree_errors", TYPE_CELLS + """
     , pre AS (SELECT treated_id, date, y, row_number() OVER (PARTITION BY treated_id ORDER BY date) - 1 AS pos,
                      count(*) OVER (PARTITION BY treated_id) AS n
               FROM (SELECT DISTINCT treated_id, date, y FROM cells WHERE is_pre)),
@@ -528,12 +528,12 @@ def m11_mean(spark, sf_dir):
     means AS (SELECT s.treated_id, s.split, avg(p.y) AS y_hat FROM (SELECT DISTINCT treated_id, split FROM tested WHERE split IS NOT NULL) s
               JOIN tested p ON p.treated_id = s.treated_id AND coalesce(p.split, -1) < s.split GROUP BY 1, 2),
     errors AS (SELECT treated_id, split, sqrt(avg((y - y_hat) ** 2)) AS rmse FROM tested JOIN means USING (treated_id, split) GROUP BY 1, 2)
-    SELECT treated_id, method, split, round(rmse + 3e-6, 3) AS rmse, round(avg(rmse) OVER (PARTITION BY treated_id) + 3e-6, 3) AS mean_rmse
+    SELECT treated_id, method, split, round(rmse + 3e-9, 6) AS rmse, round(avg(rmse) OVER (PARTITION BY treated_id) + 3e-9, 6) AS mean_rmse
     FROM errors, (VALUES ('rf'), ('tree')) v(method)""")
 def m12_mean(spark, sf_dir):
-    panel, _ = segment_days(spark, sf_dir)
+    panel, _, ids = type_days(spark, sf_dir, False)
     models = {"rf": _plain_forest(0), "tree": DecisionTreeRegressor(maxDepth=0)}
-    return rounded(trees.time_series_cv(panels.expanding_splits(panel), first_id(p_segment(spark, sf_dir)), models), 3)
+    return rounded(trees.time_series_cv(panels.expanding_splits(panel), ids[0], models))
 
 
 @query("m13_own_estimator_line", _TYPE_ROWS + """,
