@@ -96,36 +96,36 @@ def _words(pieces: Column, start: Column, end: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows of documents with ``found``: their repeated chunks as (start, size, hash, first), first telling the kept occurrence. Stored."""
+    """Rows of documents with ``__llm_found``: their repeated chunks as (start, size, hash, first), first telling the kept occurrence. Stored."""
     rows, names = keyed(docs)
     places = stored(chunk_places(docs), "chunks")
     where = F.struct(*names, "start")
     shared = places.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(where).alias("least")).where("n > 1").drop("n")
     again = places.join(shared, ["hash", "size"]).distinct()
     lists = again.groupBy(*names).agg(F.sort_array(F.collect_list(  # of one document, as long as its text
-        F.struct("start", "size", "hash", where.eqNullSafe(F.col("least")).alias("first")))).alias("found"))
+        F.struct("start", "size", "hash", where.eqNullSafe(F.col("least")).alias("first")))).alias("__llm_found"))
     return stored(match_keys(rows, lists, names, "left"), "texts-with-chunks"), names
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """Documents without repeated passages; ``text`` changes and, where there is one, ``n_chars``; all rows stay."""
     met, names = repeated_chunks(docs)
-    cut = met.where("found IS NOT NULL").select(*names, _chunks(F.col("text")).alias("p"), "found")
-    texts = F.transform("found", lambda f: F.struct(  # made within the row, so that no row is copied with all its pieces
+    cut = met.where("__llm_found IS NOT NULL").select(*names, _chunks(F.col("text")).alias("p"), "__llm_found")
+    texts = F.transform("__llm_found", lambda f: F.struct(  # made within the row, so that no row is copied with all its pieces
         f["hash"].alias("hash"), f["size"].alias("size"), _text_of(F.col("p"), f["start"], f["size"]).alias("t"), F.get("p", f["start"])["b"].alias("b")))
     bytes_of = cut.select(F.explode(texts).alias("f")).select("f.hash", "f.size", "f.t")
     # chunks whose hash stands for different bytes are left alone; there is hardly ever one
     unequal = bytes_of.groupBy("hash", "size").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("hash", "size")
     bad = stored(unequal, "unequal")
     if not bad.isEmpty():
-        spoiled = cut.select(*names, F.explode("found").alias("f")).select(*names, F.col("f.hash").alias("hash"), F.col("f.size").alias("size")).join(
+        spoiled = cut.select(*names, F.explode("__llm_found").alias("f")).select(*names, F.col("f.hash").alias("hash"), F.col("f.size").alias("size")).join(
             bad, ["hash", "size"]).groupBy(*names).agg(F.collect_set("hash").alias("__llm_unequal"))
         met = match_keys(met, spoiled, names, "left")
     else:
         met = met.withColumn("__llm_unequal", F.lit(None).cast("array<long>"))
 
     pieces = _chunks(F.col("text"))
-    gone = F.filter("found", lambda c: ~c["first"] & ~F.coalesce(F.array_contains("__llm_unequal", c["hash"]), F.lit(False)))
+    gone = F.filter("__llm_found", lambda c: ~c["first"] & ~F.coalesce(F.array_contains("__llm_unequal", c["hash"]), F.lit(False)))
     marked = met.withColumn("__llm_chunks", gone).withColumn("__llm_pieces", F.when(F.size("__llm_chunks") > 0, pieces))
     # stretches of chunks without a gap: their first and their last chunks, one to one
     end = lambda c: c["start"] + c["size"]

@@ -114,5 +114,13 @@ def test_unequal_bytes_under_one_hash_stay(spark, monkeypatch):
     assert got == dict(data)
 
 
+def test_clashing_column_names(spark):
+    from pyspark.sql import functions as F
+
+    more = {c: F.lit(c) for c in ("found", "hash", "start", "size", "p", "m", "at")}
+    out = linededup.drop_repeats(documents(spark).withColumns(more))
+    assert out.count() == len(rows()) and {r["found"] for r in out.collect()} == {"found"}
+
+
 def test_empty_table(spark):
     assert linededup.drop_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
