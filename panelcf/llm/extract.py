@@ -223,6 +223,8 @@ def _layout(rng: random.Random, material: list[list[str]]) -> str:
     article = rng.choice(material)
     if rng.random() < 0.3:
         article = article[: rng.randint(1, 3)]
+    if rng.random() < 0.12:  # hardly any text
+        article = [" ".join(t.split()[: rng.randint(1, 4)]) for t in article[:2]]
     pool = " ".join(rng.choice(material)).split() or [_TEXT]
 
     def some(lo: int, hi: int) -> str:
