@@ -155,7 +155,8 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
     prefixes = ranked.where("p.frequency > 0").select("window", "n", "k", "p.shingle", "p.offset")
 
     meet = places.join(prefixes, ["shingle", "k"]).where("lead >= offset").where("lead - offset + n <= size(around)")
-    same = meet.where(F.array_join(F.slice("around", F.col("lead") - F.col("offset") + 1, F.col("n")), " ") == F.col("window"))
+    begin = F.greatest(F.lit(1), F.col("lead") - F.col("offset") + 1)  # conditions may be evaluated in any order
+    same = meet.where(F.array_join(F.slice("around", begin, F.col("n")), " ") == F.col("window"))
     hits = stored(same.select("row", "window", "n", (F.col("at") - F.col("offset")).alias("start")), "hits")
 
     earlier = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
