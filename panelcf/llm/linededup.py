@@ -1,17 +1,17 @@
-"""Repeated passages: content-defined chunks of lines, in DataFrame functions only.
+"""Repeated passages: windows of whole lines and sentences, in DataFrame functions only.
 
-Lines. A line is what stands between line breaks; one of 120 characters or more is folded into its sentences, so that a passage is
-found wherever it is wrapped. Pieces keep their separators and together are the text.
-Chunks. A rolling hash covers a line and the one before it. A chunk ends where this hash is a local minimum, which depends on four lines at
-most, so an insertion elsewhere shifts no boundary beyond its surroundings; folded lines begin and end a chunk of their own.
-Removal. A chunk of two or more lines (60 characters at least), or of one long line, that occurs more than once loses all occurrences but the first (least
-doc_id, then place). Hashes find the occurrences; what is removed is compared with the first occurrence by its bytes. Repeated chunks
-that follow each other go together, and only if they have 25 words: shorter agreement of texts is chance or style.
+Pieces. A text is cut behind line breaks, and lines of 120 characters or more behind sentences; blank lines belong to the piece before
+them. Pieces keep their separators and together are the text, but are compared without blanks at their ends.
+Windows. At each piece begins one window: the fewest pieces that have MIN_WORDS words. It depends on its own pieces alone, so texts that
+agree in a run of pieces with MIN_WORDS words agree in all windows of that run, whatever stands around it.
+Removal. A window that occurs more than once loses all occurrences but the first (least doc_id, then place); windows overlap, so the
+whole of the longest equal run goes up to its edges. An occurrence that overlaps the first one in the same text stays. Hashes find
+the occurrences; those with one hash are compared by SHA-256 digests of their pieces.
 
-Per chunk only a hash and its place are shuffled; texts move once, to meet their document's repeated chunks.
+Per window only a hash and its place are shuffled; texts move once, to meet their document's repeated windows.
 
 Defined results: null stays null and empty stays empty; rows with equal doc_id and text are one document and change alike;
-a null doc_id counts before all others; blank lines have no content of their own and never make a chunk repeated.
+a null doc_id counts before all others; blank lines have no content of their own.
 """
 
 from __future__ import annotations
@@ -21,101 +21,74 @@ from pyspark.sql import functions as F
 
 from panelcf.llm.common import keyed, match_keys, stored
 
-FOLD_CHARS = 120
-LONG_WORDS = 50
-#: Characters of a chunk that counts: two or three words in a row repeat by chance.
-MIN_CHARS = 60
-#: Words of a stretch of repeated chunks that may go.
-MIN_WORDS = 25
-
-_LINES = r"(?<=\n)"
-_SENTENCES = r"(?<=[.!?] )"
-
-
-def _chunks(text: Column) -> Column:
-    """The chunks of a text as arrays of pieces (array<array<string>>)."""
-    lines = F.split(text, _LINES)
-    # pieces with a mark: does a chunk have to begin here?
-    pieces = F.flatten(F.transform(lines, lambda s: F.when(F.length(s) < FOLD_CHARS, F.array(
-        F.struct(F.lit(0).alias("b"), s.alias("s")))).otherwise(
-            F.transform(F.split(s, _SENTENCES), lambda p, i: F.struct(F.when(i == 0, 1).otherwise(2).alias("b"), p.alias("s"))))))
-    return F.filter(pieces, lambda p: p["s"] != "")
+#: Words of a passage that may go: shorter agreement of texts is chance or style.
+MIN_WORDS = 50
 
-
-def _with_hashes(pieces: Column) -> Column:
-    return F.transform(pieces, lambda p: F.struct(p["b"].alias("b"), F.xxhash64(F.rtrim(p["s"])).alias("h"), F.length(p["s"]).alias("n")))
+FOLD_CHARS = 120
+_LINES = r"(?<=\n)(?=[ \t\r]*\S)"
+_SENTENCES = r"(?<=[.!?] )(?=[ \t\r]*\S)"
+_BLANKS = " "
 
 
-def _rolling(marked: Column) -> Column:
-    """Rolling hash over a piece and the one before it; the first of a folded line has no piece before it."""
-    return F.transform(marked, lambda p, i: F.xxhash64(
-        F.when((i == 0) | (p["b"] == 1), F.lit(0).cast("long")).otherwise(F.get(marked, i - 1)["h"]), p["h"]))
+def _bare(piece: Column) -> Column:
+    """A piece without the separators around it."""
+    return F.trim(piece, F.lit(_BLANKS))
 
 
-def _starts(marked: Column, rolling: Column) -> Column:
-    """Places (from 0) at which chunks begin."""
-    places = F.sequence(F.lit(0), F.size(marked) - 1)
+def _pieces(text: Column) -> Column:
+    return F.flatten(F.transform(F.split(text, _LINES), lambda s: F.when(F.length(s) < FOLD_CHARS, F.array(s)).otherwise(F.split(s, _SENTENCES))))
 
-    def begins(i):
-        kind, before, at = F.get(marked, i)["b"], F.get(rolling, i - 2), F.get(rolling, i - 1)
-        minimum = (at < before) & (at < F.get(rolling, i))
-        # of a folded line neither the first nor the last sentence is cut off alone
-        second = (kind == 2) & (F.get(marked, i - 1)["b"] == 1)
-        last = (kind == 2) & (F.coalesce(F.get(marked, i + 1)["b"], F.lit(0)) != 2)
-        changed = (kind == 0) & (F.get(marked, i - 1)["b"] > 0)
-        return (i == 0) | (kind == 1) | changed | (F.coalesce(minimum, F.lit(False)) & ~second & ~last)
 
-    return F.filter(places, begins)
+def _with_hashes(pieces: Column) -> Column:
+    """Per piece: its number of words (b) and its hash (h)."""
+    return F.transform(F.transform(pieces, lambda p: F.struct(p["b"].alias("b"), _bare(p["s"]).alias("s"))), lambda p: F.struct(
+        F.when(p["s"] == "", 0).otherwise(F.size(F.split(p["s"], r"\s+"))).alias("b"), F.xxhash64(p["s"]).alias("h")))
 
 
-def chunk_places(docs: DataFrame) -> DataFrame:
-    """Per chunk: key columns, start, size (pieces), hash; of texts that have one."""
+def window_places(docs: DataFrame) -> DataFrame:
+    """Per window: key columns, start, size (pieces), hash; of texts that have one."""
     rows, names = keyed(docs)
-    cut = rows.where("text != ''").select(*names, _with_hashes(_chunks(F.col("text"))).alias("m"))
-    rolled = cut.select(*names, "m", _rolling(F.col("m")).alias("r"))
-    begun = rolled.select(*names, "m", _starts(F.col("m"), F.col("r")).alias("at"))
-    ends = F.transform("at", lambda a, i: F.coalesce(F.get("at", i + 1), F.size("m")) - a)
-    spans = begun.select(*names, "m", F.explode(F.arrays_zip(F.col("at").alias("start"), ends.alias("size"))).alias("c"))
-    # a single line with fewer characters than LONG_WORDS words and blanks take can never go, nor can a few short lines
-    chars = F.aggregate(F.slice("m", F.col("c.start") + 1, F.col("c.size")), F.lit(0), lambda t, p: t + p["n"])
-    spans = spans.where(F.when(F.col("c.size") > 1, chars >= MIN_CHARS).otherwise(chars >= 2 * LONG_WORDS - 1))
-    return spans.select(
-        *names, F.col("c.start").alias("start"), F.col("c.size").alias("size"),
-        F.xxhash64(F.transform(F.slice("m", F.col("c.start") + 1, F.col("c.size")), lambda p: p["h"])).alias("hash"))
-
-
-def _text_of(pieces: Column, start: Column, size: Column) -> Column:
-    """The bytes of a chunk, without the separators behind its pieces."""
-    return F.array_join(F.transform(F.slice(pieces, start + 1, size), lambda p: F.rtrim(p["s"])), "\n")
-
-
-def _words(pieces: Column, start: Column, end: Column) -> Column:
-    """Number of words from one piece to before another."""
-    joined = F.array_join(F.transform(F.slice(pieces, start + 1, end - start), lambda p: F.rtrim(p["s"])), " ")
-    return F.size(F.filter(F.split(joined, r"\s+"), lambda w: w != ""))
-
-
-def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows of documents with ``__llm_found``: their repeated chunks as (start, size, hash, first), first telling the kept occurrence. Stored."""
+    marked = F.transform(_pieces(F.col("text")), lambda s: F.struct(F.lit(0).alias("b"), s.alias("s")))
+    cut = rows.where(F.length("text") >= 2 * MIN_WORDS - 1).select(*names, _with_hashes(marked).alias("m"))
+    # the piece of each word, and the places of the words that begin a piece
+    of_word = F.flatten(F.transform("m", lambda p, i: F.array_repeat(i, p["b"])))
+    worded = cut.select(*names, F.transform("m", lambda p: p["h"]).alias("h"), of_word.alias("w")).where(F.size("w") >= MIN_WORDS)
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - MIN_WORDS), lambda j: (j == 0) | (F.get("w", j) != F.get("w", j - 1)))
+    windows = F.transform(begins, lambda j: F.struct(F.get("w", j).alias("start"), F.get("w", j + (MIN_WORDS - 1)).alias("last")))
+    listed = worded.select(*names, "h", windows.alias("at"))
+    # made within the row, so that no row is copied with all its pieces
+    hashed = F.transform("at", lambda c: F.struct(c["start"].alias("start"), (c["last"] - c["start"] + 1).alias("size"), F.xxhash64(
+        F.slice("h", c["start"] + 1, c["last"] - c["start"]), F.get("h", c["last"])).alias("hash")))
+    return listed.select(*names, F.explode(hashed).alias("c")).select(*names, "c.start", "c.size", "c.hash")
+
+
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows of documents with ``__llm_found``: their repeated windows as (start, size, hash, first), first telling the kept occurrence
+    and those that overlap it. Stored."""
     rows, names = keyed(docs)
-    places = stored(chunk_places(docs), "chunks")
+    places = stored(window_places(docs), "windows")
     where = F.struct(*names, "start")
     shared = places.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(where).alias("least")).where("n > 1").drop("n")
     again = places.join(shared, ["hash", "size"]).distinct()
+    here = F.struct(*names).eqNullSafe(F.struct(*[F.col("least")[n].alias(n) for n in names]))
     lists = again.groupBy(*names).agg(F.sort_array(F.collect_list(  # of one document, as long as its text
-        F.struct("start", "size", "hash", where.eqNullSafe(F.col("least")).alias("first")))).alias("__llm_found"))
-    return stored(match_keys(rows, lists, names, "left"), "texts-with-chunks"), names
+        F.struct("start", "size", "hash", (here & (F.col("start") < F.col("least.start") + F.col("size"))).alias("first")))).alias("__llm_found"))
+    return stored(match_keys(rows, lists, names, "left"), "texts-with-windows"), names
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """Documents without repeated passages; ``text`` changes and, where there is one, ``n_chars``; all rows stay."""
-    met, names = repeated_chunks(docs)
-    cut = met.where("__llm_found IS NOT NULL").select(*names, _chunks(F.col("text")).alias("p"), "__llm_found")
-    texts = F.transform("__llm_found", lambda f: F.struct(  # made within the row, so that no row is copied with all its pieces
-        f["hash"].alias("hash"), f["size"].alias("size"), _text_of(F.col("p"), f["start"], f["size"]).alias("t"), F.get("p", f["start"])["b"].alias("b")))
-    bytes_of = cut.select(F.explode(texts).alias("f")).select("f.hash", "f.size", "f.t")
-    # chunks whose hash stands for different bytes are left alone; there is hardly ever one
-    unequal = bytes_of.groupBy("hash", "size").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("hash", "size")
+    met, names = repeated_windows(docs)
+    digests = F.transform(_pieces(F.col("text")), lambda p: F.sha2(_bare(p), 256))
+    cut = met.where("__llm_found IS NOT NULL").select(*names, digests.alias("d"), "__llm_found")
+    digest = lambda f: F.sha2(F.concat(F.array_join(F.slice("d", f["start"] + 1, f["size"] - 1), ""), F.get("d", f["start"] + f["size"] - 1)), 256)
+    seen = cut.select(F.explode(F.transform("__llm_found", lambda f: F.struct(
+        f["hash"].alias("hash"), f["size"].alias("size"), digest(f).alias("t")))).alias("f")).select("f.hash", "f.size", "f.t")
+    halves = {f"t{k}": F.conv(F.substring("t", 1 + 15 * k, 15), 16, 10).cast("long") for k in range(4)}  # numbers are added up without sorting
+    ends = [f(c).alias(f"{name}{c}") for c in halves for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    unlike = " OR ".join(f"lo{c} != hi{c}" for c in halves)
+    unequal = seen.withColumns(halves).groupBy("hash", "size").agg(*ends).where(unlike).select("hash", "size")
+    # windows whose hash stands for different pieces are left alone; there is hardly ever one
     bad = stored(unequal, "unequal")
     if not bad.isEmpty():
         spoiled = cut.select(*names, F.explode("__llm_found").alias("f")).select(*names, F.col("f.hash").alias("hash"), F.col("f.size").alias("size")).join(
@@ -124,22 +97,21 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     else:
         met = met.withColumn("__llm_unequal", F.lit(None).cast("array<long>"))
 
-    pieces = _chunks(F.col("text"))
+    pieces = _pieces(F.col("text"))
     gone = F.filter("__llm_found", lambda c: ~c["first"] & ~F.coalesce(F.array_contains("__llm_unequal", c["hash"]), F.lit(False)))
-    marked = met.withColumn("__llm_chunks", gone).withColumn("__llm_pieces", F.when(F.size("__llm_chunks") > 0, pieces))
-    # stretches of chunks without a gap: their first and their last chunks, one to one
+    marked = met.withColumn("__llm_windows", gone).withColumn("__llm_pieces", F.when(F.size("__llm_windows") > 0, pieces))
+    # stretches of windows that overlap or touch: their first and their last windows, one to one
     end = lambda c: c["start"] + c["size"]
-    opens = F.filter("__llm_chunks", lambda c, i: (i == 0) | (end(F.get("__llm_chunks", i - 1)) != c["start"]))
-    closes = F.filter("__llm_chunks", lambda c, i: (i == F.size("__llm_chunks") - 1) | (F.get("__llm_chunks", i + 1)["start"] != end(c)))
+    opens = F.filter("__llm_windows", lambda c, i: (i == 0) | (end(F.get("__llm_windows", i - 1)) < c["start"]))
+    closes = F.filter("__llm_windows", lambda c, i: (i == F.size("__llm_windows") - 1) | (F.get("__llm_windows", i + 1)["start"] > end(c)))
     stretches = F.zip_with(opens, closes, lambda o, c: F.struct(o["start"].alias("start"), end(c).alias("end")))
-    long_ones = F.filter("__llm_stretches", lambda r: _words(F.col("__llm_pieces"), r["start"], r["end"]) >= MIN_WORDS)
-    cut_off = marked.withColumn("__llm_stretches", stretches).withColumn("__llm_gone", long_ones)
+    cut_off = marked.withColumn("__llm_gone", stretches)
     # what lies between the removed stretches
     kept = F.concat(
         F.array(F.slice("__llm_pieces", F.lit(1), F.get("__llm_gone", F.lit(0))["start"])),
         F.transform("__llm_gone", lambda r, i: F.slice(
             "__llm_pieces", r["end"] + 1, F.coalesce(F.get("__llm_gone", i + 1)["start"], F.size("__llm_pieces")) - r["end"])))
-    text = F.array_join(F.transform(F.flatten(kept), lambda p: p["s"]), "")
+    text = F.array_join(F.flatten(kept), "")
     new = F.when(F.size("__llm_gone") > 0, text).otherwise(F.col("text"))
     out = cut_off.withColumn("__llm_new", new)
     columns = [new_column(c) for c in docs.columns]
