@@ -1,6 +1,6 @@
 """Repeated passages: windows of whole lines and sentences, in DataFrame functions only.
 
-Pieces. A text is cut behind line breaks, and lines of 120 characters or more behind sentences; blank lines belong to the piece before
+Pieces. A text is cut behind line breaks and behind sentences, wherever a line is wrapped; blank lines belong to the piece before
 them. Pieces keep their separators and together are the text, but are compared without blanks at their ends.
 Windows. At each piece begins one window: the fewest pieces that have MIN_WORDS words. It depends on its own pieces alone, so texts that
 agree in a run of pieces with MIN_WORDS words agree in all windows of that run, whatever stands around it.
@@ -24,9 +24,7 @@ from panelcf.llm.common import keyed, match_keys, stored
 #: Words of a passage that may go: shorter agreement of texts is chance or style.
 MIN_WORDS = 50
 
-FOLD_CHARS = 120
-_LINES = r"(?<=\n)(?=[ \t\r]*\S)"
-_SENTENCES = r"(?<=[.!?] )(?=[ \t\r]*\S)"
+_PIECES = r"(?<=\n|[.!?] )(?=[ \t\r]*\S)"
 _BLANKS = " "
 
 
@@ -36,7 +34,7 @@ def _bare(piece: Column) -> Column:
 
 
 def _pieces(text: Column) -> Column:
-    return F.flatten(F.transform(F.split(text, _LINES), lambda s: F.when(F.length(s) < FOLD_CHARS, F.array(s)).otherwise(F.split(s, _SENTENCES))))
+    return F.split(text, _PIECES)
 
 
 def _with_hashes(pieces: Column) -> Column:

@@ -57,6 +57,17 @@ def test_short_lines(spark):
     assert cleaned(spark, data) == want
 
 
+def test_inside_longer_paragraphs(spark):
+    rng, data, want = random.Random(2), [], []
+    for k, (n, each) in enumerate(((60, 12), (60, 20), (100, 20))):
+        passage = sentences(rng, n, each)
+        for i in range(6):
+            own, more = sentences(rng, 60, 12), sentences(rng, 60, 12)
+            data.append((10 * k + i, " ".join([*own, *passage, *more])))
+            want.append((10 * k + i, " ".join([*own, *([] if i else passage), *more])))
+    assert cleaned(spark, data) == want
+
+
 def test_less_than_the_limit_stays(spark):
     rng = random.Random(4)
     passage = " ".join(sentences(rng, 48, 12))
