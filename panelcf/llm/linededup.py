@@ -1,7 +1,7 @@
 """Repeated passages: windows of whole lines and sentences, in DataFrame functions only.
 
 Pieces. A text is cut behind line breaks and behind sentences, wherever a line is wrapped; blank lines belong to the piece before
-them. Pieces keep their separators and together are the text, but are compared without blanks at their ends.
+them. Pieces keep their separators and together are the text, but are compared without blanks and line breaks at their ends.
 Windows. At each piece begins one window: the fewest pieces that have MIN_WORDS words. It depends on its own pieces alone, so texts that
 agree in a run of pieces with MIN_WORDS words agree in all windows of that run, whatever stands around it.
 Removal. A window that occurs more than once loses all occurrences but the first (least doc_id, then place); windows overlap, so the
@@ -25,7 +25,7 @@ from panelcf.llm.common import keyed, match_keys, stored
 MIN_WORDS = 50
 
 _PIECES = r"(?<=\n|[.!?] )(?=[ \t\r]*\S)"
-_BLANKS = " "
+_BLANKS = " \t\r\n"
 
 
 def _bare(piece: Column) -> Column:

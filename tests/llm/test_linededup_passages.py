@@ -68,8 +68,29 @@ def test_inside_longer_paragraphs(spark):
     assert cleaned(spark, data) == want
 
 
+def test_end_of_a_text_is_like_its_middle(spark):
+    rng, data, want = random.Random(3), [], []
+    for k, end in enumerate(("\n", "\r\n", " ")):
+        passage = " ".join(sentences(rng, 60, 20))
+        data += [(10 * k, "Own words.\n" + passage), (10 * k + 1, passage + end + "Other words."), (10 * k + 2, "Third.\n" + passage + "\n")]
+        want += [data[-3], (10 * k + 1, "Other words."), (10 * k + 2, "Third.\n")]
+    assert cleaned(spark, data) == want
+
+
 def test_less_than_the_limit_stays(spark):
     rng = random.Random(4)
     passage = " ".join(sentences(rng, 48, 12))
     data = [(i, " ".join([*sentences(rng, 24, 12), passage, *sentences(rng, 24, 12)])) for i in range(5)]
     assert cleaned(spark, data) == data
+
+
+def test_equals_the_rule(spark):
+    rng = random.Random(5)
+    data = [(d, t) for d, t, *_ in rows()]
+    stock = [prose(rng, rng.choice([20, 50, 60, 120])) for _ in range(5)] + ["\n".join(prose(rng, 5) for _ in range(20)), "Again and again. " * 60]
+    for i in range(60):
+        parts = [prose(rng, rng.choice([3, 8, 60])) for _ in range(rng.randint(1, 5))]
+        for _ in range(rng.randint(0, 3)):
+            parts.insert(rng.randint(0, len(parts)), rng.choice(stock))
+        data.append((500 + i, "".join(p + rng.choice([" ", "\n", "\r\n", "\n\n", "\n   "]) for p in parts)))
+    assert cleaned(spark, data) == brute(data)
