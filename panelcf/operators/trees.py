@@ -118,26 +118,36 @@ def fit_trees(design: DataFrame, treated_ids, models: dict[str, Estimator] | Non
     return reduce(DataFrame.unionByName, [predicted(u, n, m) for (u, n), m in fitted.items()]), fitted
 
 
-def time_series_cv(design: DataFrame, treated_id: str, models: dict[str, Estimator], seed: int = 0,
-                   parallelism: int = 4, partitions: int = 2) -> DataFrame:
+def time_series_cv(design: DataFrame, treated_ids, models: dict[str, Estimator], seed: int = 0,
+                   parallelism: int = 4, partitions: int = 2, store: str | None = None) -> DataFrame:
     """``treated_id, method, split, rmse, mean_rmse`` of an expanding-window validation.
 
     ``design`` must carry the ``split`` column of ``expanding_splits``; ``mean_rmse`` is
-    the mean over the splits of a unit and method.
+    the mean over the splits of a unit and method. ``store`` as in ``fit_trees``.
     """
-    rows = feature_rows(design).filter((F.col("treated_id") == treated_id) & F.col("is_pre")).persist()
-    splits = [r.split for r in rows.filter(F.col("split").isNotNull()).select("split").distinct()
-              .orderBy("split").collect()]
+    ids = id_list(treated_ids)
+    rows = feature_rows(design).filter(F.col("treated_id").isin(ids) & F.col("is_pre"))
+    rows = stored(rows, f"{store}/features") if store else rows.persist()
+    pairs = [(r.treated_id, r.split) for r in rows.filter(F.col("split").isNotNull()).select("treated_id", "split").distinct()
+             .orderBy("treated_id", "split").collect()]
 
-    def task(name: str, est: Estimator, split: int):
+    def task(number: int, unit: str, split: int, name: str, est: Estimator):
         def run():
-            train = rows.filter(F.coalesce("split", F.lit(-1)) < split).coalesce(partitions)
+            mine = rows.filter(F.col("treated_id") == unit)
+            train = mine.filter(F.coalesce("split", F.lit(-1)) < split).coalesce(partitions)
             model = _prepared(est, seed).fit(train)
-            return model.transform(rows.filter(F.col("split") == split)).groupBy("treated_id", "split").agg(
+            errors = model.transform(mine.filter(F.col("split") == split)).groupBy("treated_id", "split").agg(
                 F.sqrt(F.avg(F.pow(F.col("y") - F.col("y_hat"), 2))).alias("rmse")
             ).select("treated_id", F.lit(name).alias("method"), "split", "rmse")
+            if store:
+                errors.write.mode("overwrite").parquet(f"{store}/errors/{number}")
+            return errors
         return run
 
-    each = reduce(DataFrame.unionByName, _run(
-        design.sparkSession, [task(n, e, s) for n, e in models.items() for s in splits], parallelism))  # a row per model and split
+    tasks = [task(k, *p, n, e) for k, (p, (n, e)) in enumerate((p, m) for p in pairs for m in models.items())]
+    each = _run(design.sparkSession, tasks, parallelism)  # a row per unit, model and split
+    if store:
+        each = design.sparkSession.read.option("recursiveFileLookup", True).parquet(f"{store}/errors")
+    else:
+        each = reduce(DataFrame.unionByName, each)
     return each.withColumn("mean_rmse", F.avg("rmse").over(Window.partitionBy("treated_id", "method")))

@@ -423,22 +423,30 @@ def j6_one(spark, sf_dir):
 # --- trees -------------------------------------------------------------------
 
 
+def _all_stations(m):
+    """Assignments of every station of the panel, and their ids."""
+    units = panels.assign_all(m, START, WINDOW)
+    return units, sorted(r.treated_id for r in units.select("treated_id").collect())
+
+
+def _daily_design(spark, sf_dir):
+    m = p_segment(spark, sf_dir)
+    units, ids = _all_stations(m)
+    return panels.design_daily(panels.daily_panel(m, units)), ids
+
+
 @query("m9_fit_forest")
 def m9(spark, sf_dir):
-    m = p_segment(spark, sf_dir)
-    unit = first_id(m)
-    design = panels.design_daily(panels.daily_panel(m, panels.assign(spark, unit, START, WINDOW)))
-    models = {"rf": trees.daily_models(n_trees=20, max_depth=10)["rf"]}
-    return rounded(trees.fit_trees(design, unit, models, store=shared_dir(spark, "trees"))[0], 3)
+    design, ids = _daily_design(spark, sf_dir)
+    models = {"rf": trees.daily_models()["rf"]}
+    return rounded(trees.fit_trees(design, ids, models, store=shared_dir(spark, "trees"))[0], 3)
 
 
 @query("m10_fit_boosted")
 def m10(spark, sf_dir):
-    m = p_segment(spark, sf_dir)
-    unit = first_id(m)
-    design = panels.design_daily(panels.daily_panel(m, panels.assign(spark, unit, START, WINDOW)))
-    models = {"gbt": trees.daily_models(n_rounds=15)["gbt"]}
-    return rounded(trees.fit_trees(design, unit, models, store=shared_dir(spark, "trees"))[0], 3)
+    design, ids = _daily_design(spark, sf_dir)
+    models = {"gbt": trees.daily_models()["gbt"]}
+    return rounded(trees.fit_trees(design, ids, models, store=shared_dir(spark, "trees"))[0], 3)
 
 
 def _monthly_design(spark, sf_dir):
@@ -447,25 +455,28 @@ def _monthly_design(spark, sf_dir):
     return panels.design_monthly(m, panels.assign(spark, unit, START, WINDOW)), unit
 
 
+def _monthly_designs(spark, sf_dir):
+    m = p_snation(spark, sf_dir)
+    units, ids = _all_stations(m)
+    return panels.design_monthly(m, units), ids
+
+
 @query("m11_fit_monthly_trees")
 def m11(spark, sf_dir):
-    design, unit = _monthly_design(spark, sf_dir)
-    return rounded(trees.fit_trees(design, unit, trees.monthly_models(n_trees=15, n_rounds=10), min_pre=10)[0], 3)
+    design, ids = _monthly_designs(spark, sf_dir)
+    return rounded(trees.fit_trees(design, ids, trees.monthly_models(), min_pre=10, store=shared_dir(spark, "trees"))[0], 3)
 
 
 @query("m12_time_series_cv")
 def m12(spark, sf_dir):
-    design, unit = _monthly_design(spark, sf_dir)
-    models = {"rf": trees.monthly_models(n_trees=10)["rf"]}
-    return rounded(trees.time_series_cv(panels.expanding_splits(design), unit, models), 3)
+    design, ids = _monthly_designs(spark, sf_dir)
+    return rounded(trees.time_series_cv(panels.expanding_splits(design), ids, trees.monthly_models(), store=shared_dir(spark, "cv")), 3)
 
 
 @query("m13_own_estimator")
 def m13(spark, sf_dir):
-    m = p_segment(spark, sf_dir)
-    unit = first_id(m)
-    design = panels.design_daily(panels.daily_panel(m, panels.assign(spark, unit, START, WINDOW)))
-    return rounded(trees.fit_trees(design, unit, {"tree": DecisionTreeRegressor(maxDepth=4)})[0], 3)
+    design, ids = _daily_design(spark, sf_dir)
+    return rounded(trees.fit_trees(design, ids, {"tree": DecisionTreeRegressor(maxDepth=4)}, store=shared_dir(spark, "trees"))[0], 3)
 
 
 # Estimators whose fits SQL can repeat: the mean (a tree without a split), one split, a line.
