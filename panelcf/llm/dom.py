@@ -21,7 +21,11 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object audio video canvas select button datalist".split())
+RAW = frozenset("script style textarea title noscript iframe".split())  # their content is no markup
+SILENT = frozenset("template svg math object audio video canvas select button datalist".split())  # elements whose text is dropped
+FOREIGN = frozenset("svg math".split())  # of these and what is in them, "/>" is the end
+HTML_IN_FOREIGN = frozenset("foreignobject desc title annotation-xml".split())
+BREAKOUT = frozenset("blockquote body br center dd div dl dt h1 h2 h3 h4 h5 h6 head hr img li nav ol p pre table ul".split())  # end svg and math
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike "
     "strong sub sup time tt u var ruby rb rt rp output".split()
@@ -66,6 +70,7 @@ def parse(source: str | None) -> list[Node]:
     open_: list[tuple[str, int]] = [("html", 0)]  # inline elements have the number of the block they are in
     parts: list[str] = []
     linked = links = 0
+    silent: list[str] = []  # an element whose text is dropped and the open ones in it
 
     def flush(at: int) -> None:
         nonlocal linked
@@ -99,13 +104,36 @@ def parse(source: str | None) -> list[Node]:
         m = find(source, done)
         if m is None:
             break
-        if m.start() > done:
+        if m.start() > done and not silent:
             part = source[done:m.start()]
             parts.append(part)
             if links:
                 linked += len(part)
         done = m.end()
         shut, tag, attrs = m.group(1), m.group(2) or m.group(4), m.group(3) or m.group(5) or ""
+        if silent and tag:
+            name = tag.lower()
+            foreign = max((k for k, t in enumerate(silent) if t in FOREIGN), default=-1)
+            if foreign >= 0 and name in BREAKOUT and not HTML_IN_FOREIGN.intersection(silent[foreign:]):
+                del silent[foreign:]
+            elif name == "button" and name in silent:
+                del silent[silent.index(name):]
+            elif name in RAW and foreign < 0:
+                end = _RAW_END[name].search(source, done)
+                done = end.end() if end else len(source)
+                continue
+            if silent:
+                if name not in VOID and not ((foreign >= 0 or name in FOREIGN) and attrs.rstrip().endswith("/")):
+                    silent.append(name)
+                continue
+        elif silent and shut:
+            name = shut.lower()
+            if name in silent:
+                del silent[len(silent) - 1 - silent[::-1].index(name):]
+                continue
+            if all(t != name for t, _ in open_):
+                continue
+            silent.clear()  # the end of an element around it
         if tag:
             tag = tag.lower()
             if tag in INLINE:
@@ -114,6 +142,10 @@ def parse(source: str | None) -> list[Node]:
             elif tag == "br" or tag == "img" or tag == "wbr":
                 if tag != "wbr":
                     parts.append(" ")
+            elif tag in SILENT:
+                if tag not in FOREIGN or not attrs.rstrip().endswith("/"):
+                    silent.append(tag)
+                parts.append(" ")
             elif tag in RAW:
                 end = _RAW_END[tag].search(source, done)
                 done = end.end() if end else len(source)
@@ -152,8 +184,9 @@ def parse(source: str | None) -> list[Node]:
                         flush(m.start())
                         close_to(k, m.start())
                         break
-    parts.append(source[done:])
-    if links:
+    if not silent:
+        parts.append(source[done:])
+    if links and not silent:
         linked += len(source) - done
     flush(done)
     return nodes

@@ -81,3 +81,15 @@ def test_awkward_rows(spark, model):
 
 def test_fit_without_pages(spark):
     assert extract.fit_from(spark.createDataFrame([], "page_id long, html string")).base < 5
+
+
+def test_controls_and_drawings_end_where_they_end():
+    def texts(source):
+        return [n.text for n in parse(source) if n.tag == "#text"]
+
+    assert texts("<p>a<svg/><p>b<math /><p>c") == ["a", "b", "c"]
+    assert texts("<div><button>no</div><p>yes<div><select><option>no</div>more") == ["yes", "more"]
+    assert texts("<div>a<button><div>no</div>no</button>b<svg><g/><title>no</title><path d=''/></svg>c</div>d") == ["a b c", "d"]
+    assert texts("<svg><g>no<p>yes") == ["yes"]
+    assert texts("<svg><foreignObject><p>no</p></foreignObject></svg>yes<video>no<source src=x>no</video>too") == ["yes too"]
+    assert texts("<p>a<object>no<object>no</object>no</object>b<script>x</p>") == ["a b"]
