@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcf.llm import bpe, decontaminate, extract, kdshards, linededup, mixing, simhash, spotsigs, toxicity, warc
+from panelcf.llm import bpe, decontaminate, extract, kdshards, linededup, mixing, periods, simhash, spotsigs, toxicity, warc
 from panelcf.llm.common import remainder, table
 from panelcf.registry.book import Entry
 
@@ -104,3 +104,8 @@ def vocabulary() -> bpe.Vocabulary:
 @_query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@_query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.repeats(periods.planted(table(spark, sf_dir, "documents"))))
