@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import os
 import string
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Ship the task-side functions with the job; executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: White space of the plain word rule: blank and the five control characters that bytes.split() also cuts at.
@@ -76,3 +84,15 @@ def match_keys(left: DataFrame, right: DataFrame, names: list[str], how: str) ->
     on = [left[n].eqNullSafe(right[f"{n}_r"]) for n in names]
     out = left.join(right, on, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"{n}_r" for n in names])
+
+
+def text_groups(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of rows that hold about ``limit`` bytes together; a longer text is a group by itself."""
+    first = total = 0
+    for k, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if total and total + n > limit:
+            yield first, k
+            first, total = k, 0
+        total += n
+    if first < len(texts):
+        yield first, len(texts)

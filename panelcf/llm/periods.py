@@ -27,12 +27,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcf.llm.common import SPACE_PATTERN
+from panelcf.llm.common import SPACE_PATTERN, text_groups
 
 # Ship the task-side functions with the job; executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -115,23 +114,11 @@ def _solved(texts: list[bytes], least: int, exponent: int) -> tuple[list, list,
     return sizes.tolist(), runs, collapsed
 
 
-def _groups(column: pa.Array):
-    """(first, end) of rows with about GROUP_BYTES of text."""
-    first = total = 0
-    for k, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
-        if total and total + n > GROUP_BYTES:
-            yield first, k
-            first, total = k, 0
-        total += n
-    if first < len(column):
-        yield first, len(column)
-
-
 def _task(least: int, exponent: int):
     def run(batches):
         for batch in batches:
             text = batch.column(1).cast(pa.large_binary())
-            for a, b in _groups(text):
+            for a, b in text_groups(text, GROUP_BYTES):
                 sizes, runs, collapsed = _solved([t or b"" for t in text[a:b].to_pylist()], least, exponent)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(sizes, pa.int64()), pa.array(runs, _RUNS), pa.array(collapsed, pa.binary()).cast(pa.string())],

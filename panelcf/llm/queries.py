@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcf.llm import bpe, decontaminate, extract, kdshards, linededup, mixing, periods, simhash, spotsigs, toxicity, warc
+from panelcf.llm import bpe, decontaminate, extract, kdshards, linededup, mixing, packing, periods, simhash, spotsigs, toxicity, warc
 from panelcf.llm.common import remainder, table
 from panelcf.registry.book import Entry
 
@@ -106,6 +106,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def piece_vocabulary() -> str:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+@_query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), piece_vocabulary())
+
+
 @_query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.repeats(periods.planted(table(spark, sf_dir, "documents"))))
