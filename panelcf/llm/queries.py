@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcf.llm import bpe, decontaminate, extract, kdshards, linededup, mixing, packing, periods, simhash, spotsigs, toxicity, warc
+from panelcf.llm import bpe, decontaminate, extract, hardneg, kdshards, linededup, mixing, packing, periods, simhash, spotsigs, toxicity, warc
 from panelcf.llm.common import remainder, table
 from panelcf.registry.book import Entry
 
@@ -106,6 +106,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@_query("op11_hard_negatives")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hardneg.usable(table(spark, sf_dir, "embeddings"))
+    shifted = F.when(F.col("id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", shifted), F.col("id") % 100 == 0)
+
+
 def piece_vocabulary() -> str:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         return f.read()
