@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from bisect import insort
@@ -70,9 +71,42 @@ def test_plan_stays_small():
     assert sum(map(len, segments.values())) < 20_000
 
 
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+ENCODER = packing.Encoder(piece_vocabulary())
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
-    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return TOKENIZER
+
+
+ODD = ["", " ", "  ", " a", "a ", "a  b", "a \n b", "a\n\n b c", "a\u00a0b c", "a\u3000 b", "a \u2028b", "a\x1c b", "it's we 'll do n't", "1 23  456 7",
+       "x<|endoftext|> <|endoftext|>y", "漢字 かな", "\t\ta b", "é è\u0301 \U0001f600 \U0001f600", "a\r\n b", "\x00 \x00a"]
+
+
+@settings(max_examples=1000, deadline=None)
+@given(text=st.one_of(st.sampled_from(ODD), st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x1c\x85\u00a0\u2003'sdé1漢-ab"), st.characters(max_codepoint=0x24F)), max_size=30)))
+def test_ids_are_the_tokenizers(text):
+    assert ENCODER(text) == np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_every_character_of_the_plain_pattern():
+    for c in map(chr, range(0x250)):
+        for text in (c, f"a{c}b", f"a {c} 1{c}2", f".{c}.", f"'{c}{c}"):
+            assert ENCODER(text) == np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_every_token_and_other_tokenizers():
+    """Each entry of the vocabulary as a text; a file of another kind is left to the tokenizer."""
+    spec = json.loads(piece_vocabulary())
+    for t in list(spec["model"]["vocab"])[::7]:
+        text = TOKENIZER.decode([spec["model"]["vocab"][t]], skip_special_tokens=False)
+        assert ENCODER(text) == np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        other = f.read()
+    encoder = packing.Encoder(other)
+    assert not encoder.quick
+    assert encoder("Some  words\n here") == np.array(Tokenizer.from_str(other).encode("Some  words\n here", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def check(data, got, tokenizer, size=1024):
