@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcf.functions.columns import HOUSE, PanelCols
+from panelcf.functions.columns import HOUSE, PanelCols, id_list
 from panelcf.operators.effects import att_summary, capitalised, r2, rmse, weights_table, with_periods
 from panelcf.operators.panel import counterfactual_panel, require_fittable
 from panelcf.operators.synth import DAILY, METHODS, MONTHLY, ScmSettings, fit_scm, predict_scm
-from panelcf.operators.trees import fit_trees
+from panelcf.operators.trees import Model, all_specs, daily_models, fit_trees, grow_all
 from panelcf.sources.tables import stored
 
 
@@ -50,14 +49,20 @@ def evaluate(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame | None
     )
 
 
-def evaluate_trees(design: DataFrame, assignments: DataFrame, treated_ids, models: dict[str, Estimator] | None = None,
+def evaluate_trees(design: DataFrame, assignments: DataFrame, treated_ids=None, models: dict[str, Model] | None = None,
                    min_pre: int = 50, seed: int = 0, store: str | None = None) -> DataFrame:
     """Effects and errors of tree counterfactuals, one row per unit and method.
 
     ``treated_id, method, att_pre, att_post, att_post_ex, r2_pre, rmse_pre, rmse_post``: the same
-    table as for the penalised fits, joined with the quality of the fit.
+    table as for the penalised fits, joined with the quality of the fit. Forests and boosting
+    take all units of the design if no ids are given; estimators of the user's own need ids.
     """
-    fit, _ = fit_trees(design, treated_ids, models, min_pre, seed, store=store)
+    models = models or daily_models()
+    if all_specs(models):
+        chosen = design if treated_ids is None else design.filter(F.col("treated_id").isin(id_list(treated_ids)))
+        fit = grow_all(chosen, models, min_pre, seed, store, keep_trees=False).predictions
+    else:
+        fit, _ = fit_trees(design, treated_ids, models, min_pre, seed, store=store)
     dated = with_periods(stored(fit, store and f"{store}/fit"), assignments)
     quality = r2(dated, F.col("start")).join(rmse(dated, F.col("start")), ["treated_id", "method"])
     named = quality.withColumn("method", capitalised("method"))

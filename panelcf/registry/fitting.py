@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -423,67 +423,60 @@ def j6_one(spark, sf_dir):
 # --- trees -------------------------------------------------------------------
 
 
-def _all_stations(m):
-    """Assignments of every station of the panel, and their ids."""
-    units = panels.assign_all(m, START, WINDOW)
-    return units, sorted(r.treated_id for r in units.select("treated_id").collect())
-
-
 def _daily_design(spark, sf_dir):
     m = p_segment(spark, sf_dir)
-    units, ids = _all_stations(m)
-    return panels.design_daily(panels.daily_panel(m, units)), ids
+    return panels.design_daily(panels.daily_panel(m, panels.assign_all(m, START, WINDOW)))
 
 
 @query("m9_fit_forest")
 def m9(spark, sf_dir):
-    design, ids = _daily_design(spark, sf_dir)
-    models = {"rf": trees.daily_models()["rf"]}
-    return rounded(trees.fit_trees(design, ids, models, store=shared_dir(spark, "trees"))[0], 3)
+    grown = trees.grow_all(_daily_design(spark, sf_dir), {"rf": trees.daily_models()["rf"]}, store=shared_dir(spark, "trees"), keep_trees=False)
+    return rounded(grown.predictions, 3)
 
 
 @query("m10_fit_boosted")
 def m10(spark, sf_dir):
-    design, ids = _daily_design(spark, sf_dir)
-    models = {"gbt": trees.daily_models()["gbt"]}
-    return rounded(trees.fit_trees(design, ids, models, store=shared_dir(spark, "trees"))[0], 3)
+    grown = trees.grow_all(_daily_design(spark, sf_dir), {"gbt": trees.daily_models()["gbt"]}, store=shared_dir(spark, "trees"), keep_trees=False)
+    return rounded(grown.predictions, 3)
 
 
-def _monthly_design(spark, sf_dir):
-    m = p_snation(spark, sf_dir)
-    unit = first_id(m)
-    return panels.design_monthly(m, panels.assign(spark, unit, START, WINDOW)), unit
+@query("m10_trees_as_table")
+def m10_table(spark, sf_dir):
+    """The boosted trees of every station as a table, and predictions from that table."""
+    design = _daily_design(spark, sf_dir)
+    grown = trees.grow_all(design, {"gbt": trees.daily_models()["gbt"]}, store=shared_dir(spark, "trees"))
+    return rounded(trees.predict_trees(design, grown.trees), 3)
 
 
-def _monthly_designs(spark, sf_dir):
+def _monthly_design(spark, sf_dir):
     m = p_snation(spark, sf_dir)
-    units, ids = _all_stations(m)
-    return panels.design_monthly(m, units), ids
+    return panels.design_monthly(m, panels.assign_all(m, START, WINDOW))
 
 
 @query("m11_fit_monthly_trees")
 def m11(spark, sf_dir):
-    design, ids = _monthly_designs(spark, sf_dir)
-    return rounded(trees.fit_trees(design, ids, trees.monthly_models(), min_pre=10, store=shared_dir(spark, "trees"))[0], 3)
+    grown = trees.grow_all(_monthly_design(spark, sf_dir), trees.monthly_models(), min_pre=10, store=shared_dir(spark, "trees"), keep_trees=False)
+    return rounded(grown.predictions, 3)
 
 
 @query("m12_time_series_cv")
 def m12(spark, sf_dir):
-    design, ids = _monthly_designs(spark, sf_dir)
-    return rounded(trees.time_series_cv(panels.expanding_splits(design), ids, trees.monthly_models(), store=shared_dir(spark, "cv")), 3)
+    design = panels.expanding_splits(_monthly_design(spark, sf_dir))
+    return rounded(trees.time_series_cv(design, None, trees.monthly_models(), store=shared_dir(spark, "cv")), 3)
 
 
 @query("m13_own_estimator")
 def m13(spark, sf_dir):
-    design, ids = _daily_design(spark, sf_dir)
+    design = _daily_design(spark, sf_dir)
+    ids = [r.treated_id for r in design.select("treated_id").distinct().orderBy("treated_id").collect()]  # the market segments
     return rounded(trees.fit_trees(design, ids, {"tree": DecisionTreeRegressor(maxDepth=4)}, store=shared_dir(spark, "trees"))[0], 3)
 
 
 # Estimators whose fits SQL can repeat: the mean (a tree without a split), one split, a line.
 
 
-def _plain_forest(depth: int) -> RandomForestRegressor:
-    return RandomForestRegressor(numTrees=1, maxDepth=depth, bootstrap=False, maxBins=255, featureSubsetStrategy="all")
+MEAN_TREE = trees.Forest(1, max_depth=0, bootstrap=False)
+ONE_SPLIT = {"rf": trees.Forest(1, max_depth=1, bootstrap=False), "gbt": trees.Boosting(1, 1.0, max_leaves=2, min_leaf=1)}
 
 
 def type_days(spark, sf_dir, one_donor: bool) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -505,46 +498,67 @@ _TYPE_ROWS = with_sql("p_type", more="""
              FROM p_type t JOIN p_type d ON t.date = d.date JOIN donor ON d.station_id = donor.id AND t.station_id <> donor.id)""")
 
 
-@query("m9_m10_one_split", _TYPE_ROWS + """,
+_ONE_SPLIT_SQL = _TYPE_ROWS + """,
     cuts AS (SELECT DISTINCT treated_id, (x + lead(x) OVER (PARTITION BY treated_id ORDER BY x)) / 2 AS c FROM rows WHERE pre),
     sides AS (SELECT r.treated_id, c, avg(y) FILTER (x <= c) AS lo, avg(y) FILTER (x > c) AS hi,
                      coalesce(var_pop(y) FILTER (x <= c), 0) * count(*) FILTER (x <= c)
                        + coalesce(var_pop(y) FILTER (x > c), 0) * count(*) FILTER (x > c) AS loss
               FROM rows r JOIN cuts USING (treated_id) WHERE pre AND c IS NOT NULL GROUP BY 1, 2),
-    best AS (SELECT *, row_number() OVER (PARTITION BY treated_id ORDER BY loss) AS rn FROM sides)
+    best AS (SELECT *, row_number() OVER (PARTITION BY treated_id ORDER BY loss) AS rn FROM sides)"""
+
+
+@query("m9_m10_one_split", _ONE_SPLIT_SQL + """
     SELECT treated_id, method, date, round(y + 3e-7, 4) AS y, round(CASE WHEN x <= c THEN lo ELSE hi END + 3e-7, 4) AS y_hat
     FROM rows JOIN best USING (treated_id), (VALUES ('rf'), ('gbt')) v(method) WHERE rn = 1""")
 def one_split(spark, sf_dir):
     """A forest of one unsampled tree and one boosting round, both with one split on one donor, for every unit."""
-    panel, _, ids = type_days(spark, sf_dir, True)
-    models = {"rf": _plain_forest(1), "gbt": GBTRegressor(maxIter=1, maxDepth=1, maxBins=255, featureSubsetStrategy="all")}
-    return rounded(trees.fit_trees(panel, ids, models, min_pre=10)[0], 4)
+    return rounded(trees.grow_all(type_days(spark, sf_dir, True)[0], ONE_SPLIT, min_pre=10).predictions, 4)
+
+
+@query("m9_m10_one_split_tables", _ONE_SPLIT_SQL + """,
+    mean AS (SELECT treated_id, avg(y) AS m FROM rows WHERE pre GROUP BY 1),
+    d AS (SELECT id FROM donor)
+    SELECT treated_id, method, tree, node, CASE WHEN node = 0 AND inner_node THEN id END AS feature,
+           round(CASE WHEN node = 0 AND inner_node THEN c END + 3e-7, 4) AS cut, round(w * CASE node WHEN 1 THEN lo - shift WHEN 2 THEN hi - shift ELSE m - shift END + 3e-7, 4) AS value
+    FROM (SELECT treated_id, method, tree, unnest(nodes) AS node, len(nodes) > 1 AS inner_node, 1.0 AS w, CASE WHEN tree = 1 THEN m ELSE 0 END AS shift, lo, hi, c, m
+          FROM best JOIN mean USING (treated_id), (VALUES ('rf', 0, [0, 1, 2]), ('gbt', 0, [0]), ('gbt', 1, [0, 1, 2])) v(method, tree, nodes) WHERE rn = 1), d""")
+def one_split_tables(spark, sf_dir):
+    """The same trees as a table; boosting starts with the mean as its tree 0, and its root then has what is left over on average: nothing."""
+    grown = trees.grow_all(type_days(spark, sf_dir, True)[0], ONE_SPLIT, min_pre=10)
+    zero = F.when(F.abs("value") < 1e-6, 0.0).otherwise(F.col("value"))
+    return rounded(grown.trees.select("treated_id", "method", "tree", "node", "feature", "cut", zero.alias("value")), 4)
+
+
+@query("m9_m10_table_predictions", _ONE_SPLIT_SQL + """
+    SELECT treated_id, method, date, round(y + 3e-7, 4) AS y, round(CASE WHEN x <= c THEN lo ELSE hi END + 3e-7, 4) AS y_hat
+    FROM rows JOIN best USING (treated_id), (VALUES ('rf'), ('gbt')) v(method) WHERE rn = 1""")
+def table_predictions(spark, sf_dir):
+    """Predictions from the table of trees equal those of the fit."""
+    design = type_days(spark, sf_dir, True)[0]
+    return rounded(trees.predict_trees(design, trees.grow_all(design, ONE_SPLIT, min_pre=10).trees), 4)
 
 
 @query("m11_monthly_mean_tree", with_sql("p_snation", more=monthly_sql("p_snation")) + """
     SELECT station_id AS treated_id, 'rf' AS method, date, round(value + 3e-6, 3) AS y,
            round(avg(value) FILTER (date < DATE '1999-01-01') OVER (PARTITION BY station_id) + 3e-6, 3) AS y_hat
-    FROM monthly WHERE value IS NOT NULL AND station_id = (SELECT min(station_id) FROM monthly)""")
+    FROM monthly WHERE value IS NOT NULL""")
 def m11_mean(spark, sf_dir):
-    design, unit = _monthly_design(spark, sf_dir)
-    return rounded(trees.fit_trees(design, unit, {"rf": _plain_forest(0)}, min_pre=10)[0], 3)
+    return rounded(trees.grow_all(_monthly_design(spark, sf_dir), {"rf": MEAN_TREE}, min_pre=10).predictions, 3)
 
 
 @query("m12_mean_tree_errors", TYPE_CELLS + """
     , pre AS (SELECT treated_id, date, y, row_number() OVER (PARTITION BY treated_id ORDER BY date) - 1 AS pos,
                      count(*) OVER (PARTITION BY treated_id) AS n
               FROM (SELECT DISTINCT treated_id, date, y FROM cells WHERE is_pre)),
-    tested AS (SELECT *, CAST(CASE WHEN pos >= n - 5 * (n // 6) THEN (pos - (n - 5 * (n // 6))) // (n // 6) END AS INTEGER) AS split FROM pre
-               WHERE treated_id = (SELECT min(treated_id) FROM pre)),
+    tested AS (SELECT *, CAST(CASE WHEN pos >= n - 5 * (n // 6) THEN (pos - (n - 5 * (n // 6))) // (n // 6) END AS INTEGER) AS split FROM pre),
     means AS (SELECT s.treated_id, s.split, avg(p.y) AS y_hat FROM (SELECT DISTINCT treated_id, split FROM tested WHERE split IS NOT NULL) s
               JOIN tested p ON p.treated_id = s.treated_id AND coalesce(p.split, -1) < s.split GROUP BY 1, 2),
     errors AS (SELECT treated_id, split, sqrt(avg((y - y_hat) ** 2)) AS rmse FROM tested JOIN means USING (treated_id, split) GROUP BY 1, 2)
     SELECT treated_id, method, split, round(rmse + 3e-9, 6) AS rmse, round(avg(rmse) OVER (PARTITION BY treated_id) + 3e-9, 6) AS mean_rmse
-    FROM errors, (VALUES ('rf'), ('tree')) v(method)""")
+    FROM errors, (VALUES ('rf'), ('gb')) v(method)""")
 def m12_mean(spark, sf_dir):
-    panel, _, ids = type_days(spark, sf_dir, False)
-    models = {"rf": _plain_forest(0), "tree": DecisionTreeRegressor(maxDepth=0)}
-    return rounded(trees.time_series_cv(panels.expanding_splits(panel), ids[0], models))
+    models = {"rf": MEAN_TREE, "gb": trees.Boosting(0)}
+    return rounded(trees.time_series_cv(panels.expanding_splits(type_days(spark, sf_dir, False)[0]), None, models))
 
 
 @query("m13_own_estimator_line", _TYPE_ROWS + """,
@@ -569,8 +583,7 @@ def m13_line(spark, sf_dir):
 def tree_effects(spark, sf_dir):
     """Fit, predict, effects and errors of tree models, for all event types and donors."""
     panel, units, ids = type_days(spark, sf_dir, False)
-    models = {"forest": _plain_forest(0), "tree": DecisionTreeRegressor(maxDepth=0)}
-    done = evaluate_trees(panel, units, ids, models, min_pre=10)
+    done = evaluate_trees(panel, units, ids, {"forest": MEAN_TREE, "tree": trees.Boosting(0)}, min_pre=10)
     zero = {c: F.abs(F.round(c, 4)) for c in ("att_pre", "r2_pre")}
     return done.withColumns(zero | {c: F.round(F.col(c) + 3e-7, 4) for c in ("att_post", "att_post_ex", "rmse_pre", "rmse_post")})
 

@@ -117,3 +117,16 @@ def test_prediction_aligns_by_id(spark):
     weights = [("T", "full", "C", 3.0), ("T", "full", "A", 1.0), ("T", "full", "B", 2.0), ("T", "some", "B", 2.0), ("T", "some", "X", 9.0)]
     fit = synth.predict_scm(panel, spark.createDataFrame(weights, "treated_id string, method string, station_id string, weight double"))
     assert {r.method: r.y_hat for r in fit.collect()} == {"full": 17.0, "some": 4.0}
+
+
+def test_shared_dir_without_the_setting(spark):
+    from panelcf.session import shared_dir
+
+    class Bare:  # a session of one process without the setting
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    first, second = shared_dir(Bare, "a"), shared_dir(Bare, "a")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
