@@ -165,12 +165,12 @@ def limiting_donors(m: DataFrame, grain: str = "month", cols: PanelCols = HOUSE)
     )
 
 
-def with_folds(panel: DataFrame, k: int = 5) -> DataFrame:
+def with_folds(panel: DataFrame, k: int = 5, key: str = "treated_id") -> DataFrame:
     """Contiguous validation folds over the dates before the start; null afterwards.
 
     The first ``n mod k`` folds hold one extra date.
     """
-    unit = Window.partitionBy("treated_id")
+    unit = Window.partitionBy(key)
     n = F.count_if("is_pre").over(unit)
     at = F.row_number().over(unit.orderBy("date")) - 1
     small = F.floor(n / k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelcf.functions.columns import HOUSE, PanelCols, id_list
 from panelcf.operators.effects import att_summary, capitalised, r2, rmse, weights_table, with_periods
 from panelcf.operators.panel import counterfactual_panel, require_fittable
+from panelcf.operators.pool import fit_pool, pool_panel, predict_pool, require_fittable_pool
 from panelcf.operators.synth import DAILY, METHODS, MONTHLY, ScmSettings, fit_scm, predict_scm
 from panelcf.operators.trees import Model, all_specs, daily_models, fit_trees, grow_all
 from panelcf.sources.tables import stored
@@ -29,18 +30,27 @@ def evaluate(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame | None
              cols: PanelCols = HOUSE, check: bool = True, store: str | None = None) -> Evaluation:
     """Panel, weights, counterfactual and effects of every assignment.
 
-    ``treated_id`` is part of every key, so adding units adds rows, not jobs.
+    ``treated_id`` is part of every key, so adding units adds rows, not jobs. Without donor sets the units of a start
+    share one matrix of moments (see ``operators.pool``), and the panel is only made if it is used.
     ``check`` looks for units that cannot be fitted first. ``store`` names a
     shared folder where panel, moments and weights are written and read back, so
     that they are computed once and survive lost executors.
     """
     cfg = cfg or (MONTHLY if grain == "month" else DAILY)
     below = (lambda name: f"{store}/{name}") if store else (lambda name: None)
-    panel = stored(counterfactual_panel(m, assignments, donor_sets, grain, cols), below("panel"))
-    if check:
-        require_fittable(panel, assignments, cfg.min_pre)
-    weights = stored(fit_scm(panel, methods, cfg, store), below("weights"))
-    fit = predict_scm(panel, weights)
+    panel = counterfactual_panel(m, assignments, donor_sets, grain, cols)
+    if donor_sets is None:  # every unit is a donor of the others: they share their dates and moments
+        pool = stored(pool_panel(m, assignments, grain, cols), below("pool"))
+        if check:
+            require_fittable_pool(pool, assignments, cfg.min_pre)
+        weights = stored(fit_pool(pool, assignments, methods, cfg, store), below("weights"))
+        fit = predict_pool(pool, weights, assignments)
+    else:
+        panel = stored(panel, below("panel"))
+        if check:
+            require_fittable(panel, assignments, cfg.min_pre)
+        weights = stored(fit_scm(panel, methods, cfg, store), below("weights"))
+        fit = predict_scm(panel, weights)
     named = m.withColumnRenamed(cols.id, "station_id")
     return Evaluation(
         panel, weights, fit,

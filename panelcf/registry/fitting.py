@@ -6,7 +6,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcf.operators import effects, panel as panels, synth, trees
+from panelcf.operators import effects, panel as panels, pool as pools, synth, trees
 from panelcf.operators.impute import interpolate_time
 from panelcf.plans.evaluate import evaluate, evaluate_trees
 from panelcf.registry.book import query, rounded
@@ -281,8 +281,9 @@ def m6(spark, sf_dir):
 
 def _rows_only(method: str):
     def run(spark, sf_dir):
-        panel, _ = snation_months(spark, sf_dir)
-        return rounded(synth.fit_scm(panel, [method], synth.MONTHLY, shared_dir(spark, "fit")), 5)
+        _, units = snation_months(spark, sf_dir)
+        pool = pools.pool_panel(p_snation(spark, sf_dir), units)
+        return rounded(pools.fit_pool(pool, units, [method], synth.MONTHLY, shared_dir(spark, "fit")), 5)
     return run
 
 
@@ -299,8 +300,8 @@ def optimality(spark, sf_dir):
     With e the residual, x a donor and w its weight: x'e - ridge part of the penalty is 0, or within the
     absolute-value part where w is 0; relative to |x| |y|.
     """
-    panel, _ = snation_months(spark, sf_dir)
-    weights = synth.fit_scm(panel, synth.METHODS, synth.MONTHLY)
+    panel, units = snation_months(spark, sf_dir)
+    weights = pools.fit_pool(pools.pool_panel(p_snation(spark, sf_dir), units), units, synth.METHODS, synth.MONTHLY, shared_dir(spark, "fit"))
     fit = synth.predict_scm(panel, weights).select("treated_id", "method", "date", "y_hat")
     cells = panels.long_panel(panel).filter("is_pre").join(fit, ["treated_id", "date"])
     x, y = F.col("x"), F.col("y")
