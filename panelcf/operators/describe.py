@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelcf.functions.calendar import is_weekend, month_start
 from panelcf.functions.columns import HOUSE, PanelCols, id_list
 from panelcf.functions.periods import is_post, is_post_ex, is_pre
+from panelcf.operators.pairs import correlation, pair_sums
 from panelcf.operators.quality import complete_calendar, unique_days
 from panelcf.operators.quantiles import exact_quantiles
 
@@ -187,17 +188,11 @@ def delta_ranking(contrast: DataFrame, treated_id, cols: PanelCols = HOUSE) -> D
     )
 
 
-def pre_correlations(m: DataFrame, treated_ids, start, cols: PanelCols = HOUSE,
-                     on_duplicates: str = "error") -> DataFrame:
-    """Correlation of every other station with each treated one before the start.
+#: Up to so many treated stations, rows per pair and day are no more than a few times the panel.
+FEW_TREATED = 4
 
-    Pairwise complete days; pairs without a defined correlation are left out. A treated
-    station that the panel does not have is an error. Whether the treated series are
-    broadcast follows from their measured size.
-    """
-    ids = id_list(treated_ids)
-    there = _all_there(m, ids, cols)
-    pre = unique_days(m.select(*cols.names).filter(is_pre(F.col(cols.date), start) & there), cols, on_duplicates)
+
+def _joined_correlations(pre: DataFrame, ids: list, cols: PanelCols) -> DataFrame:
     treated = pre.filter(F.col(cols.id).isin(ids)).select(
         F.col(cols.id).alias("treated_id"), cols.date, F.col(cols.value).alias("_y")
     )
@@ -213,3 +208,23 @@ def pre_correlations(m: DataFrame, treated_ids, start, cols: PanelCols = HOUSE,
         .agg(F.try_divide(F.covar_pop(x, y), spread).alias("corr"), F.count_if(both).alias("n_days"))
         .filter(F.col("corr").isNotNull())
     )
+
+
+def pre_correlations(m: DataFrame, treated_ids, start, cols: PanelCols = HOUSE,
+                     on_duplicates: str = "error") -> DataFrame:
+    """Correlation of every other station with each treated one before the start.
+
+    Pairwise complete days; pairs without a defined correlation are left out. A treated
+    station that the panel does not have is an error. For more than a few treated stations, sums are taken by blocks
+    of stations and days (``operators.pairs``), so no row is made per pair and day.
+    """
+    ids = id_list(treated_ids)
+    there = _all_there(m, ids, cols)
+    pre = unique_days(m.select(*cols.names).filter(is_pre(F.col(cols.date), start) & there), cols, on_duplicates)
+    if len(ids) <= FEW_TREATED:
+        return _joined_correlations(pre, ids, cols)
+    cells = pre.select(F.col(cols.id).alias("id"), F.col(cols.date).alias("date"), F.col(cols.value).cast("double").alias("value"))
+    sums = pair_sums(cells, F.col("id").isin([str(i) for i in ids]))
+    return sums.select(
+        F.col("left_id").alias("treated_id"), F.col("right_id").alias(cols.id), correlation().alias("corr"), F.col("n").alias("n_days"),
+    ).filter(F.col("corr").isNotNull())
