@@ -24,7 +24,8 @@ from panelcf.llm.common import keyed, match_keys, stored
 #: Words of a passage that may go: shorter agreement of texts is chance or style.
 MIN_WORDS = 50
 
-_PIECES = r"(?<=\n|[.!?] )(?=[ \t\r]*\S)"
+# the first look-behind is implied by the second; it turns most places down at once
+_PIECES = r"(?<=[\n ])(?<=\n|[.!?] )(?=[ \t\r]*\S)"
 _BLANKS = " \t\r\n"
 
 
@@ -50,8 +51,10 @@ def window_places(docs: DataFrame) -> DataFrame:
     cut = rows.where(F.length("text") >= 2 * MIN_WORDS - 1).select(*names, _with_hashes(marked).alias("m"))
     # the piece of each word, and the places of the words that begin a piece
     of_word = F.flatten(F.transform("m", lambda p, i: F.array_repeat(i, p["b"])))
-    worded = cut.select(*names, F.transform("m", lambda p: p["h"]).alias("h"), of_word.alias("w")).where(F.size("w") >= MIN_WORDS)
-    begins = F.filter(F.sequence(F.lit(0), F.size("w") - MIN_WORDS), lambda j: (j == 0) | (F.get("w", j) != F.get("w", j - 1)))
+    worded = cut.select(*names, F.transform("m", lambda p: p["h"]).alias("h"), of_word.alias("w"))
+    # short texts have no windows; a filter on their words would have every text cut twice
+    starts = F.when(F.size("w") >= MIN_WORDS, F.sequence(F.lit(0), F.size("w") - MIN_WORDS)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(starts, lambda j: (j == 0) | (F.get("w", j) != F.get("w", j - 1)))
     windows = F.transform(begins, lambda j: F.struct(F.get("w", j).alias("start"), F.get("w", j + (MIN_WORDS - 1)).alias("last")))
     listed = worded.select(*names, "h", windows.alias("at"))
     # made within the row, so that no row is copied with all its pieces
@@ -67,9 +70,9 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     places = stored(window_places(docs), "windows")
     where = F.struct(*names, "start")
     shared = places.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(where).alias("least")).where("n > 1").drop("n")
-    again = places.join(shared, ["hash", "size"]).distinct()
+    again = places.join(shared, ["hash", "size"])  # nothing else in this stage, so that a hot hash can be split
     here = F.struct(*names).eqNullSafe(F.struct(*[F.col("least")[n].alias(n) for n in names]))
-    lists = again.groupBy(*names).agg(F.sort_array(F.collect_list(  # of one document, as long as its text
+    lists = again.groupBy(*names).agg(F.sort_array(F.collect_set(  # of one document, as long as its text
         F.struct("start", "size", "hash", (here & (F.col("start") < F.col("least.start") + F.col("size"))).alias("first")))).alias("__llm_found"))
     return stored(match_keys(rows, lists, names, "left"), "texts-with-windows"), names
 

@@ -1,63 +1,11 @@
 import random
-import re
-import struct
 
-import xxhash
 from helpers import SCHEMA, documents, key, prose, rows
+from test_linededup_passages import brute
 
 from panelcf.llm import linededup
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
-def chunks(text):
-    """The chunk rule once more, piece by piece: lists of pieces."""
-    pieces = []
-    for line in re.split(r"(?<=\n)", text):
-        folded = re.split(r"(?<=[.!?] )", line) if len(line) >= 120 else [line]
-        pieces += [((1 if k == 0 else 2) if len(line) >= 120 else 0, p) for k, p in enumerate(folded) if p]
-    h = [xxhash.xxh64_intdigest(p.rstrip(" ").encode(), 42) for _, p in pieces]
-    r = []
-    for i, (b, _) in enumerate(pieces):
-        before = 0 if i == 0 or b == 1 else signed(h[i - 1])
-        r.append(signed(xxhash.xxh64_intdigest(struct.pack("<q", signed(h[i])), xxhash.xxh64_intdigest(struct.pack("<q", before), 42))))
-    out = []
-    for i, (b, p) in enumerate(pieces):
-        prev = pieces[i - 1][0] if i else None
-        least = 2 <= i and r[i - 1] < r[i - 2] and r[i - 1] < r[i]
-        alone = b == 2 and (prev == 1 or i + 1 == len(pieces) or pieces[i + 1][0] != 2)
-        if i == 0 or b == 1 or b == 0 and prev > 0 or least and not alone:
-            out.append([])
-        out[-1].append(p)
-    return out
-
-
-def brute(data):
-    seen, places = {}, {}
-    for d, text in sorted(set(data), key=lambda x: (x[0] is not None, x[0] or 0)):
-        for k, c in enumerate(chunks(text or "")):
-            places.setdefault(tuple(p.rstrip(" ") for p in c), []).append((d, text, k))
-    for same, at in places.items():
-        for place in at[1:]:
-            seen[place] = same
-    out = []
-    for d, text in data:
-        parts = chunks(text or "")
-        gone = [(d, text, k) in seen and sum(map(len, c)) >= (60 if len(c) > 1 else 99) for k, c in enumerate(parts)]
-        k = 0
-        while k < len(parts):
-            e = k
-            while e < len(parts) and gone[e]:
-                e += 1
-            if e > k and sum(len(p.split()) for c in parts[k:e] for p in c) < 25:
-                gone[k:e] = [False] * (e - k)
-            k = max(e, k + 1)
-        out.append((d, None if text is None else "".join(p for c, g in zip(parts, gone) if not g for p in c)))
-    return sorted(out, key=key)
-
-
 def case():
     rng = random.Random(6)
     passage = [prose(rng, 100) for _ in range(3)] + ["\n".join(prose(rng, 6) for _ in range(20))]
