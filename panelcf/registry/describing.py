@@ -292,6 +292,13 @@ def a14(spark, sf_dir):
     return rounded(describe.pre_correlations(m, first_id(m), START))
 
 
+@query("a14_pre_correlations_all", _corr_sql("p_snation", _PRE, ""))
+def a14_all(spark, sf_dir):
+    m = p_snation(spark, sf_dir)
+    ids = [r.station_id for r in m.select("station_id").distinct().collect()]  # nations
+    return rounded(describe.pre_correlations(m, ids, START))
+
+
 @query("a14_pre_correlations_events", _corr_sql("p_type", "date < DATE '2024-01-16'", ""))
 def a14_events(spark, sf_dir):
     m = p_type(spark, sf_dir)
