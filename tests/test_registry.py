@@ -11,7 +11,7 @@ SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="sample tables not present")
 
 # No date on which all daily series are present at the smallest scale.
-NEEDS_MORE_DATA = {"m4_cv_choice", "m9_fit_forest", "m10_fit_boosted", "m13_own_estimator"}
+NEEDS_MORE_DATA = {"m4_cv_choice", "m9_fit_forest", "m10_fit_boosted", "m10_trees_as_table", "m13_own_estimator"}
 
 
 @pytest.fixture(scope="module")

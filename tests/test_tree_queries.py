@@ -36,3 +36,9 @@ def test_whole_presets_of_all_stations(spark, monkeypatch, name):
 def test_own_estimator_of_all_stations(spark):
     out = ENTRIES["m13_own_estimator"].run(spark, SF).collect()
     assert {r.treated_id for r in out} == {r.station_id for r in fitting.p_segment(spark, SF).select("station_id").distinct().collect()}
+
+
+def test_table_of_trees_predicts_like_the_fit(spark):
+    fit, table = ({(r.treated_id, r.method, r.date): (r.y, r.y_hat) for r in ENTRIES[n].run(spark, SF).collect()} for n in ("m10_fit_boosted", "m10_trees_as_table"))
+    assert fit.keys() == table.keys() and len(fit) > 1000
+    assert all(abs(a - b) < 2e-3 for k in fit for a, b in zip(fit[k], table[k]))
