@@ -70,7 +70,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     places = stored(window_places(docs), "windows")
     where = F.struct(*names, "start")
     shared = places.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(where).alias("least")).where("n > 1").drop("n")
-    again = places.join(shared, ["hash", "size"])  # nothing else in this stage, so that a hot hash can be split
+    again = places.join(shared, ["hash", "size"])  # a very common window is still one task here, as its count is in the same stage
     here = F.struct(*names).eqNullSafe(F.struct(*[F.col("least")[n].alias(n) for n in names]))
     lists = again.groupBy(*names).agg(F.sort_array(F.collect_set(  # of one document, as long as its text
         F.struct("start", "size", "hash", (here & (F.col("start") < F.col("least.start") + F.col("size"))).alias("first")))).alias("__llm_found"))
