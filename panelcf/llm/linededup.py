@@ -1,14 +1,17 @@
-"""Repeated passages: windows of whole lines and sentences, in DataFrame functions only.
+"""Repeated passages: content-defined chunks of whole lines and sentences, in DataFrame functions only.
 
 Pieces. A text is cut behind line breaks and behind sentences, wherever a line is wrapped; blank lines belong to the piece before
-them. Pieces keep their separators and together are the text, but are compared without blanks and line breaks at their ends.
-Windows. At each piece begins one window: the fewest pieces that have MIN_WORDS words. It depends on its own pieces alone, so texts that
-agree in a run of pieces with MIN_WORDS words agree in all windows of that run, whatever stands around it.
-Removal. A window that occurs more than once loses all occurrences but the first (least doc_id, then place); windows overlap, so the
-whole of the longest equal run goes up to its edges. An occurrence that overlaps the first one in the same text stays. Hashes find
-the occurrences; those with one hash are compared by SHA-256 digests of their pieces.
-
-Per window only a hash and its place are shuffled; texts move once, to meet their document's repeated windows.
+them. Pieces keep their separators and together are the text, but are hashed and compared without blanks and line breaks at their ends.
+Chunks. The rolling hash has a window of one piece, so whether a piece is a boundary depends on itself alone: pieces of BOUND_CHARS
+characters are, of shorter ones those with three more bits zero (one in eight). The lowest bit puts a boundary in one of two classes, and each class cuts the text by
+itself: a chunk runs from one boundary to the next of its class, both included. Among three boundaries two are in one class, so every run that
+two texts share and that has three holds a whole chunk, whatever surrounds it; of a longer run hardly more than a piece at either end can lie
+outside of all chunks. A piece of LONG_CHARS characters is a chunk of its own as well.
+Removal. A chunk that occurs more than once, byte for byte, loses all occurrences but the first (least doc_id, then place). An occurrence that
+overlaps the first one in the same text stays. Chunks that overlap or touch go as one stretch, if it has MIN_CHARS characters.
+
+Hashes are counted by partial sums; those of more than one 4,096th of all chunks (so fewer than 4,096) meet their places by broadcast,
+the others in a join. Texts move once; bytes are compared by the least and the greatest text of each repeated hash.
 
 Defined results: null stays null and empty stays empty; rows with equal doc_id and text are one document and change alike;
 a null doc_id counts before all others; blank lines have no content of their own.
@@ -19,14 +22,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcf.llm.common import keyed, match_keys, stored
+from panelcf.llm.common import stored
 
-#: Words of a passage that may go: shorter agreement of texts is chance or style.
-MIN_WORDS = 50
+#: Characters of a stretch that may go: shorter agreement (a few sentences of a word or two) is chance or style.
+MIN_CHARS = 64
+#: Characters from which a piece is always a boundary.
+BOUND_CHARS = 16
+#: Characters from which a single line or sentence is a chunk of its own (some 25 words).
+LONG_CHARS = 150
+#: A hash with more than this part of all chunks meets its places by broadcast.
+HOT_PARTS = 4096
 
 # the first look-behind is implied by the second; it turns most places down at once
 _PIECES = r"(?<=[\n ])(?<=\n|[.!?] )(?=[ \t\r]*\S)"
 _BLANKS = " \t\r\n"
+_KEYS = ["__llm_id", "__llm_text"]
+_LEAST_ID = -(2**63)
 
 
 def _bare(piece: Column) -> Column:
@@ -38,90 +49,96 @@ def _pieces(text: Column) -> Column:
     return F.split(text, _PIECES)
 
 
-def _with_hashes(pieces: Column) -> Column:
-    """Per piece: its number of words (b) and its hash (h)."""
-    return F.transform(F.transform(pieces, lambda p: F.struct(p["b"].alias("b"), _bare(p["s"]).alias("s"))), lambda p: F.struct(
-        F.when(p["s"] == "", 0).otherwise(F.size(F.split(p["s"], r"\s+"))).alias("b"), F.xxhash64(p["s"]).alias("h")))
-
-
-def window_places(docs: DataFrame) -> DataFrame:
-    """Per window: key columns, start, size (pieces), hash; of texts that have one."""
-    rows, names = keyed(docs)
-    marked = F.transform(_pieces(F.col("text")), lambda s: F.struct(F.lit(0).alias("b"), s.alias("s")))
-    cut = rows.where(F.length("text") >= 2 * MIN_WORDS - 1).select(*names, _with_hashes(marked).alias("m"))
-    # the piece of each word, and the places of the words that begin a piece
-    of_word = F.flatten(F.transform("m", lambda p, i: F.array_repeat(i, p["b"])))
-    worded = cut.select(*names, F.transform("m", lambda p: p["h"]).alias("h"), of_word.alias("w"))
-    # short texts have no windows; a filter on their words would have every text cut twice
-    starts = F.when(F.size("w") >= MIN_WORDS, F.sequence(F.lit(0), F.size("w") - MIN_WORDS)).otherwise(F.array().cast("array<int>"))
-    begins = F.filter(starts, lambda j: (j == 0) | (F.get("w", j) != F.get("w", j - 1)))
-    windows = F.transform(begins, lambda j: F.struct(F.get("w", j).alias("start"), F.get("w", j + (MIN_WORDS - 1)).alias("last")))
-    listed = worded.select(*names, "h", windows.alias("at"))
-    # made within the row, so that no row is copied with all its pieces
-    hashed = F.transform("at", lambda c: F.struct(c["start"].alias("start"), (c["last"] - c["start"] + 1).alias("size"), F.xxhash64(
-        F.slice("h", c["start"] + 1, c["last"] - c["start"]), F.get("h", c["last"])).alias("hash")))
-    return listed.select(*names, F.explode(hashed).alias("c")).select(*names, "c.start", "c.size", "c.hash")
-
-
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows of documents with ``__llm_found``: their repeated windows as (start, size, hash, first), first telling the kept occurrence
-    and those that overlap it. Stored."""
-    rows, names = keyed(docs)
-    places = stored(window_places(docs), "windows")
-    where = F.struct(*names, "start")
-    shared = places.groupBy("hash", "size").agg(F.count("*").alias("n"), F.min(where).alias("least")).where("n > 1").drop("n")
-    again = places.join(shared, ["hash", "size"])  # a very common window is still one task here, as its count is in the same stage
-    here = F.struct(*names).eqNullSafe(F.struct(*[F.col("least")[n].alias(n) for n in names]))
-    lists = again.groupBy(*names).agg(F.sort_array(F.collect_set(  # of one document, as long as its text
-        F.struct("start", "size", "hash", (here & (F.col("start") < F.col("least.start") + F.col("size"))).alias("first")))).alias("__llm_found"))
-    return stored(match_keys(rows, lists, names, "left"), "texts-with-windows"), names
+def _hash(bare: Column) -> Column:
+    return F.xxhash64(bare)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with their key, the id and a hash of the text, which is never null."""
+    return docs.withColumns({_KEYS[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)), _KEYS[1]: F.xxhash64("text")})
+
+
+def _of_class(at: Column) -> Column:
+    """Pairs of neighbours among the places of one class."""
+    return F.filter(F.transform(at, lambda b, k: F.struct(F.get(at, k - 1).alias("a"), b.alias("b"))), lambda s: s["a"].isNotNull())
+
+
+def chunk_places(docs: DataFrame) -> DataFrame:
+    """Per chunk: key columns, start, size (pieces), hash."""
+    pieces = F.transform(F.transform(_pieces(F.col("text")), _bare), lambda p: F.struct(_hash(p).alias("h"), F.length(p).alias("n")))
+    cut = _keyed(docs).where(F.length("text") >= MIN_CHARS).select(*_KEYS, pieces.alias("p"))
+    bound = lambda p: (p["n"] >= BOUND_CHARS) | (F.shiftright(p["h"], 1).bitwiseAND(F.lit(7)) == 0)
+    # places of boundaries: 0, 1, 2, … of the one class, -1, -2, -3, … of the other
+    at = F.transform("p", lambda p, i: F.when(bound(p), F.when(p["h"].bitwiseAND(F.lit(1)) == 0, i).otherwise(-1 - i)))
+    long = F.filter(F.transform("p", lambda p, i: F.when(p["n"] >= LONG_CHARS, i)), lambda i: i.isNotNull())
+    marked = cut.select(*_KEYS, F.transform("p", lambda p: p["h"]).alias("h"), at.alias("at"), long.alias("long"))
+    classed = marked.select(*_KEYS, "h", "long", F.filter("at", lambda i: i >= 0).alias("even"),
+                            F.transform(F.filter("at", lambda i: i < 0), lambda i: -1 - i).alias("odd"))
+    single = F.transform("long", lambda i: F.struct(i.alias("a"), i.alias("b")))
+    spans = classed.select(*_KEYS, "h", F.concat(_of_class(F.col("even")), _of_class(F.col("odd")), single).alias("s"))
+    # hashed within the row, so that no row is copied with all its pieces
+    chunks = F.transform("s", lambda s: F.struct(s["a"].alias("start"), (s["b"] - s["a"] + 1).alias("size"), F.xxhash64(
+        F.slice("h", s["a"] + 1, s["b"] - s["a"] + 1)).alias("hash")))
+    return spans.select(*_KEYS, F.explode(chunks).alias("c")).select(*_KEYS, "c.start", "c.size", "c.hash")
+
+
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """Per document that has any: key columns and ``__llm_found``, its repeated chunks as (start, size, hash, first), first telling the
+    kept occurrence and those that overlap it. Stored."""
+    places = stored(chunk_places(docs), "chunks")
+    counted = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS, "start")).alias("least")).where("n > 1")
+    shared = stored(counted, "repeated")
+    often = F.col("n") > places.count() / HOT_PARTS
+    hot, rest = F.broadcast(shared.where(often)), shared.where(~often)  # fewer than HOT_PARTS rows
+    again = places.join(hot, "hash").unionByName(places.join(hot, "hash", "left_anti").join(rest, "hash"))
+    here = F.struct(*_KEYS) == F.struct(*[F.col("least")[k].alias(k) for k in _KEYS])
+    entry = F.struct("start", "size", "hash", (here & (F.col("start") < F.col("least.start") + F.col("size"))).alias("first"))
+    # of one document, as long as its text
+    return stored(again.groupBy(*_KEYS).agg(F.sort_array(F.collect_set(entry)).alias("__llm_found")), "found")
+
+
+def _unlike(cut: DataFrame) -> DataFrame:
+    """Per document that has any: the hashes in it that stand for different bytes somewhere. There is hardly ever one."""
+    same_bytes = F.transform("__llm_found", lambda c: F.struct(c["hash"].alias("hash"), F.array_join(
+        F.transform(F.slice("__llm_pieces", c["start"] + 1, c["size"]), _bare), "\n").alias("t")))
+    seen = cut.select(F.explode(same_bytes).alias("c")).select("c.*")
+    return seen.groupBy("hash").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("hash")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """Documents without repeated passages; ``text`` changes and, where there is one, ``n_chars``; all rows stay."""
-    met, names = repeated_windows(docs)
-    digests = F.transform(_pieces(F.col("text")), lambda p: F.sha2(_bare(p), 256))
-    cut = met.where("__llm_found IS NOT NULL").select(*names, digests.alias("d"), "__llm_found")
-    digest = lambda f: F.sha2(F.concat(F.array_join(F.slice("d", f["start"] + 1, f["size"] - 1), ""), F.get("d", f["start"] + f["size"] - 1)), 256)
-    seen = cut.select(F.explode(F.transform("__llm_found", lambda f: F.struct(
-        f["hash"].alias("hash"), f["size"].alias("size"), digest(f).alias("t")))).alias("f")).select("f.hash", "f.size", "f.t")
-    halves = {f"t{k}": F.conv(F.substring("t", 1 + 15 * k, 15), 16, 10).cast("long") for k in range(4)}  # numbers are added up without sorting
-    ends = [f(c).alias(f"{name}{c}") for c in halves for f, name in ((F.min, "lo"), (F.max, "hi"))]
-    unlike = " OR ".join(f"lo{c} != hi{c}" for c in halves)
-    unequal = seen.withColumns(halves).groupBy("hash", "size").agg(*ends).where(unlike).select("hash", "size")
-    # windows whose hash stands for different pieces are left alone; there is hardly ever one
-    bad = stored(unequal, "unequal")
-    if not bad.isEmpty():
-        spoiled = cut.select(*names, F.explode("__llm_found").alias("f")).select(*names, F.col("f.hash").alias("hash"), F.col("f.size").alias("size")).join(
-            bad, ["hash", "size"]).groupBy(*names).agg(F.collect_set("hash").alias("__llm_unequal"))
-        met = match_keys(met, spoiled, names, "left")
-    else:
-        met = met.withColumn("__llm_unequal", F.lit(None).cast("array<long>"))
-
-    pieces = _pieces(F.col("text"))
-    gone = F.filter("__llm_found", lambda c: ~c["first"] & ~F.coalesce(F.array_contains("__llm_unequal", c["hash"]), F.lit(False)))
-    marked = met.withColumn("__llm_windows", gone).withColumn("__llm_pieces", F.when(F.size("__llm_windows") > 0, pieces))
-    # stretches of windows that overlap or touch: their first and their last windows, one to one
-    end = lambda c: c["start"] + c["size"]
-    opens = F.filter("__llm_windows", lambda c, i: (i == 0) | (end(F.get("__llm_windows", i - 1)) < c["start"]))
-    closes = F.filter("__llm_windows", lambda c, i: (i == F.size("__llm_windows") - 1) | (F.get("__llm_windows", i + 1)["start"] > end(c)))
-    stretches = F.zip_with(opens, closes, lambda o, c: F.struct(o["start"].alias("start"), end(c).alias("end")))
-    cut_off = marked.withColumn("__llm_gone", stretches)
-    # what lies between the removed stretches
+    """Documents without repeated chunks; ``text`` changes and, where there is one, ``n_chars``; all rows stay."""
+    found = repeated_chunks(docs)
+    # one row per document: the exchange of the texts serves the comparison and the removal
+    texts = _keyed(docs).select(*_KEYS, "text").dropDuplicates(_KEYS)
+    cut = texts.join(found, _KEYS, "left").withColumn("__llm_pieces", F.when(F.col("__llm_found").isNotNull(), _pieces(F.col("text"))))
+    listed = found.select(*_KEYS, F.explode("__llm_found.hash").alias("hash"))
+    spoiled = listed.join(_unlike(cut), "hash").groupBy(*_KEYS).agg(F.collect_set("hash").alias("__llm_unlike"))
+
+    goes = lambda c: ~c["first"] & ~F.coalesce(F.array_contains("__llm_unlike", c["hash"]), F.lit(False))
+    gone = F.flatten(F.transform(F.filter("__llm_found", goes), lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1)))
+    marked = cut.join(spoiled, _KEYS, "left").withColumn("__llm_gone", F.array_sort(F.array_distinct(gone)))
+    # stretches of pieces that go: their first and their last pieces, one to one
+    opens = F.filter("__llm_gone", lambda i, k: ~F.get("__llm_gone", k - 1).eqNullSafe(i - 1))
+    closes = F.filter("__llm_gone", lambda i, k: ~F.get("__llm_gone", k + 1).eqNullSafe(i + 1))
+    stretches = F.zip_with(opens, closes, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
+    enough = F.filter(stretches, lambda s: F.length(_bare(F.array_join(
+        F.slice("__llm_pieces", s["start"] + 1, s["end"] - s["start"]), ""))) >= MIN_CHARS)
+    ranges = marked.withColumn("__llm_out", enough)
+    # what lies between them
     kept = F.concat(
-        F.array(F.slice("__llm_pieces", F.lit(1), F.get("__llm_gone", F.lit(0))["start"])),
-        F.transform("__llm_gone", lambda r, i: F.slice(
-            "__llm_pieces", r["end"] + 1, F.coalesce(F.get("__llm_gone", i + 1)["start"], F.size("__llm_pieces")) - r["end"])))
-    text = F.array_join(F.flatten(kept), "")
-    new = F.when(F.size("__llm_gone") > 0, text).otherwise(F.col("text"))
-    out = cut_off.withColumn("__llm_new", new)
-    columns = [new_column(c) for c in docs.columns]
-    return out.select(*columns)
+        F.array(F.slice("__llm_pieces", F.lit(1), F.get("__llm_out", F.lit(0))["start"])),
+        F.transform("__llm_out", lambda s, k: F.slice(
+            "__llm_pieces", s["end"] + 1, F.coalesce(F.get("__llm_out", k + 1)["start"], F.size("__llm_pieces")) - s["end"])))
+    new = F.when(F.size("__llm_out") > 0, F.array_join(F.flatten(kept), "")).otherwise(F.col("text"))
+    after = ranges.select(*_KEYS, F.col("text").alias("__llm_old"), new.alias("__llm_new"))
+    rest = _keyed(docs).drop("text")
+    return rest.join(after, _KEYS).select(*[_changed(c) for c in docs.columns])
 
 
-def new_column(name: str) -> Column:
+def _changed(name: str) -> Column:
+    old, new = F.col("__llm_old"), F.col("__llm_new")
     if name == "text":
-        return F.col("__llm_new").alias("text")
+        return new.alias("text")
     if name == "n_chars":
-        return F.when(F.col("__llm_new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__llm_new").cast("long")).alias("n_chars")
+        return F.when(old.eqNullSafe(new), F.col("n_chars")).otherwise(F.length(new).cast("long")).alias("n_chars")
     return F.col(f"`{name}`")

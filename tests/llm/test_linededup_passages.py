@@ -1,14 +1,14 @@
-"""Passages of 50 words or more in unlike surroundings, against a rule written down anew."""
+"""Repeated passages in unlike surroundings, against the rule written down anew."""
 
 import random
 import re
+from collections import defaultdict
 
+import xxhash
 from helpers import documents, key, prose, rows
 
 from panelcf.llm import linededup
 
-LIMIT = 50
-
 
 def fill(data):
     return [(d, t, "en", "s", None if t is None else len(t), 0, "r") for d, t in data]
@@ -18,23 +18,48 @@ def cleaned(spark, data):
     return sorted(((r["doc_id"], r["text"]) for r in linededup.drop_repeats(documents(spark, fill(data))).collect()), key=key)
 
 
+def number(text):
+    """XXH64 as a signed number."""
+    h = xxhash.xxh64((text or "").encode(), seed=42).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def spans(bare):
+    """(first, end) of the chunks: between neighbours of one class, and long pieces."""
+    out, last = [], {}
+    for i, p in enumerate(bare):
+        h = number(p)
+        if len(p) >= 150:
+            out.append((i, i + 1))
+        if len(p) >= 16 or h // 2 % 8 == 0:
+            if h % 2 in last:
+                out.append((last[h % 2], i + 1))
+            last[h % 2] = i
+    return out
+
+
 def brute(data):
-    """A run of whole pieces with LIMIT words that stands earlier, without overlap, goes; piece by piece, without windows or hashes."""
-    texts = sorted({x for x in data if x[1]}, key=lambda x: (x[0] is not None, x[0] or 0))
+    """The chunks of all documents as texts in a dictionary; marked pieces, and stretches of them, one by one."""
+    texts = sorted({x for x in data if len(x[1] or "") >= 64}, key=lambda x: (x[0] is not None, x[0] or 0, number(x[1])))
     cut = [re.split(r"(?:(?<=\n)|(?<=[.!?] ))(?=[ \t\r]*\S)", t) for _, t in texts]
     bare = [[p.strip(" \t\r\n") for p in pieces] for pieces in cut]
-    first, gone = {}, {}
+    places = defaultdict(list)
     for at, pieces in enumerate(bare):
-        for i in range(len(pieces)):
-            e, n = i, 0
-            while pieces[i] and e < len(pieces) and n < LIMIT:
-                n, e = n + len(pieces[e].split()), e + 1
-            if n < LIMIT:
-                continue
-            d, s = first.setdefault("\0".join(pieces[i:e]), (at, i))
-            if d != at or i >= s + e - i:
-                gone.setdefault(at, set()).update(range(i, e))
-    new = {x: "".join(p for i, p in enumerate(c) if i not in gone.get(at, ())) for at, (x, c) in enumerate(zip(texts, cut))}
+        for i, e in spans(pieces):
+            places[tuple(pieces[i:e])].append((at, i))
+    gone = defaultdict(set)
+    for chunk, found in places.items():
+        d, s = min(found)
+        for at, i in found:
+            if d != at or i >= s + len(chunk):
+                gone[at].update(range(i, i + len(chunk)))
+    new = {}
+    for at, (x, pieces) in enumerate(zip(texts, cut)):
+        marks = "".join("x" if i in gone[at] else "." for i in range(len(pieces)))
+        for run in re.finditer("x+", marks):
+            if len("".join(pieces[run.start():run.end()]).strip(" \t\r\n")) < 64:
+                marks = marks[:run.start()] + "." * len(run[0]) + marks[run.end():]
+        new[x] = "".join(p for p, m in zip(pieces, marks) if m == ".")
     return sorted(((d, new.get((d, t), t)) for d, t in data), key=key)
 
 
@@ -46,26 +71,52 @@ def lines(rng, n, each):
     return [s[:-1] for s in sentences(rng, n, each)]
 
 
-def test_short_lines(spark):
-    rng, data, want = random.Random(1), [], []
-    for k, (n, each) in enumerate(((60, 4), (60, 6), (60, 12), (104, 4))):
-        passage = lines(rng, n, each)
+def left_over(spark, passages, around):
+    """Each passage in six unlike surroundings: nothing else may change, the first stays, and of the others the share of words left over."""
+    rng, data, stays = random.Random(1), [], {}
+    for k, passage in enumerate(passages):
         for i in range(6):
-            own, more = lines(rng, 24, 8), lines(rng, 24, 8)
-            data.append((10 * k + i, "\n".join([*own, *passage, *more])))
-            want.append((10 * k + i, "\n".join([*own, *([] if i else passage), *more])))
-    assert cleaned(spark, data) == want
+            own, more = around(rng), around(rng)
+            text = passage[1].join([*own, *passage[0], *more])
+            data.append((10 * k + i, text))
+            stays[10 * k + i] = (own, more, passage, i)
+    words = left = untouched = 0
+    for d, t in cleaned(spark, data):
+        own, more, (pieces, sep), i = stays[d]
+        assert t.startswith(sep.join(own)) and t.endswith(sep.join(more))
+        if i == 0:
+            assert t == dict(data)[d]
+            continue
+        n = sum(len(p.split()) for p in pieces if p in t)
+        words, left, untouched = words + sum(len(p.split()) for p in pieces), left + n, untouched + (n == sum(len(p.split()) for p in pieces))
+    return left / words, untouched
+
+
+def test_short_lines(spark):
+    rng = random.Random(1)
+    passages = [(lines(rng, n, each), "\n") for n, each in ((60, 4), (60, 6), (60, 12), (104, 4), (48, 12)) for _ in range(8)]
+    share, untouched = left_over(spark, passages, lambda r: lines(r, 24, 8))
+    assert share < 0.05 and untouched == 0
 
 
 def test_inside_longer_paragraphs(spark):
-    rng, data, want = random.Random(2), [], []
-    for k, (n, each) in enumerate(((60, 12), (60, 20), (100, 20))):
-        passage = sentences(rng, n, each)
-        for i in range(6):
-            own, more = sentences(rng, 60, 12), sentences(rng, 60, 12)
-            data.append((10 * k + i, " ".join([*own, *passage, *more])))
-            want.append((10 * k + i, " ".join([*own, *([] if i else passage), *more])))
-    assert cleaned(spark, data) == want
+    rng = random.Random(2)
+    passages = [(sentences(rng, n, each), " ") for n, each in ((60, 12), (60, 20), (100, 20), (60, 30)) for _ in range(8)]
+    share, untouched = left_over(spark, passages, lambda r: sentences(r, 60, 12))
+    assert share < 0.05 and untouched == 0
+
+
+def test_a_single_long_line(spark):
+    rng = random.Random(7)
+    passages = [(lines(rng, n, n), "\n") for n in (50, 80)]
+    assert left_over(spark, passages, lambda r: lines(r, 24, 8)) == (0, 0)
+
+
+def test_lists_of_single_words(spark):
+    rng = random.Random(8)
+    passages = [(lines(rng, 60, 1), "\n") for _ in range(8)]
+    share, untouched = left_over(spark, passages, lambda r: lines(r, 24, 8))
+    assert share < 0.5 and untouched <= 10
 
 
 def test_end_of_a_text_is_like_its_middle(spark):
@@ -77,13 +128,31 @@ def test_end_of_a_text_is_like_its_middle(spark):
     assert cleaned(spark, data) == want
 
 
-def test_less_than_the_limit_stays(spark):
+def test_short_agreement_stays(spark):
     rng = random.Random(4)
-    passage = " ".join(sentences(rng, 48, 12))
-    data = [(i, " ".join([*sentences(rng, 24, 12), passage, *sentences(rng, 24, 12)])) for i in range(5)]
+    data = [(i, " ".join([*sentences(rng, 24, 12), "It is so.", "Not at all.", "Who knows?", *sentences(rng, 24, 12)])) for i in range(5)]
     assert cleaned(spark, data) == data
 
 
+def test_rows_of_one_id_and_null_ids(spark):
+    rng = random.Random(11)
+    passage = " ".join(sentences(rng, 96, 12))
+    data = [(d, " ".join([*sentences(rng, 24, 12), passage])) for d in (1, 1, 2, None, None)]
+    data += [data[1], data[3]]
+    got = cleaned(spark, data)
+    assert got == brute(data)
+    assert len({t for _, t in got if passage in t}) == 1
+
+
+def test_frequent_chunks_are_broadcast(spark, monkeypatch):
+    rng = random.Random(12)
+    stock = [" ".join(sentences(rng, 60, 12)) for _ in range(3)]
+    data = [(i, " ".join([*sentences(rng, 24, 12), rng.choice(stock)])) for i in range(60)]
+    for parts in (1, 50, 10**6):
+        monkeypatch.setattr(linededup, "HOT_PARTS", parts)
+        assert cleaned(spark, data) == brute(data)
+
+
 def test_equals_the_rule(spark):
     rng = random.Random(5)
     data = [(d, t) for d, t, *_ in rows()]
