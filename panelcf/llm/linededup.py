@@ -108,8 +108,8 @@ def _unlike(cut: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """Documents without repeated chunks; ``text`` changes and, where there is one, ``n_chars``; all rows stay."""
     found = repeated_chunks(docs)
-    # one row per document: the exchange of the texts serves the comparison and the removal
-    texts = _keyed(docs).select(*_KEYS, "text").dropDuplicates(_KEYS)
+    # one row per document; the one exchange of the texts serves the comparison and the removal, and nothing is sorted before it
+    texts = _keyed(docs).select(*_KEYS, "text").repartition(*_KEYS).dropDuplicates(_KEYS)
     cut = texts.join(found, _KEYS, "left").withColumn("__llm_pieces", F.when(F.col("__llm_found").isNotNull(), _pieces(F.col("text"))))
     listed = found.select(*_KEYS, F.explode("__llm_found.hash").alias("hash"))
     spoiled = listed.join(_unlike(cut), "hash").groupBy(*_KEYS).agg(F.collect_set("hash").alias("__llm_unlike"))
