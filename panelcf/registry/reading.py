@@ -177,17 +177,33 @@ def s5(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("s6_upsert_keep_first", """
+KEEP_FIRST_SQL = """
     WITH r AS (SELECT CAST(user_id AS VARCHAR) AS station_id, CAST(ts AS DATE) AS date, event_id, value,
                       CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS source FROM events),
          k AS (SELECT *, row_number() OVER (PARTITION BY station_id, date ORDER BY source, event_id) AS rn FROM r)
     SELECT station_id, date, event_id, value, CASE WHEN source = 0 THEN 'base' ELSE 'new' END AS origin
-    FROM k WHERE rn = 1""")
-def s6(spark, sf_dir):
+    FROM k WHERE rn = 1"""
+
+
+def base_and_batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("station_id"), F.to_date("ts").alias("date"), "event_id", "value")
-    base = rows.filter("event_id % 2 = 0").withColumn("origin", F.lit("base"))
-    return upsert.upsert_keep_first(base, rows.withColumn("origin", F.lit("new")), ["station_id", "date"], ["event_id"])
+    return rows.filter("event_id % 2 = 0").withColumn("origin", F.lit("base")), rows.withColumn("origin", F.lit("new"))
+
+
+@query("s6_upsert_keep_first", KEEP_FIRST_SQL)
+def s6(spark, sf_dir):
+    base, batch = base_and_batch(spark, sf_dir)
+    return upsert.upsert_keep_first(base, batch, ["station_id", "date"], ["event_id"])
+
+
+@query("s6_upsert_stored_panel", KEEP_FIRST_SQL)
+def s6_stored(spark, sf_dir):
+    path = shared_dir(spark, "panel")
+    base, batch = base_and_batch(spark, sf_dir)
+    for rows in (base, batch, batch):  # created, added to, and left as it is
+        upsert.upsert_panel(spark, path, rows, ["event_id"])
+    return spark.read.parquet(path).drop("year")
 
 
 @query("s7_build_zone_tables", with_sql(more=", ".join([AREAS_SQL, META_SQL, IDS_SQL])) + """

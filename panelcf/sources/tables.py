@@ -68,7 +68,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     writer.save(path)
 
 
-def write_panel(df: DataFrame, path: str, cols: PanelCols = HOUSE, rows_per_file: int = 5_000_000) -> None:
+def write_panel(df: DataFrame, path: str, cols: PanelCols = HOUSE, rows_per_file: int = 5_000_000,
+                mode: str = "overwrite") -> None:
     """Store a panel split by year, so that date filters prune folders.
 
     Rows are dealt to tasks by ranges of year, station and date, so the number of
@@ -76,7 +77,7 @@ def write_panel(df: DataFrame, path: str, cols: PanelCols = HOUSE, rows_per_file
     """
     spread = df.withColumn("year", F.year(cols.date)).repartitionByRange("year", cols.id, cols.date)
     ordered = spread.sortWithinPartitions("year", cols.id, cols.date)
-    ordered.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("year").parquet(path)
+    ordered.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("year").parquet(path)
 
 
 def stored(df: DataFrame, path: str | None) -> DataFrame:
