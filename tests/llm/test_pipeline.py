@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from helpers import SCHEMA, documents, rows
 from __spark_entry__ import oracle_sql, queries
 from check import compare, duck
 
@@ -45,3 +46,36 @@ def test_toxic_labels_are_found_on_held_out_rows(spark):
     labels = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall()
     held = [(d, t) for d, t in labels if zlib.crc32(str(d).encode()) % 5 == 0]
     assert sum(got[d] == t for d, t in held) >= 0.9 * len(held)
+
+
+def through(spark, docs):
+    """The rows after each stage."""
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_DIR)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns, name
+        docs = corpus_pipeline.stored(out, "awkward")
+        seen.append((name, docs.collect()))
+    return seen
+
+
+def test_awkward_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, names that clash with those of the operators."""
+    long = "A line of its own with number {}.\n"
+    data = [*rows(), (900, "".join(long.format(i) for i in range(30_000)), "en", "s", None, 0, "r"), (901, "no end " * 40_000, None, None, 3, None, None)]
+    more = documents(spark, data)
+    for c in ("hash", "start", "n", "score", "component_id", "text_id", "__label"):
+        more = more.selectExpr("*", f"'{c}' AS `{c}`")
+    steps = through(spark, more)
+    sizes = [len(data)] + [len(found) for _, found in steps]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+    assert sizes[1] == sizes[2] and sizes[-1] == sizes[-2]  # line dedup drops no row, nor does encoding
+    deduped = steps[1][1]
+    assert {r["hash"] for r in deduped} == {"hash"} and any(r["doc_id"] is None for r in deduped)
+    assert any(r["text"] is None for r in deduped) and any(r["text"] == "" for r in deduped)
+    assert {r["doc_id"] for r in deduped} >= {900, 901}
+
+
+def test_empty_documents(spark):
+    assert [found for _, found in through(spark, spark.createDataFrame([], SCHEMA))] == [[]] * 5
