@@ -3,7 +3,7 @@
 Pieces. A text is cut behind line breaks and behind sentences, wherever a line is wrapped; blank lines belong to the piece before
 them. Pieces keep their separators and together are the text, but are hashed and compared without blanks and line breaks at their ends.
 Chunks. The rolling hash has a window of one piece, so whether a piece is a boundary depends on itself alone: pieces of BOUND_CHARS
-characters are, of shorter ones those with three more bits zero (one in eight). The lowest bit puts a boundary in one of two classes, and each class cuts the text by
+characters are, of shorter ones those with two more bits zero (one in four). The lowest bit puts a boundary in one of two classes, and each class cuts the text by
 itself: a chunk runs from one boundary to the next of its class, both included. Among three boundaries two are in one class, so every run that
 two texts share and that has three holds a whole chunk, whatever surrounds it; of a longer run hardly more than a piece at either end can lie
 outside of all chunks. A piece of LONG_CHARS characters is a chunk of its own as well.
@@ -67,7 +67,7 @@ def chunk_places(docs: DataFrame) -> DataFrame:
     """Per chunk: key columns, start, size (pieces), hash."""
     pieces = F.transform(F.transform(_pieces(F.col("text")), _bare), lambda p: F.struct(_hash(p).alias("h"), F.length(p).alias("n")))
     cut = _keyed(docs).where(F.length("text") >= MIN_CHARS).select(*_KEYS, pieces.alias("p"))
-    bound = lambda p: (p["n"] >= BOUND_CHARS) | (F.shiftright(p["h"], 1).bitwiseAND(F.lit(7)) == 0)
+    bound = lambda p: (p["n"] >= BOUND_CHARS) | (F.shiftright(p["h"], 1).bitwiseAND(F.lit(3)) == 0)
     # places of boundaries: 0, 1, 2, … of the one class, -1, -2, -3, … of the other
     at = F.transform("p", lambda p, i: F.when(bound(p), F.when(p["h"].bitwiseAND(F.lit(1)) == 0, i).otherwise(-1 - i)))
     long = F.filter(F.transform("p", lambda p, i: F.when(p["n"] >= LONG_CHARS, i)), lambda i: i.isNotNull())
