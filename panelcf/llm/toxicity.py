@@ -1,20 +1,23 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of itself and its character n-grams (word ends marked), each hashed to a row of an embedding
-table; a document is the average over the bags of its distinct words; a softmax over two classes follows. Table and softmax are trained together on a
-bounded sample of labelled rows. A word that never occurred in training still shares n-grams with those that did, so misspellings are seen.
+table, and its vector is the average of the bag; a document is the average over its words, repeats included; a softmax over two classes follows.
+Table and softmax are trained together on a bounded sample of labelled rows. A word that never occurred in training still shares n-grams with
+those that did, so misspellings are seen. A group lasso shrinks the vectors of n-grams that tell nothing to zero; without it the many words that
+occur in few documents are learnt by heart and drown the telling ones in long texts.
 
 For scoring, table and softmax fold into one number per hashed n-gram (the model is linear in the average), so a word
 costs one sum, kept in a bounded memo.
 
 Defined results: empty or null texts get the softmax of the bias alone; labels that are null are not used; with no labels of one of the classes
-all scores are the other class's (0.0 without any label). Repeated rows are scored alike.
+all scores are the other class's (0.0 without any label). Repeated rows are scored alike. A score of exactly 0.5 counts as toxic.
 """
 
 from __future__ import annotations
 
 import sys
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,15 +34,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows of the classes that training takes, the least by a hash of doc_id. Bounds what the driver holds.
 TOXIC_SAMPLE, OTHER_SAMPLE = 1500, 3000
-BUCKET_BITS = 17
+BUCKET_BITS = 20
 DIMENSIONS = 8
-#: Features without meaning in every average, so that very short texts stay near the prior.
-PAD = 60
+#: Words without meaning in every average, so that very short texts stay near the prior.
+PAD = 20
 NGRAMS = (3, 4, 5, 6)
+#: A bucket gets a vector if it occurs in one of this many training documents, and in three at least.
+ONE_IN = 80
 #: Mini-batches seen in training; small samples are gone through more often.
 STEPS = 900
 BATCH = 50
 RATE = 0.005
+#: What each step takes from the length of every vector, as a share of RATE.
+SHRINK = 0.9
 MEMO_WORDS = 400_000
 
 
@@ -58,7 +65,7 @@ def _words(text: str | None) -> list[bytes]:
 
 @dataclass
 class Model:
-    """weight: one number per bucket; the logit of a document is bias + the padded mean over its features."""
+    """weight: one number per bucket; the logit of a document is bias + the padded mean over its words of their buckets' means."""
 
     weight: np.ndarray
     bias: float
@@ -69,30 +76,42 @@ def _rows(texts: list[str | None]):
     memo: dict[bytes, np.ndarray] = {}
     buckets, shares, ends = [], [], [0]
     for text in texts:
-        bags = []
-        for w in sorted(set(_words(text))):
+        bags, parts, n_words = [np.zeros(0, np.int32)], [np.zeros(0)], 0
+        for w, n in sorted(Counter(_words(text)).items()):
             if w not in memo:
                 memo[w] = np.array(_features(w), np.int32)
             bags.append(memo[w])
-        found, n = np.unique(np.concatenate(bags), return_counts=True) if bags else (np.zeros(0, np.int32), np.zeros(0))
-        buckets.append(found.astype(np.int32))
-        shares.append((n / (PAD + n.sum())).astype(np.float32))
+            parts.append(np.full(len(memo[w]), n / len(memo[w])))
+            n_words += n
+        found, at = np.unique(np.concatenate(bags), return_inverse=True)
+        buckets.append(found)
+        shares.append((np.bincount(at, np.concatenate(parts), len(found)) / (PAD + n_words)).astype(np.float32))
         ends.append(ends[-1] + len(found))
     return np.concatenate(buckets), np.concatenate(shares), np.array(ends)
 
 
+def _frequent(buckets: np.ndarray, shares: np.ndarray, ends: np.ndarray):
+    """The rows without rare buckets, numbered anew, and the buckets that stay."""
+    n_docs = np.bincount(buckets, minlength=1 << BUCKET_BITS)
+    stays = n_docs >= max(3, (len(ends) - 1) / ONE_IN)
+    number, kept = np.cumsum(stays, dtype=np.int32) - 1, stays[buckets]
+    return number[buckets[kept]], shares[kept], np.concatenate([[0], np.cumsum(kept)])[ends], np.flatnonzero(stays)
+
+
 def fit(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
-    """Embedding table and softmax, trained together with Adam on mini-batches.
+    """Embedding table and softmax, trained together with Adam on mini-batches in which both classes weigh alike.
 
     The average and the softmax are linear, so the gradient of a bucket's embedding is one number times the
     difference of the two class vectors; it is summed per bucket first and spread over the dimensions afterwards.
+    After each step every embedding is shortened by the same length, to zero if it is shorter.
     """
-    size, y = 1 << BUCKET_BITS, np.array(toxic, np.float32)
+    weight, y = np.zeros(1 << BUCKET_BITS, np.float32), np.array(toxic, np.float32)
     if len(set(toxic)) < 2:
-        return Model(np.zeros(size, np.float32), 50.0 if toxic and toxic[0] else -50.0)
+        return Model(weight, 50.0 if toxic and toxic[0] else -50.0)
     rng = np.random.default_rng(seed)
-    buckets, shares, ends = _rows(texts)
-    table = rng.normal(0, 0.3, (size, DIMENSIONS)).astype(np.float32)
+    buckets, shares, ends, names = _frequent(*_rows(texts))
+    size, class_weight = len(names), np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    table = np.zeros((size, DIMENSIONS), np.float32)
     # a bucket's part in a mean of hundreds of features is small; the softmax starts and learns on that scale
     soft, bias, gain = rng.normal(0, 0.3, (2, DIMENSIONS)).astype(np.float32), np.zeros(2, np.float32), np.float32(30.0)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
@@ -107,16 +126,19 @@ def fit(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
             mean = np.stack([np.bincount(doc, s * table[b, d], len(pick)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             logit = mean @ soft.T + bias
             p = 1 / (1 + np.exp(np.clip(logit[:, 0] - logit[:, 1], -50, 50)))
-            err = ((p - y[pick]) / len(pick)).astype(np.float32)
+            err = ((p - y[pick]) * class_weight[pick] / len(pick)).astype(np.float32)
             pull = np.bincount(b, s * err[doc], size).astype(np.float32)
             side = err @ mean
-            grads = (np.outer(pull, soft[1] - soft[0]) + 1e-5 * table, np.stack([-side, side]), np.array([-err.sum(), err.sum()]))
+            grads = (np.outer(pull, soft[1] - soft[0]), np.stack([-side, side]), np.array([-err.sum(), err.sum()]))
             step += 1
             for x, g, (m, v) in zip((table, soft, bias), grads, moments):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return Model(gain * (table @ (soft[1] - soft[0])), float(bias[1] - bias[0]))
+            length = np.sqrt((table * table).sum(1, keepdims=True))
+            table *= np.maximum(0, 1 - RATE * SHRINK / np.maximum(length, 1e-9)).astype(np.float32)
+    weight[names] = gain * (table @ (soft[1] - soft[0]))
+    return Model(weight, float(bias[1] - bias[0]))
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 0) -> Model:
@@ -138,26 +160,27 @@ def fit_from(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 0)
 
 
 def _broadcast(df: DataFrame, model: Model):
-    """The model as plain values; a worker keeps its memo beside them from task to task."""
-    return df.sparkSession.sparkContext.broadcast({"weight": model.weight, "bias": model.bias, "memo": {}})
+    """The model as plain values, without the buckets of weight zero; a worker keeps its memo beside them from task to task."""
+    used = np.flatnonzero(model.weight)
+    weight = dict(zip(used.tolist(), model.weight[used].astype(np.float64).tolist()))
+    return df.sparkSession.sparkContext.broadcast({"weight": weight, "bias": model.bias, "memo": {}})
 
 
 def _scorer(shared):
-    weight, bias, memo = shared.value["weight"].astype(np.float64).tolist(), shared.value["bias"], shared.value["memo"]
+    weight, bias, memo = shared.value["weight"].get, shared.value["bias"], shared.value["memo"]
 
     def score(text: str | None) -> float:
-        total, n = 0.0, 0
-        for w in set(_words(text)):
+        total, words = 0.0, _words(text)
+        for w, n in sorted(Counter(words).items()):
             known = memo.get(w)
             if known is None:
                 f = _features(w)
-                known = (sum([weight[i] for i in f]), len(f))
+                known = sum([weight(i, 0.0) for i in f]) / len(f)
                 if len(memo) >= MEMO_WORDS:
                     memo.clear()
                 memo[w] = known
-            total += known[0]
-            n += known[1]
-        return 1 / (1 + float(np.exp(-np.clip(bias + total / (PAD + n), -500, 500))))
+            total += n * known
+        return 1 / (1 + float(np.exp(-np.clip(bias + total / (PAD + len(words)), -500, 500))))
 
     return score
 

@@ -48,6 +48,15 @@ def test_toxic_labels_are_found_on_held_out_rows(spark):
     assert sum(got[d] == t for d, t in held) >= 0.9 * len(held)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="sample tables not present")
+def test_recall_and_false_alarms_on_held_out_rows(spark):
+    got = {r["doc_id"]: r["predicted"] for r in queries()["op7_toxicity"](spark, "/root/testdata/sf0.1").collect()}
+    labels = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.1/labels.parquet'").fetchall()
+    held = [(d, t) for d, t in labels if zlib.crc32(str(d).encode()) % 5 == 0 and d in got]
+    bad, good = [got[d] for d, t in held if t == 1], [got[d] for d, t in held if t == 0]
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.02 * len(good)
+
+
 def through(spark, docs):
     """The rows after each stage."""
     seen = []

@@ -49,6 +49,32 @@ def test_awkward_rows_and_stage(spark):
     assert kept.schema == docs.schema and kept.count() == sum(r["score"] < 0.5 for r in got)
 
 
+def test_very_long_texts_and_clashing_columns(spark):
+    """A few bad words among thousands of others are found; columns named like those of the operator stay as they are."""
+    data, labels = case(600)
+    model = toxicity.fit_from(documents(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rng = random.Random(5)
+    words = prose(rng, 20_000).split()
+    bad = [rng.choice(BAD) if rng.random() < 0.03 else w for w in words]
+    docs = documents(spark, [(1, " ".join(words), "en", "s", 0, 0, "r"), (2, " ".join(bad), "en", "s", 0, 0, "r")])
+    for name in ("score", "predicted", "toxic", "memo"):
+        docs = docs.selectExpr("*", f"'{name}' AS {name}")
+    assert [r["score"] >= 0.5 for r in sorted(toxicity.scores(docs, model).collect())] == [False, True]
+    kept = toxicity.keep_harmless(docs, model).collect()
+    assert [(r["doc_id"], r["score"], r["toxic"]) for r in kept] == [(1, "score", "toxic")]
+
+
+def test_score_is_that_of_the_averaged_vectors(spark):
+    """The scorer equals the mean over words of the mean over their buckets, taken word by word."""
+    data, labels = case(200)
+    model = toxicity.fit_from(documents(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(documents(spark, data), model).collect()}
+    for doc_id, text, *_ in data[:40]:
+        words = toxicity._words(text)
+        logit = model.bias + sum(model.weight[toxicity._features(w)].astype(float).mean() for w in words) / (toxicity.PAD + len(words))
+        assert abs(got[doc_id] - 1 / (1 + 2.718281828459045 ** -logit)) < 1e-9
+
+
 @pytest.mark.parametrize("labels, score", [([], 0.0), ([(1, 1)], 1.0), ([(1, 0)], 0.0)])
 def test_single_class(spark, labels, score):
     docs = documents(spark)
