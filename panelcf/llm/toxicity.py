@@ -71,10 +71,10 @@ class Model:
     bias: float
 
 
-def _rows(texts: list[str | None]):
-    """Documents as sparse rows: buckets, their shares of the document, and where each row ends."""
+def _rows(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per document its buckets and their shares of it."""
     memo: dict[bytes, np.ndarray] = {}
-    buckets, shares, ends = [], [], [0]
+    buckets, shares = [], []
     for text in texts:
         bags, parts, n_words = [np.zeros(0, np.int32)], [np.zeros(0)], 0
         for w, n in sorted(Counter(_words(text)).items()):
@@ -86,16 +86,20 @@ def _rows(texts: list[str | None]):
         found, at = np.unique(np.concatenate(bags), return_inverse=True)
         buckets.append(found)
         shares.append((np.bincount(at, np.concatenate(parts), len(found)) / (PAD + n_words)).astype(np.float32))
-        ends.append(ends[-1] + len(found))
-    return np.concatenate(buckets), np.concatenate(shares), np.array(ends)
+    return buckets, shares
 
 
-def _frequent(buckets: np.ndarray, shares: np.ndarray, ends: np.ndarray):
-    """The rows without rare buckets, numbered anew, and the buckets that stay."""
-    n_docs = np.bincount(buckets, minlength=1 << BUCKET_BITS)
-    stays = n_docs >= max(3, (len(ends) - 1) / ONE_IN)
-    number, kept = np.cumsum(stays, dtype=np.int32) - 1, stays[buckets]
-    return number[buckets[kept]], shares[kept], np.concatenate([[0], np.cumsum(kept)])[ends], np.flatnonzero(stays)
+def _number_frequent(buckets: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
+    """Takes rare buckets out of the documents and numbers the others anew, document by document in place; returns what stays."""
+    n_docs = np.zeros(1 << BUCKET_BITS, np.int32)
+    for found in buckets:
+        n_docs[found] += 1
+    stays = n_docs >= max(3, len(buckets) / ONE_IN)
+    number = np.cumsum(stays, dtype=np.int32) - 1
+    for i, found in enumerate(buckets):
+        kept = stays[found]
+        buckets[i], shares[i] = number[found[kept]], shares[i][kept]
+    return np.flatnonzero(stays)
 
 
 def fit(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
@@ -109,7 +113,8 @@ def fit(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     if len(set(toxic)) < 2:
         return Model(weight, 50.0 if toxic and toxic[0] else -50.0)
     rng = np.random.default_rng(seed)
-    buckets, shares, ends, names = _frequent(*_rows(texts))
+    buckets, shares = _rows(texts)
+    names = _number_frequent(buckets, shares)
     size, class_weight = len(names), np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
     table = np.zeros((size, DIMENSIONS), np.float32)
     # a bucket's part in a mean of hundreds of features is small; the softmax starts and learns on that scale
@@ -120,9 +125,8 @@ def fit(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
         order = rng.permutation(len(y))
         for lo in range(0, len(y), BATCH):
             pick = order[lo:lo + BATCH]
-            spans = [np.arange(ends[i], ends[i + 1]) for i in pick]
-            at, doc = np.concatenate(spans), np.repeat(np.arange(len(pick)), [len(s) for s in spans])
-            b, s = buckets[at], shares[at] * gain
+            doc = np.repeat(np.arange(len(pick)), [len(buckets[i]) for i in pick])
+            b, s = np.concatenate([buckets[i] for i in pick]), np.concatenate([shares[i] for i in pick]) * gain
             mean = np.stack([np.bincount(doc, s * table[b, d], len(pick)) for d in range(DIMENSIONS)], 1).astype(np.float32)
             logit = mean @ soft.T + bias
             p = 1 / (1 + np.exp(np.clip(logit[:, 0] - logit[:, 1], -50, 50)))
