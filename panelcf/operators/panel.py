@@ -215,42 +215,56 @@ def design_daily(panel: DataFrame, calendar: bool = True) -> DataFrame:
     })
 
 
+def _calendar_classes(series: DataFrame, assignments: DataFrame, all_donors: bool):
+    """Units with their own months, and one row per donor set and distinct set of months, led by its smallest unit."""
+    sets = assignments.withColumn("donor_set", F.lit("all")) if all_donors else assignments
+    own = series.join(sets, F.col("station_id") == F.col("treated_id"))
+    units = own.groupBy("treated_id", "donor_set").agg(
+        *[F.max(d).alias(d) for d in _DATES], F.sort_array(F.collect_list(F.struct("date", F.col("x").alias("y")))).alias("own"),
+    ).withColumn("months", F.col("own.date"))
+    return units, units.groupBy("donor_set", "months").agg(F.min("treated_id").alias("leader"))
+
+
+def _class_donors(series: DataFrame, classes: DataFrame, donor_sets: DataFrame | None) -> DataFrame:
+    """``leader, at, id, x``: every donor of a class at every position of its months, filled by position."""
+    if donor_sets is None:
+        donors = series.withColumn("donor_set", F.lit("all"))
+    else:
+        donors = series.join(donor_sets.select("donor_set", "station_id").distinct(), "station_id")
+    placed = classes.select("donor_set", "leader", F.size("months").alias("n"), F.posexplode("months").alias("p", "date"))
+    one = Window.partitionBy("leader", "id").orderBy("p")
+    known = placed.join(donors, ["donor_set", "date"]).select(
+        "leader", "n", (F.col("p") + 1).alias("p"), F.col("station_id").alias("id"), "x",
+    ).withColumns({"next_p": F.lead("p").over(one), "next_x": F.lead("x").over(one), "is_first": F.lag("p").over(one).isNull()})
+    since = F.when(F.col("is_first"), F.lit(1)).otherwise(F.col("p"))
+    until = F.coalesce(F.col("next_p") - 1, F.col("n"))
+    return known.withColumn("at", F.explode(F.sequence(since, until))).select("leader", "at", "id", F.when(
+        (F.col("at") <= F.col("p")) | F.col("next_p").isNull(), F.col("x")
+    ).otherwise(F.col("x") + (F.col("next_x") - F.col("x")) * (F.col("at") - F.col("p")) / (F.col("next_p") - F.col("p"))).alias("x"))
+
+
 def design_monthly(m: DataFrame, assignments: DataFrame, donor_sets: DataFrame | None = None,
                    low=None, high=None, cols: PanelCols = HOUSE) -> DataFrame:
     """Monthly panel on the treated unit's months, donor gaps filled by position, with season and trend.
 
     Unlike the complete-case panel, a donor gap does not remove a month; donors
     without any value on these months are left out. A known value fills the
-    positions up to the next one, the first also those before it; the treated
-    unit's own months travel along as a donor without id.
+    positions up to the next one, the first also those before it. Filling depends
+    on the months alone, so donors are filled once for all units with the same months.
     """
-    series = _series(m, "month", cols)
+    series = _series(m, "month", cols).filter("x IS NOT NULL")
     if low is not None:
         series = series.filter(F.col("date").between(as_date(low), as_date(high)))
-    months = Window.partitionBy("treated_id")
-    placed = _gather(*_with_roles(series, assignments, donor_sets)).withColumns({
-        "p": F.row_number().over(months.orderBy("date")), "n": F.count(F.lit(1)).over(months),
-    })
-    own = F.struct("date", "y", *_DATES)
-    carrier = F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("x")))
-    cells = placed.select("treated_id", "p", "n", own.alias("own"), F.explode(F.concat(carrier, "donors")).alias("d"))
-    one = Window.partitionBy("treated_id", "id").orderBy("p")
-    is_own = F.col("id").isNull()
-    known = cells.select(
-        "treated_id", "p", "n", "d.id", "d.x", F.when(F.col("d.id").isNull(), F.col("own")).alias("own")
+    units, classes = _calendar_classes(series, assignments, donor_sets is None)
+    donors = _class_donors(series, classes, donor_sets).groupBy("leader", "at").agg(
+        F.sort_array(F.collect_list(F.struct("id", "x"))).alias("donors"))
+    own = units.join(classes, ["donor_set", "months"]).select("treated_id", "leader", *_DATES, F.posexplode("own").alias("trend", "o"))
+    rows = own.withColumn("at", F.col("trend") + 1).join(donors, ["leader", "at"], "left")
+    month, others = F.month("date"), F.filter("donors", lambda d: d["id"] != F.col("treated_id"))
+    return rows.select(
+        "treated_id", "o.*", *_DATES, F.coalesce(others, F.array().cast("array<struct<id:string,x:double>>")).alias("donors"),
+        F.col("trend").cast("long").alias("trend"),
     ).withColumns({
-        "next_p": F.lead("p").over(one), "next_x": F.lead("x").over(one), "is_first": F.lag("p").over(one).isNull(),
-    })
-    since = F.when(~is_own & F.col("is_first"), F.lit(1)).otherwise(F.col("p"))
-    until = F.when(is_own, F.col("p")).otherwise(F.coalesce(F.col("next_p") - 1, F.col("n").cast("int")))
-    filled = known.withColumn("at", F.explode(F.sequence(since, until))).withColumn("x", F.when(
-        (F.col("at") <= F.col("p")) | F.col("next_p").isNull(), F.col("x")
-    ).otherwise(F.col("x") + (F.col("next_x") - F.col("x")) * (F.col("at") - F.col("p")) / (F.col("next_p") - F.col("p"))))
-    month = F.month("date")
-    return filled.groupBy("treated_id", "at").agg(
-        F.max("own").alias("own"),
-        F.sort_array(F.collect_list(F.when(~is_own, F.struct("id", "x")))).alias("donors"),
-    ).select("treated_id", "own.*", "donors", (F.col("at") - 1).cast("long").alias("trend")).withColumns({
         "is_pre": F.col("date") < F.col("start"),
         "month_sin": cycle_sin(month, 12), "month_cos": cycle_cos(month, 12),
     })
