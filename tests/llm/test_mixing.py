@@ -70,3 +70,47 @@ def test_state_is_causal():
 
 def test_empty_table(spark):
     assert mixing.scores(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_weights_and_maps_learn_from_every_occurrence(spark, monkeypatch):
+    words = [*{w for d in rows() for w in mixing.words_of(d[1])}, mixing.END]
+    counts = spark.createDataFrame([(b"0" + w, k % 7) for k, w in enumerate(words)], "key binary, n long").repartition(5).sortWithinPartitions("key")
+    monkeypatch.setattr(mixing, "LEARN_WORDS", len(words) // 3)
+    monkeypatch.setattr(mixing, "STEP_WORDS", 16)
+    seen = []
+    monkeypatch.setattr(mixing, "mixer_of", lambda counts, found, make=mixing.mixer_of: seen.append(found) or make(counts, found))
+    mixing.fit(counts, len(words))
+    bits = sum(8 * (len(w) + (w != mixing.END)) * (k % 7) for k, w in enumerate(words))
+    mass = seen[0][mixing.GATES * len(mixing.ORDERS):][:mixing.GATES]
+    tries = seen[0][-257 * mixing.STEPS:]
+    assert mass.sum() == pytest.approx(bits) and tries.sum() == pytest.approx(bits)
+
+
+def test_classes_come_from_all_documents(spark, monkeypatch):
+    en, fr = "the of and to in is that for it was on are".split(), "le de et la les des en un une du est pour".split()
+    rng = np.random.default_rng(2)
+    data = [(i, " ".join([*rng.choice(fr if i % 9 == 0 else en, 40), f"w{i % 90}"]), None, None, None, 0, "r") for i in range(2500)]
+    learnt = [d[1] for d in data if zlib.crc32(str(d[0]).encode()) % 5 != 1]
+    monkeypatch.setattr(mixing, "TEXT_BYTES", 20_000)
+    got = mixing.classes_of(documents(spark, data))
+    assert got == mixing.find_classes(learnt) and len({got[w.encode()] for w in en}) == len({got[w.encode()] for w in fr}) == 1
+    assert got[b"w9"] == got[b"le"] != got[b"the"] == got[b"w10"]
+
+
+def test_shared_beginnings_change_no_word():
+    mixer, keys = trained()
+    keys = sorted([*keys, b"1the", b"0the" * 40, b"0th", b"1" + mixing.END, b"0" + "é漢".encode()]) + [b"0the", b"0the", b"0a"]
+    slots, bit, previous, starts, _ = mixing._events(keys)
+    shared = mixing._shared_events(keys)
+    assert len(shared[0]) < len(slots) and (shared[0][shared[3]] == slots).all() and (shared[1][shared[3]] == bit).all()
+    assert (shared[2][shared[3]] == previous).all() and (shared[4] == starts).all()
+    assert mixer.log10(keys) == pytest.approx(np.concatenate([mixer.log10([k]) for k in keys]))
+
+
+def test_tokens_of_many_texts_equal_those_of_each():
+    texts = [None, "", " \t", "A b\x0bc", "É x\x1cY z", "end", "\n next\n"]
+    tokens = mixing.tokens_of(mixing.pa.array(["cut", *texts], mixing.pa.string())[1:])
+    words = tokens.words.take(mixing.pa.array(tokens.ids)).to_pylist()
+    each = [[*mixing.words_of(t), mixing.END] for t in texts]
+    assert words == [w for ws in each for w in ws] and tokens.n.tolist() == [len(ws) for ws in each]
+    assert tokens.n_bytes.tolist() == [sum(map(len, ws)) + len(ws) - 1 for ws in each]
