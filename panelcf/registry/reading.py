@@ -17,6 +17,9 @@ from panelcf.sources import features, tables, upsert
 
 # --- the tables as zone files ------------------------------------------------
 
+#: Areas in a collection document: some 7 MB, which one task reads.
+DOCUMENT_AREAS = 20_000
+
 
 def area_rows(spark, sf_dir) -> DataFrame:
     """One area per customer with orders: zone = nation, dates from its orders."""
@@ -92,6 +95,17 @@ def area_meta(spark, sf_dir) -> DataFrame:
     return zones.zone_meta(clean_zone_table(flat_areas(spark, sf_dir)))
 
 
+def zone_documents(spark, sf_dir) -> DataFrame:
+    """For each zone the number of its documents: with the customers dealt over them, each has about DOCUMENT_AREAS areas at most."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    named = nation.groupBy("n_nationkey", F.col("n_name").alias("of")).agg(F.count(F.lit(1)).alias("times"))
+    return (
+        customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+        .join(named, F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy("of").agg(F.ceil(F.sum(F.col("n") * F.col("times")) / DOCUMENT_AREAS).alias("documents"))
+    )
+
+
 @query("s1_read_features", with_sql(more=AREAS_SQL) + """
     SELECT zone, 'A' || k AS id, k AS x FROM areas""")
 def s1(spark, sf_dir):
@@ -107,12 +121,14 @@ def s1(spark, sf_dir):
 @query("s1_read_collection", with_sql(more=AREAS_SQL) + """
     SELECT zone, 'A' || k AS id, k AS x FROM areas""")
 def s1_collection(spark, sf_dir):
-    """The standard form: a file is one document, here one for each zone."""
+    """The standard form: a file is one document, here of one zone. A large zone has several, since a document is read in one task."""
     path = shared_dir(spark, "collections")
     zoned = feature_lines(spark, sf_dir).select(F.get_json_object("value", "$.publisher.zfe_id").alias("z"), "value")
-    docs = zoned.groupBy("z").agg(F.concat(
+    zoned = zoned.join(F.broadcast(zone_documents(spark, sf_dir)), zoned["z"].eqNullSafe(F.col("of")), "left")
+    part = F.pmod(F.xxhash64("value"), F.coalesce("documents", F.lit(1))).alias("part")
+    docs = zoned.select("z", part, "value").groupBy("z", "part").agg(F.concat(
         F.lit('{"type": "FeatureCollection",\n"features": ['), F.array_join(F.collect_list("value"), ",\n"), F.lit("]}")).alias("value"))
-    docs.write.partitionBy("z").text(path)
+    docs.write.partitionBy("z", "part").text(path)
     rows = features.read_features(spark, path)
     return rows.select(
         F.element_at("publisher", F.lit("zfe_id")).alias("zone"), F.element_at("properties", F.lit("id")).alias("id"),

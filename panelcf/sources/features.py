@@ -14,6 +14,9 @@ FEATURE = T.StructType([
     T.StructField("geometry", T.StringType()),
 ])
 
+#: A line end that no JSON in UTF-8 holds, so that a file is one line; in other encodings the pieces are broken JSON.
+_NEVER = "\x00"
+
 COLLECTION = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("features", T.ArrayType(FEATURE)),
@@ -31,13 +34,14 @@ def _feature_rows(collections: DataFrame) -> DataFrame:
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per feature: ``properties`` map, ``publisher`` map, ``geometry`` JSON text.
 
-    A standard collection is one JSON document and so one task per file. Large
-    inputs should hold one feature per line (``lines=True``), which Spark splits.
-    Broken JSON is an error, never a missing feature.
+    A standard collection is one JSON document and so one task per file, of less
+    than 2 GB. Large inputs should hold one feature per line (``lines=True``), which
+    Spark splits. Broken JSON is an error, never a missing feature.
     """
     if lines:
         return spark.read.schema(FEATURE).json(path, mode="FAILFAST").select("properties", "publisher", "geometry")
-    return _feature_rows(spark.read.schema(COLLECTION).json(path, multiLine=True, mode="FAILFAST"))
+    # with multiLine Spark would go back into the file for the text of each geometry, some 10 to 20 KB a time
+    return _feature_rows(spark.read.schema(COLLECTION).json(path, lineSep=_NEVER, mode="FAILFAST"))
 
 
 def parse_features(df: DataFrame, json_col: str) -> DataFrame:

@@ -158,3 +158,24 @@ def test_raw_export_to_flagged_filled_panel(spark):
     filled = done.filled.filter("station_id = 'IN'").orderBy("date").collect()
     assert [r.value for r in filled] == [1.0, 2.0, 3.0, 4.0, 5.0]
     assert [r.zone for r in filled] == ["Z"] * 5 and [r.lat is None for r in filled] == [False, False, True, True, False]
+
+
+def test_a_large_zone_has_several_collection_documents(spark, tmp_path, monkeypatch):
+    from panelcf.registry import reading
+
+    def put(name, schema, data):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    put("nation", "n_nationkey long, n_name string", [(0, "LARGE"), (1, "SMALL"), (2, None)])
+    customers = [(k, f"c{k}", 0 if k < 90 else 1 + k % 2, "seg") for k in range(100)]
+    put("customer", "c_custkey long, c_name string, c_nationkey long, c_mktsegment string", [*customers, customers[3]])
+    put("orders", "o_custkey long, o_orderdate date", [(k, D(2020, 1, 1 + k % 28)) for k in range(100) for _ in range(2)])
+    monkeypatch.setattr(reading, "DOCUMENT_AREAS", 10)
+    monkeypatch.setattr(reading, "shared_dir", lambda *_: str(tmp_path / "collections"))
+    got = reading.s1_collection(spark, str(tmp_path)).collect()
+    names = {0: "LARGE", 1: "SMALL", 2: None}
+    expected = [(names[n], f"A{k}", k) for k, _, n, _ in [*customers, customers[3]]]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+    files = {z.name: [f.read_text() for f in z.rglob("part-*")] for z in (tmp_path / "collections").iterdir() if z.name.startswith("z=")}
+    assert len(files["z=LARGE"]) > 5 and len(files["z=SMALL"]) == 1
+    assert all(len(json.loads(t)["features"]) < 40 for t in sum(files.values(), []))

@@ -130,3 +130,29 @@ def test_shared_dir_without_the_setting(spark):
 
     first, second = shared_dir(Bare, "a"), shared_dir(Bare, "a")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+
+
+def test_collection_keeps_texts_and_refuses_other_encodings(spark, tmp_path):
+    geometry = '{"type": "Point",\r\n  "coordinates": [1.50, 1e3]}'
+    text = '{"features": [\r\n\n{"properties": {"a": 1.50, "b": "é"}, "geometry": ' + geometry + "}, null]}\n"
+    for name, data in (("plain", text.encode()), ("marked", b"\xef\xbb\xbf" + text.encode()), ("empty", b"")):
+        (tmp_path / f"{name}.json").write_bytes(data)
+        rows = features.read_features(spark, str(tmp_path / f"{name}.json")).collect()
+        assert [(r["properties"], r["geometry"]) for r in rows] == [({"a": "1.50", "b": "é"}, geometry)] * (name != "empty")
+    for name in ("utf-16", "utf-16-le", "utf-32"):
+        (tmp_path / f"{name}.json").write_bytes(text.encode(name))
+        with pytest.raises(Exception):
+            features.read_features(spark, str(tmp_path / f"{name}.json")).collect()
+
+
+def test_collection_is_read_once_not_once_for_each_geometry(spark, tmp_path):
+    point = {"properties": {"a": "x"}, "geometry": {"type": "Point", "coordinates": [1.5, 2.5]}}
+    path = tmp_path / "many.json"
+    path.write_text(json.dumps({"features": [point] * 3000}, indent=1))
+
+    def read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = read()
+    assert len(features.read_features(spark, str(path)).collect()) == 3000
+    assert path.stat().st_size <= read() - before < 4 * path.stat().st_size
