@@ -42,8 +42,8 @@ END = b"\n"
 ORDERS = ((0, 12), (1, 17), (2, 19), (3, 20), (4, 21), (-2, 22), (-1, 22))
 #: The most frequent words, at most so many, are looked up in memory; the others meet their scores in a join.
 HEAD_WORDS = 1 << 17
-#: Bytes of text that a task looks at together.
-TEXT_BYTES = 16 << 20
+#: Bytes of text whose words a task counts together, and of a piece, of which it holds numbers for each byte and word.
+TEXT_BYTES, PIECE_BYTES = 16 << 20, 2 << 20
 #: Distinct words behind one partial table, and behind the weights of one task.
 TABLE_WORDS, LEARN_WORDS = 1_000_000, 400_000
 #: Words, in their order, whose bits are worked on together, and in one step of learning.
@@ -119,11 +119,25 @@ def tokens_of(texts: pa.Array) -> Tokens:
     return Tokens(pa.concat_arrays([words.dictionary, pa.array([END], pa.binary())]), ids, n, np.diff(cuts[upto]) + n)
 
 
-def _groups(texts: pa.Array) -> Iterator[tuple[slice, Tokens]]:
-    for lo, hi in text_groups(texts, TEXT_BYTES):
+def _pieces(texts: pa.Array) -> Iterator[tuple[slice, Tokens]]:
+    """Texts of about PIECE_BYTES together: their tokens and what follows from these take many times the bytes."""
+    for lo, hi in text_groups(texts, PIECE_BYTES):
         yield slice(lo, hi), tokens_of(texts[lo:hi])
 
 
+def _groups(texts: pa.Array, found) -> Iterator[tuple[pa.Array, list]]:
+    """Of texts of about TEXT_BYTES together: the distinct words, and for each piece the places there of its words and
+    what ``found`` gives for its rows and tokens."""
+    for lo, hi in text_groups(texts, TEXT_BYTES):
+        words, out = [], []
+        for rows, tokens in _pieces(texts[lo:hi]):
+            words.append(tokens.words)
+            out.append(found(slice(lo + rows.start, lo + rows.stop), tokens))
+        joined = pa.concat_arrays(words).dictionary_encode()
+        places = np.split(joined.indices.to_numpy(), np.cumsum([len(w) for w in words])[:-1])
+        yield joined.dictionary, list(zip(places, out))
+
+
 def _commons(tokens: Tokens, common: pa.Array) -> np.ndarray:
     """Which texts have which common words: 0 or 1."""
     place = tokens.found_in(common)[tokens.ids]
@@ -410,20 +424,21 @@ def _training(docs: DataFrame) -> DataFrame:
 def _frequent(batches):
     """Words with their counts, the end mark too; of a group of texts, without those that are too small a part of its words to matter."""
     for batch in batches:
-        for _, tokens in _groups(batch.column(0)):
-            n = np.bincount(tokens.ids, minlength=len(tokens.words))
-            some = np.flatnonzero((n * 2 * LEAST_PART >= len(tokens.ids)) | (np.arange(len(n)) == len(n) - 1))
-            yield pa.RecordBatch.from_arrays([tokens.words.take(pa.array(some)), pa.array(n[some]), pa.array(np.full(len(some), len(tokens.ids)))],
-                                             ["word", "n", "of"])
+        for words, parts in _groups(batch.column(0), lambda _, tokens: np.bincount(tokens.ids, minlength=len(tokens.words))):
+            n = np.zeros(len(words), np.int64)
+            for at, part in parts:
+                n[at] += part
+            some = np.flatnonzero((n * 2 * LEAST_PART >= n.sum()) | pc.equal(words, pa.scalar(END, pa.binary())).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(some)), pa.array(n[some]), pa.array(np.full(len(some), n.sum()))], ["word", "n", "of"])
 
 
 def _added_up(texts: DataFrame, found, size: int) -> np.ndarray:
-    """The sum over all groups of texts of ``size`` whole numbers that ``found`` gives for one."""
+    """The sum over all pieces of ``size`` whole numbers that ``found`` gives for one."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for _, tokens in _groups(batch.column(0)):
+            for _, tokens in _pieces(batch.column(0)):
                 total += found(tokens).ravel()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
@@ -458,15 +473,22 @@ def _key(state: int) -> bytes:
 
 
 def _count(classes, n_states):
+    def counted(trains, tokens):
+        size = len(tokens.words)
+        pair = tokens.ids * n_states + _states(_told(tokens, classes.value), tokens.n)
+        here = (np.bincount(pair, minlength=size * n_states) > 0).reshape(size, n_states) @ (1 << np.arange(n_states))
+        n = np.bincount(pair[np.repeat(trains, tokens.n)], minlength=size * n_states).reshape(size, n_states)
+        return here.astype(np.int32), n.astype(np.int32)
+
     def run(batches):
         for batch in batches:
-            for rows, tokens in _groups(batch.column(1)):
-                size = len(tokens.words)
-                pair = tokens.ids * n_states + _states(_told(tokens, classes.value), tokens.n)
-                trains = np.repeat(batch.column(0)[rows].to_numpy(zero_copy_only=False), tokens.n)
-                n = np.bincount(pair[trains], minlength=size * n_states).reshape(size, n_states)
-                here = (np.bincount(pair, minlength=size * n_states) > 0).reshape(size, n_states) @ (1 << np.arange(n_states))
-                yield pa.RecordBatch.from_arrays([tokens.words, pa.array(here), *[pa.array(n[:, k].copy()) for k in range(n_states)]],
+            trains = batch.column(0).to_numpy(zero_copy_only=False)
+            for words, parts in _groups(batch.column(1), lambda rows, tokens, trains=trains: counted(trains[rows], tokens)):
+                here, n = np.zeros(len(words), np.int64), np.zeros((len(words), n_states), np.int64)
+                for at, (part_here, part) in parts:
+                    here[at] |= part_here
+                    n[at] += part
+                yield pa.RecordBatch.from_arrays([words, pa.array(here), *[pa.array(n[:, k].copy()) for k in range(n_states)]],
                                                  ["word", "here", *[f"n{k}" for k in range(n_states)]])
 
     return run
@@ -576,6 +598,33 @@ _DOC = ("row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n
 _DOC_FIELDS = ("row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base_score", "score", "tail")
 
 
+def _look_up(shared):
+    """The sums over the words of each text that are kept in memory, and its other words. ``shared``: classes; by state words, their base and score."""
+
+    def run(batches):
+        known_classes, known = shared.value
+        fronts = pa.array([_key(k) for k in range(len(known))], pa.binary())
+        for batch in batches:
+            for rows, tokens in _pieces(batch.column(3)):
+                state, text, many = _states(_told(tokens, known_classes), tokens.n), tokens.text(), len(tokens.n)
+                places = [tokens.found_in(words) for words, _, _ in known]
+                base, lp = (np.stack([x[k][at] for x, at in zip(known, places)])[state, tokens.ids] for k in (1, 2))
+                here = ~np.isnan(lp)
+                sums = [np.bincount(text[here], x[here], many) for x in (base, lp)]
+                rest, times = np.unique((text[~here] * len(known) + state[~here]) * len(tokens.words) + tokens.ids[~here], return_counts=True)
+                rest, word = np.divmod(rest, len(tokens.words))
+                of, front = np.divmod(rest, len(known))
+                keys = pc.binary_join_element_wise(fronts.take(pa.array(front)), tokens.words.take(pa.array(word)), pa.scalar(b"", pa.binary()))
+                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(many + 1)), pa.int32()),
+                                                pa.StructArray.from_arrays([keys, pa.array(times, pa.int64())], ["key", "n"]))
+                ints = (tokens.n_bytes, tokens.n, np.bincount(text[here], minlength=many))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k)[rows] for k in range(3)], *[pa.array(c, pa.int64()) for c in ints], *[pa.array(c, pa.float64()) for c in sums], tail],
+                    list(_DOC_FIELDS))
+
+    return run
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     classes = classes_of(docs)
@@ -599,30 +648,9 @@ def scores(docs: DataFrame) -> DataFrame:
         head.append((mine.column("word").combine_chunks(), np.append(base, np.nan), np.append(mine.column("lp").to_numpy(), np.nan)))
     shared = docs.sparkSession.sparkContext.broadcast((classes, head))
 
-    def look_up(batches):
-        known_classes, known = shared.value
-        fronts = pa.array([_key(k) for k in range(len(known))], pa.binary())
-        for batch in batches:
-            for rows, tokens in _groups(batch.column(3)):
-                state, text, many = _states(_told(tokens, known_classes), tokens.n), tokens.text(), len(tokens.n)
-                places = [tokens.found_in(words) for words, _, _ in known]
-                base, lp = (np.stack([x[k][at] for x, at in zip(known, places)])[state, tokens.ids] for k in (1, 2))
-                here = ~np.isnan(lp)
-                sums = [np.bincount(text[here], x[here], many) for x in (base, lp)]
-                rest, times = np.unique((text[~here] * len(known) + state[~here]) * len(tokens.words) + tokens.ids[~here], return_counts=True)
-                rest, word = np.divmod(rest, len(tokens.words))
-                of, front = np.divmod(rest, len(known))
-                keys = pc.binary_join_element_wise(fronts.take(pa.array(front)), tokens.words.take(pa.array(word)), pa.scalar(b"", pa.binary()))
-                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(many + 1)), pa.int32()),
-                                                pa.StructArray.from_arrays([keys, pa.array(times, pa.int64())], ["key", "n"]))
-                ints = (tokens.n_bytes, tokens.n, np.bincount(text[here], minlength=many))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k)[rows] for k in range(3)], *[pa.array(c, pa.int64()) for c in ints], *[pa.array(c, pa.float64()) for c in sums], tail],
-                    list(_DOC_FIELDS))
-
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                        (remainder(F.col("doc_id")) == HELD_OUT).alias("held_out"), "text")
-    looked = stored(rows.mapInArrow(look_up, _DOC), "looked-up")
+    looked = stored(rows.mapInArrow(_look_up(shared), _DOC), "looked-up")
     tail = looked.select("row", F.explode("tail").alias("t")).select("row", "t.key", "t.n").join(scored.drop("n"), "key")
     rest = tail.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"),

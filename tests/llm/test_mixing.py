@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -114,3 +116,48 @@ def test_tokens_of_many_texts_equal_those_of_each():
     each = [[*mixing.words_of(t), mixing.END] for t in texts]
     assert words == [w for ws in each for w in ws] and tokens.n.tolist() == [len(ws) for ws in each]
     assert tokens.n_bytes.tolist() == [sum(map(len, ws)) + len(ws) - 1 for ws in each]
+
+
+def texts_in_one_batch(n, seed=5):
+    """(trains, text) with a null, an empty text and words met in all pieces or in one."""
+    rng = np.random.default_rng(seed)
+    common, rare = [f"c{k}" for k in range(50)], [f"r{k}" for k in range(5000)]
+    texts = [" ".join([*rng.choice(common, 300), *rng.choice(rare, 40), f"own{k}"]) for k in range(n - 2)]
+    return mixing.pa.RecordBatch.from_pydict({"trains": [k % 5 != 1 for k in range(n)], "text": [*texts[:n // 2], None, "", *texts[n // 2:]]})
+
+
+def tasks(batch, classes):
+    """The functions of the tasks that read texts, each with its batch."""
+    words = mixing.pa.array([b"c1", b"c3", b"r9"], mixing.pa.binary())
+    head = [(words, np.array([-1.0, -2, -3, np.nan]) - k, np.array([-1.5, -2.5, -3.5, np.nan]) - k) for k in range(3)]
+    ids = mixing.pa.array(range(len(batch)))
+    rows = mixing.pa.RecordBatch.from_arrays([ids, ids, *batch.columns], ["row", "doc_id", "held_out", "text"])
+    return [(mixing._frequent, batch.select(["text"])), (mixing._count(SimpleNamespace(value=classes), 3), batch),
+            (mixing._look_up(SimpleNamespace(value=(classes, head))), rows)]
+
+
+@pytest.mark.parametrize("piece", [1, 7000])
+def test_pieces_change_no_count_and_no_sum(monkeypatch, piece):
+    jobs = tasks(texts_in_one_batch(60), {b"c1": 1, b"c2": 2, b"r7": 1})
+
+    def found():
+        out = [[r | {"tail": sorted(map(str, r.get("tail", [])))} for b in run([batch]) for r in b.to_pylist()] for run, batch in jobs]
+        return [sorted(map(str, rows)) for rows in out]
+
+    monkeypatch.setattr(mixing, "LEAST_PART", 500)
+    whole = found()
+    monkeypatch.setattr(mixing, "PIECE_BYTES", piece)
+    assert found() == whole and len(whole[0]) < len(whole[1]) and len(whole[2]) == 60
+
+
+def test_tasks_hold_numbers_for_a_piece_of_text_at_a_time():
+    """Arrays for each byte and word of these 16 MB at once took 132 MB in the first task and 234 MB in the second."""
+    batch = texts_in_one_batch(12_000)
+    assert 16e6 < batch.column(1).nbytes < mixing.TEXT_BYTES
+    for run, rows in tasks(batch, {b"c1": 1, b"c2": 2}):
+        tracemalloc.start()
+        for _ in run([rows]):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6
