@@ -92,6 +92,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
 
 #: Rows of one bucket of the id order; a bucket is what one window sees.
 BUCKET_ROWS = 1000
+#: Buckets at most, which bounds plan, driver and broadcast; larger tables have longer buckets, which a window can spill.
+MAX_BUCKETS = 8192
+
+
+def _cuts_below(doc_id: Column, cuts: list[int]) -> Column:
+    """The number of ascending cuts at or below an id (0 for null), by bisection in a loop: the cuts stand once in the plan, as one literal."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda below, step: below + F.when(
+        F.coalesce(F.get(bounds, below + step - 1) <= doc_id, F.lit(False)), step).otherwise(0))
 
 
 def edit_experiment(docs: DataFrame) -> DataFrame:
@@ -103,16 +115,9 @@ def edit_experiment(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.count()
-    n = max(1, math.ceil(total / BUCKET_ROWS))
-    cuts = [] if n == 1 else sorted({c for c in rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n))})
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>")
-    # the number of cuts below an id, by bisection over the literal array
-    bucket = F.lit(0)
-    step = 1 << max(0, len(cuts).bit_length() - 1) if cuts else 0
-    while step:
-        bucket = bucket + F.when(F.coalesce(F.get(bounds, bucket + (step - 1)) <= F.col("doc_id"), F.lit(False)), step).otherwise(0)
-        step >>= 1
-    placed = rows.withColumn("bucket", bucket.cast("int"))
+    n = min(MAX_BUCKETS, max(1, math.ceil(total / BUCKET_ROWS)))
+    cuts = [] if n == 1 else sorted({int(c) for c in rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n))})
+    placed = rows.withColumn("bucket", _cuts_below(F.col("doc_id"), cuts))
     least = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("first"))  # a row per range
     order = stored(least, "ranges").orderBy("bucket").collect()  # as many rows as ranges
     if not order:
@@ -121,7 +126,7 @@ def edit_experiment(docs: DataFrame) -> DataFrame:
     firsts = docs.sparkSession.createDataFrame(
         [(r["bucket"], before[r["bucket"]], r["first"]["doc_id"], r["first"]["h"], k == 0) for k, r in enumerate(order)],
         "bucket int, before int, first_id long, first_hash long, turn boolean")
-    met = placed.join(F.broadcast(firsts), "bucket")  # a row per range of BUCKET_ROWS ids
+    met = placed.join(F.broadcast(firsts), "bucket")  # a row per range, MAX_BUCKETS at most
     is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_hash"))
     homes = F.when(is_first, F.array(
         F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest")),

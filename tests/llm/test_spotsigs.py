@@ -55,6 +55,32 @@ def test_nulls_repeats_and_single_rows(spark):
     assert one["near_next"] == 1.0
 
 
+def test_many_ranges(spark, monkeypatch):
+    """The plan gets a few characters for each range, with or without a bound on the ranges every row is right."""
+    data = [(5 * i - 700, f"the word{i % 50} of {i}") for i in range(300)] + [(None, "the null of ids"), (-700, "the first again"), (2**40, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+
+    def ran():
+        done = spotsigs.edit_experiment(docs)
+        return len(done._jdf.queryExecution().logical().toString()), sorted(done.collect(), key=str)
+
+    plan, want = ran()
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 1)
+    longer, got = ran()
+    assert longer < plan + 30 * len(data) and got == want and len(got) == len(data)
+    monkeypatch.setattr(spotsigs, "MAX_BUCKETS", 20)
+    bounded, got = ran()
+    assert bounded < plan + 30 * 30 and got == want
+
+
+def test_cuts_below(spark):
+    ids = [None, -9, -3, -2, 0, 4, 5, 6, 2**60 - 1, 2**60, 2**60 + 1]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for cuts in ([], [5], [-3, 5], [-3, 0, 5], [-3, 0, 5, 6, 2**60]):
+        got = {r[0]: r[1] for r in rows.select("doc_id", spotsigs._cuts_below(rows["doc_id"], cuts)).collect()}
+        assert got == {i: 0 if i is None else sum(c <= i for c in cuts) for i in ids}
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(8)
     data = []
