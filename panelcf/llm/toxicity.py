@@ -39,8 +39,8 @@ DIMENSIONS = 8
 #: Words without meaning in every average, so that very short texts stay near the prior.
 PAD = 20
 NGRAMS = (3, 4, 5, 6)
-#: A bucket gets a vector if it occurs in one of this many training documents, and in three at least.
-ONE_IN = 80
+#: A bucket gets a vector if it occurs in one of this many training documents, and in LEAST_ROWS at least.
+ONE_IN, LEAST_ROWS = 80, 3
 #: Mini-batches seen in training; small samples are gone through more often.
 STEPS = 900
 BATCH = 50
@@ -94,7 +94,7 @@ def _number_frequent(buckets: list[np.ndarray], shares: list[np.ndarray]) -> np.
     n_docs = np.zeros(1 << BUCKET_BITS, np.int32)
     for found in buckets:
         n_docs[found] += 1
-    stays = n_docs >= max(3, len(buckets) / ONE_IN)
+    stays = n_docs >= max(LEAST_ROWS, len(buckets) / ONE_IN)
     number = np.cumsum(stays, dtype=np.int32) - 1
     for i, found in enumerate(buckets):
         kept = stays[found]
@@ -105,6 +105,7 @@ def _number_frequent(buckets: list[np.ndarray], shares: list[np.ndarray]) -> np.
 def fit(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     """Embedding table and softmax, trained together with Adam on mini-batches in which both classes weigh alike.
 
+    Of a class with fewer than LEAST_ROWS rows no n-gram of its own has a vector; weighed up it would only shift the bias, so rows weigh alike then.
     The average and the softmax are linear, so the gradient of a bucket's embedding is one number times the
     difference of the two class vectors; it is summed per bucket first and spread over the dimensions afterwards.
     After each step every embedding is shortened by the same length, to zero if it is shorter.
@@ -115,7 +116,8 @@ def fit(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     buckets, shares = _rows(texts)
     names = _number_frequent(buckets, shares)
-    size, class_weight = len(names), np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    n_toxic, n_other = int((y == 1).sum()), int((y == 0).sum())
+    size, class_weight = len(names), np.where(y == 1, n_other / n_toxic if min(n_toxic, n_other) >= LEAST_ROWS else 1.0, 1.0)
     table = np.zeros((size, DIMENSIONS), np.float32)
     # a bucket's part in a mean of hundreds of features is small; the softmax starts and learns on that scale
     soft, bias, gain = rng.normal(0, 0.3, (2, DIMENSIONS)).astype(np.float32), np.zeros(2, np.float32), np.float32(30.0)

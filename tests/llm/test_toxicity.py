@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import SCHEMA, documents, prose
+from helpers import SCHEMA, documents, prose, rows
 
 from panelcf.llm import toxicity
 
@@ -49,6 +49,15 @@ def test_awkward_rows_and_stage(spark):
     assert kept.schema == docs.schema and kept.count() == sum(r["score"] < 0.5 for r in got)
 
 
+def test_two_toxic_rows_do_not_make_the_rest_toxic(spark):
+    """Texts in which nothing tells stay with the other class, the two are found."""
+    data = rows()
+    model = toxicity.fit([r[1] for r in data[:40]], [int(r[0] in (21, 35)) for r in data[:40]])
+    unknown = [(900, "no end " * 500, None, None, 0, 0, "r"), (901, "\u6f22\u5b57", None, None, 0, 0, "r"), (902, None, None, None, 0, 0, "r")]
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.scores(documents(spark, [*data[:40], *unknown]), model).collect()}
+    assert {d for d in got if got[d]} == {21, 35}
+
+
 def test_very_long_texts_and_clashing_columns(spark):
     """A few bad words among thousands of others are found; columns named like those of the operator stay as they are."""
     data, labels = case(600)
